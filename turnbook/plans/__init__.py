@@ -1,4 +1,4 @@
 """Registered queries.  Importing the modules fills the registry."""
 
-from turnbook.plans import ranking_queries  # noqa: F401
+from turnbook.plans import market_queries, ranking_queries  # noqa: F401
 from turnbook.plans.registry import REGISTRY  # noqa: F401

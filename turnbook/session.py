@@ -20,6 +20,7 @@ def build_session(cores: str = "8", app: str = "turnbook", shuffle_partitions: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TURNBOOK_DRIVER_MEMORY", "6g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

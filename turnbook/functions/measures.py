@@ -48,15 +48,24 @@ def significant(value: Column, digits: int = 8) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(F.bround(value * scale, 0) / scale)
 
 
+def percent_ratio(part: Column, whole: Column) -> Column:
+    """Exact-enough percentage of two decimals, before rounding.
+
+    The division of wide decimals keeps few decimals; these widths leave ten
+    after the multiplication, so a value just off a half is not rounded as one.
+    """
+    return part.cast("decimal(24,4)") * 100 / whole.cast("decimal(22,4)")
+
+
 def percent_from_points(points: Column, value: Column) -> Column:
     """Index change in percent from its change in points."""
     previous = value - points
-    return F.when(previous > 0, half_even(points / previous * 100, 2))
+    return F.when(previous > 0, half_even(percent_ratio(points, previous), 2))
 
 
 def percent_change(current: Column, baseline: Column) -> Column:
     """Percent number with two decimals, null without a positive baseline."""
-    return F.when(baseline > 0, half_even((current - baseline) / baseline * 100, 2))
+    return F.when(baseline > 0, half_even(percent_ratio(current - baseline, baseline), 2))
 
 
 def taipei(captured_at: Column) -> Column:

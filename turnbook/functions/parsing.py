@@ -63,7 +63,7 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     text = F.format_string("%04d-%02d-%02d", year, month, day)
     return F.when(
         year.isNotNull() & month.isNotNull() & day.isNotNull(),
-        F.try_to_date(text, F.lit("yyyy-MM-dd")),
+        F.try_to_date(text, "yyyy-MM-dd"),
     )
 
 

@@ -18,7 +18,7 @@ def value_as_of(day: Column) -> Column:
 
 def ytd_percent(ending: Column, baseline: Column) -> Column:
     """Two decimals, halves away from zero; null without two positive values."""
-    ratio = (ending - baseline).cast("decimal(38,10)") / baseline * 100
+    ratio = m.percent_ratio(ending - baseline, baseline)
     return F.when((baseline > 0) & (ending > 0), m.half_away(ratio, 2).cast("decimal(14,2)"))
 
 
@@ -57,9 +57,7 @@ def with_change_percent(index: DataFrame) -> DataFrame:
     previous = F.lag("value").over(W.partitionBy("market").orderBy("trading_date"))
     return index.withColumn(
         "change_percent",
-        F.when(previous > 0, m.half_even((F.col("value") - previous).cast("decimal(38,10)") / previous * 100, 2)).cast(
-            "decimal(14,2)"
-        ),
+        m.percent_change(F.col("value"), previous).cast("decimal(14,2)"),
     )
 
 

@@ -72,8 +72,12 @@ def with_averages(rows: DataFrame, lengths: tuple[int, ...] = AVERAGES) -> DataF
 
 
 def trend(close: Column, previous_close: Column, open_: Column) -> Column:
-    """Direction against the previous adjusted close, or the own open for the first bar."""
-    reference = F.coalesce(previous_close, open_)
+    """Direction against the previous adjusted close, or the own open for the first bar.
+
+    Compared as decimals: a close that only changed by its factor is not a move.
+    """
+    close = close.cast("decimal(28,9)")
+    reference = F.coalesce(previous_close, open_).cast("decimal(28,9)")
     return F.when(close > reference, "up").when(close < reference, "down").otherwise("flat")
 
 
@@ -98,6 +102,15 @@ def complete_bars(rows: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
+BAR_VALUES = ("adj_open", "adj_high", "adj_low", "adj_close", "previous_close", *[f"ma{n}" for n in AVERAGES])
+
+
+def rounded(rows: DataFrame, scale: int = 4) -> DataFrame:
+    """Bar values rounded half-even; decimals first, so binary noise cannot decide a half."""
+    values = {v: F.bround(F.col(v).cast("decimal(28,9)"), scale).cast("double") for v in BAR_VALUES if v in rows.columns}
+    return rows.withColumns(values)
+
+
 def months_before(day: dt.date, months: int) -> dt.date:
     """Calendar months back, clamped to the end of a shorter month."""
     if months < 1:

@@ -166,7 +166,7 @@ SELECT trading_date, CASE WHEN count(market) > 0 THEN 1 ELSE 0 END AS index_vers
 FROM days LEFT JOIN idx USING (trading_date) GROUP BY 1""")
 def join_merge_indices(spark, sf):
     """Dates stored without index rows get those of their date, and a higher index version."""
-    entry = "array<struct<market:string,value:decimal(16,2)>>"
+    entry = "array<struct<market:string,value:decimal(20,2)>>"
     stored = d.daily(spark, sf).select("trading_date").distinct().select(
         "trading_date",
         F.array().cast(entry).alias("market_indices"),
@@ -233,6 +233,17 @@ def union_markets(spark, sf):
 
 # --- bars --------------------------------------------------------------------
 
+
+
+def _half_even(value: str) -> str:
+    """SQL: half-even rounding to four decimals of a positive number given to nine decimals."""
+    nano = f"CAST(CAST({value} AS DECIMAL(28, 9)) * 1000000000 AS HUGEINT)"
+    rest = f"({nano} - {nano} // 100000 * 100000)"
+    odd = f"({nano} // 100000 - {nano} // 200000 * 2 = 1)"
+    up = f"CASE WHEN {rest} > 50000 OR ({rest} = 50000 AND {odd}) THEN 1 ELSE 0 END"
+    return f"CAST({nano} // 100000 + {up} AS DOUBLE) / 10000"
+
+
 KLINE = "WITH " + b.BARS + "," + b.EVENTS + """,
 valid AS (SELECT ticker, trading_date, open_c, high_c, low_c, close_c FROM bars WHERE close_c > 0 AND trading_date <= DATE '{end}'),
 factors AS (SELECT ticker, effective_date, product(reference_price / previous_close) AS f FROM actions
@@ -253,18 +264,23 @@ points AS (
          avg(c) OVER (w ROWS 239 PRECEDING) AS ma240
   FROM adj WINDOW w AS (PARTITION BY ticker ORDER BY trading_date)),
 bars_out AS (
-  SELECT ticker, trading_date, round(o, 4) AS open, round(h, 4) AS high, round(l, 4) AS low, round(c, 4) AS "close",
-         round(previous_close, 4) AS previous_close,
-         round(CASE WHEN bar >= 5 THEN ma5 END, 4) AS ma5, round(CASE WHEN bar >= 10 THEN ma10 END, 4) AS ma10,
-         round(CASE WHEN bar >= 20 THEN ma20 END, 4) AS ma20, round(CASE WHEN bar >= 60 THEN ma60 END, 4) AS ma60,
-         round(CASE WHEN bar >= 240 THEN ma240 END, 4) AS ma240,
-         CASE WHEN c > coalesce(previous_close, o) THEN 'up' WHEN c < coalesce(previous_close, o) THEN 'down' ELSE 'flat' END AS trend,
-         o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AS complete, c AS raw_close, o AS raw_open
+  SELECT ticker, trading_date, """ + ", ".join(
+    f'{_half_even(value)} AS {name}'
+    for value, name in (
+        ("o", "open"), ("h", "high"), ("l", "low"), ("c", '"close"'), ("previous_close", "previous_close"),
+        ("CASE WHEN bar >= 5 THEN ma5 END", "ma5"), ("CASE WHEN bar >= 10 THEN ma10 END", "ma10"),
+        ("CASE WHEN bar >= 20 THEN ma20 END", "ma20"), ("CASE WHEN bar >= 60 THEN ma60 END", "ma60"),
+        ("CASE WHEN bar >= 240 THEN ma240 END", "ma240"),
+    )
+) + """,
+         CASE WHEN c::DECIMAL(28, 9) > coalesce(previous_close, o)::DECIMAL(28, 9) THEN 'up'
+              WHEN c::DECIMAL(28, 9) < coalesce(previous_close, o)::DECIMAL(28, 9) THEN 'down' ELSE 'flat' END AS trend,
+         o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AS complete
   FROM points)"""
 
 BAR_SPEC = (
-    "ticker trading_date open=adj_open:r4 high=adj_high:r4 low=adj_low:r4 close=adj_close:r4 previous_close:r4 "
-    "ma5:r4 ma10:r4 ma20:r4 ma60:r4 ma240:r4 trend"
+    "ticker trading_date open=adj_open high=adj_high low=adj_low close=adj_close previous_close "
+    "ma5 ma10 ma20 ma60 ma240 trend"
 )
 BAR_COLUMNS = "ticker, trading_date, open, high, low, \"close\", previous_close, ma5, ma10, ma20, ma60, ma240, trend"
 
@@ -272,14 +288,14 @@ BAR_COLUMNS = "ticker, trading_date, open, high, low, \"close\", previous_close,
 @query("kline", KLINE.format(end=ENDS) + f"""
 SELECT {BAR_COLUMNS} FROM bars_out WHERE complete AND trading_date BETWEEN DATE '2001-03-29' AND DATE '{ENDS}'""")
 def kline(spark, sf):
-    return shape(kl.select_bars(d.daily(spark, sf), d.adjustments(spark, sf), END), BAR_SPEC)
+    return shape(kl.rounded(kl.select_bars(d.daily(spark, sf), d.adjustments(spark, sf), END)), BAR_SPEC)
 
 
 WHOLE_END = dt.date(2001, 12, 31)
 
 
 def _adjusted(spark, sf):
-    return kl.adjusted(d.daily(spark, sf), d.adjustments(spark, sf), WHOLE_END)
+    return kl.rounded(kl.adjusted(d.daily(spark, sf), d.adjustments(spark, sf), WHOLE_END))
 
 
 @query("join_adjust_factor", KLINE.format(end=WHOLE_END) + "SELECT ticker, trading_date, round(factor, 8) AS factor FROM factored")
@@ -294,19 +310,19 @@ def join_adjust_factor(spark, sf):
 
 @query("moving_averages", KLINE.format(end=WHOLE_END) + "SELECT ticker, trading_date, ma5, ma10, ma20, ma60, ma240 FROM bars_out")
 def moving_averages(spark, sf):
-    return shape(_adjusted(spark, sf), "ticker trading_date ma5:r4 ma10:r4 ma20:r4 ma60:r4 ma240:r4")
+    return shape(_adjusted(spark, sf), "ticker trading_date ma5 ma10 ma20 ma60 ma240")
 
 
 @query("previous_adjusted_close", KLINE.format(end=WHOLE_END) + 'SELECT ticker, trading_date, "close", previous_close FROM bars_out')
 def previous_adjusted_close(spark, sf):
-    return shape(_adjusted(spark, sf), "ticker trading_date close=adj_close:r4 previous_close:r4")
+    return shape(_adjusted(spark, sf), "ticker trading_date close=adj_close previous_close")
 
 
 @query("filter_complete_bar", KLINE.format(end=WHOLE_END) + f"""
 SELECT ticker, trading_date, ma5 FROM bars_out WHERE complete AND trading_date BETWEEN DATE '2000-01-01' AND DATE '{ENDS}'""")
 def filter_complete_bar(spark, sf):
     """Incomplete bars are dropped only after they have fed the averages."""
-    return shape(kl.complete_bars(_adjusted(spark, sf), dt.date(2000, 1, 1), END), "ticker trading_date ma5:r4")
+    return shape(kl.complete_bars(_adjusted(spark, sf), dt.date(2000, 1, 1), END), "ticker trading_date ma5")
 
 
 @query("bar_trend", KLINE.format(end=WHOLE_END) + "SELECT ticker, trading_date, trend FROM bars_out WHERE complete")
@@ -332,8 +348,8 @@ FROM whole w"""
 def _live_bars(spark, sf):
     """Bars with the quotes of the following day standing in for the live round."""
     history = shape(
-        kl.select_bars(d.daily(spark, sf), d.adjustments(spark, sf), END),
-        "ticker trading_date open=adj_open:r4 high=adj_high:r4 low=adj_low:r4 close=adj_close:r4 previous_close:r4",
+        kl.rounded(kl.select_bars(d.daily(spark, sf), d.adjustments(spark, sf), END)),
+        "ticker trading_date open=adj_open high=adj_high low=adj_low close=adj_close previous_close",
     )
     live = d.daily(spark, sf).where(F.col("trading_date") == F.lit(END + dt.timedelta(days=1)))
     live = shape(live.withColumn("trading_date", F.lit(END)),

@@ -170,7 +170,7 @@ def market_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "trading_date",
             "market",
-            (F.col("c").cast("decimal(14,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(16,2)").alias("value"),
+            (F.col("c").cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(20,2)").alias("value"),
         )
     )
 
@@ -200,6 +200,43 @@ def intraday_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def round_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per round and ticker: last price, range of prices, turnover."""
+    p = F.col("price_cents")
+    grouped = intraday_quotes(spark, sf_dir).groupBy("trade_date", "captured_at", "ticker").agg(
+        F.sum("turnover").alias("turnover"),
+        F.max_by(p, F.col("event_id")).alias("_last"),
+        F.min_by(p, F.col("event_id")).alias("_first"),
+        F.max(p).alias("_high"),
+        F.min(p).alias("_low"),
+    )
+    return grouped.select(
+        "trade_date",
+        "captured_at",
+        "ticker",
+        "turnover",
+        price(F.col("_last")).alias("price"),
+        price(F.col("_first")).alias("open_price"),
+        price(F.col("_high")).alias("high_price"),
+        price(F.col("_low")).alias("low_price"),
+        m.percent_change(price(F.col("_last")), price(F.col("_first"))).cast("decimal(12,2)").alias("change_percent"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per round with two index values (highest and lowest price of the round)."""
+    return (
+        intraday_quotes(spark, sf_dir)
+        .groupBy("trade_date", "captured_at")
+        .agg(
+            F.sum("turnover").alias("turnover_total"),
+            F.count(F.lit(1)).alias("quote_count"),
+            price(F.max("price_cents")).alias("twse_index"),
+            price(F.min("price_cents")).alias("tpex_index"),
+        )
+    )
+
+
 def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disposition notices: urgent and high priority orders, longer for higher priority numbers."""
     level = F.substring("o_orderpriority", 1, 1).cast("int")

@@ -1,7 +1,7 @@
 """Column layouts of the tables the jobs read and write (Spark DDL)."""
 
 PRICE = "decimal(10,2)"
-INDEX_VALUE = "decimal(14,4)"
+INDEX_VALUE = "decimal(20,4)"
 PERCENT = "decimal(10,4)"
 
 DAILY_QUOTE = (

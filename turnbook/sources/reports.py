@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnbook.functions import measures as m, parsing as p
-from turnbook.schemas import REPORT, TPEX, TWSE
+from turnbook.schemas import INDEX_VALUE, REPORT, TPEX, TWSE
 
 # Titles, headers and marks used in the exchange reports.
 TWSE_QUOTE_TITLE = "每日收盤行情"
@@ -105,7 +105,7 @@ def _index_row(rows: DataFrame, market: str, percent: Column, points: Column, va
     found = read.where(F.col("value") > 0).select(
         "trading_date",
         "pos",
-        F.struct(F.col("value").cast("decimal(14,4)").alias("value"), change.cast("decimal(10,4)").alias("change")).alias("v"),
+        F.struct(F.col("value").cast(INDEX_VALUE).alias("value"), change.cast("decimal(10,4)").alias("change")).alias("v"),
     )
     return (
         found.groupBy("trading_date")

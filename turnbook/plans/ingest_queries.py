@@ -201,5 +201,5 @@ def regular_quotes(spark, sf):
     excluded = qt.sum_non_regular(rp.non_regular(landed.non_regular(spark, sf)))
     path = scratch_path(spark, "regular")
     regular = qt.regular_only(both, excluded)
-    snapshots.write(regular.withColumn("trading_month", F.trunc("trading_date", "month")), path, "trading_month")
+    snapshots.write(regular, path, "trading_month")
     return shape(spark.read.parquet(path), QUOTE_SPEC)

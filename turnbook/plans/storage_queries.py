@@ -109,15 +109,15 @@ def write_snapshot(spark, sf):
     """All dates are written, then the dates of 1998 once more; nothing may appear twice."""
     path = scratch_path(spark, "daily")
     quotes = d.daily_quotes(spark, sf)
-    sn.write(quotes, path)
-    sn.write(quotes.where(F.year("trading_date") == 1998), path)
+    sn.write(quotes, path, "trading_month")
+    sn.write(quotes.where(F.year("trading_date") == 1998), path, "trading_month")
     return shape(spark.read.parquet(path), QUOTE_SPEC)
 
 
 @query("scan_snapshot_day", "WITH " + b.QUOTES + STORED_QUOTES + f" WHERE trading_date = DATE '{ENDS}'")
 def scan_snapshot_day(spark, sf):
     path = scratch_path(spark, "daily")
-    sn.write(d.daily_quotes(spark, sf), path)
+    sn.write(d.daily_quotes(spark, sf), path, "trading_month")
     return shape(sn.day(spark, path, END), QUOTE_SPEC)
 
 

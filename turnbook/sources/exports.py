@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnbook.functions import measures as m
 from turnbook.operators import calendar as cal, kline as kl, ranking as r
-from turnbook.sources.tables import write_partitioned
 
 
 def _whole_average(total: str) -> Column:
@@ -37,9 +36,15 @@ def rounded_rankings(rows: DataFrame) -> DataFrame:
 
 
 def export_rankings(daily: DataFrame, stocks: DataFrame, path: str) -> None:
-    """All selectable dates and periods, one partition folder each."""
-    rows = r.ranking_all_dates(daily, stocks, ranks=False)
-    write_partitioned(rounded_rankings(rows), path, "period_days", "base_date")
+    """All selectable dates and periods, one partition folder each.
+
+    The folders have about the same number of rows, so they are spread by hash
+    over as many tasks as there are cores.
+    """
+    rows = rounded_rankings(r.ranking_all_dates(daily, stocks, ranks=False))
+    keys = ("period_days", "base_date")
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(tasks, *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def export_bars(daily: DataFrame, events: DataFrame, path: str) -> None:

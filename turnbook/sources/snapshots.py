@@ -43,11 +43,15 @@ def dimension(snapshots: DataFrame) -> DataFrame:
 
 
 def write(daily: DataFrame, path: str, partition: str = "trading_date") -> None:
-    """Idempotent: writing a date again replaces that date and nothing else.
+    """Idempotent: writing a partition again replaces it and nothing else.
 
-    The rebalance hint lets adaptive execution split a large date over several
-    tasks and merge small ones.
+    ``trading_date`` suits dates of many rows.  ``trading_month`` avoids a file
+    per date when dates are small; then whole months must be written.
+    The rebalance hint lets adaptive execution split a large partition over
+    several tasks and merge small ones.
     """
+    if partition == "trading_month":
+        daily = daily.withColumn(partition, F.trunc("trading_date", "month"))
     (
         daily.hint("rebalance", partition)
         .write.mode("overwrite")
@@ -59,7 +63,11 @@ def write(daily: DataFrame, path: str, partition: str = "trading_date") -> None:
 
 def day(spark: SparkSession, path: str, date: dt.date) -> DataFrame:
     """One date; only its partition is read."""
-    return spark.read.parquet(path).where(F.col("trading_date") == F.lit(date))
+    stored = spark.read.parquet(path)
+    wanted = F.col("trading_date") == F.lit(date)
+    if "trading_month" in stored.columns:
+        wanted = wanted & (F.col("trading_month") == F.lit(date.replace(day=1)))
+    return stored.where(wanted)
 
 
 def exists(spark: SparkSession, path: str, date: dt.date) -> bool:

@@ -252,9 +252,15 @@ def sort_by_column(spark, sf):
     return shape(ordered, "ticker daily_price_change:r6 position:l")
 
 
-@query("page_rows", _ctes(minimum=0) + """
-SELECT ticker, round(average_value, 4) AS average_value FROM ranked ORDER BY average_value DESC NULLS LAST, ticker LIMIT 40 OFFSET 40""")
+@query("page_rows", _ctes(minimum=0) + """,
+numbered AS (
+  SELECT ticker, average_value, row_number() OVER (ORDER BY average_value DESC NULLS LAST, ticker) AS position,
+         least(2, greatest(1, ceil(count(*) OVER () / 40.0))) AS page
+  FROM ranked)
+SELECT ticker, round(average_value, 4) AS average_value FROM numbered
+WHERE position > (page - 1) * 40 AND position <= page * 40""")
 def page_rows(spark, sf):
+    """The second page, or the last one where there are fewer."""
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0)
     rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything)
     return shape(browse.page(rows, 2, browse.sort_order("average_value", True, False), size=40), "ticker average_value:r4")

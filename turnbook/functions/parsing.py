@@ -13,6 +13,9 @@ NUMBER = "decimal(28,6)"
 # A common share has four ASCII digits and does not start with 0.
 COMMON_STOCK_PATTERN = r"^[1-9][0-9]{3}\z"
 
+# Separators, wide blanks and plus signs carry no meaning in a number.
+IGNORED_IN_NUMBERS = ",　+"
+
 # Wording and digits used in disposition notices.
 MATCHING_INTERVAL_PATTERN = "約每([0-9０-９一二三四五六七八九十]+)分鐘"
 FULL_WIDTH_DIGITS = "０１２３４５６７８９"
@@ -27,8 +30,7 @@ def is_common_stock(ticker: Column) -> Column:
 
 def number(text: Column) -> Column:
     """Report number to decimal; blanks and dashes are null."""
-    cleaned = F.trim(F.regexp_replace(text, "[,　+]", ""))
-    return cleaned.try_cast(NUMBER)
+    return F.trim(F.translate(text, IGNORED_IN_NUMBERS, "")).try_cast(NUMBER)
 
 
 def number_or_zero(text: Column) -> Column:

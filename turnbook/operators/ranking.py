@@ -90,9 +90,13 @@ def traded(total: Column, active_days: Column, close: Column) -> Column:
     return ~((total == 0) & (active_days == 0) & close.isNull())
 
 
-def market_totals(daily: DataFrame, period_days: int, end_date: dt.date | None = None) -> DataFrame:
-    """One row: turnover of both markets in the current and the previous period."""
-    aged = _aged(daily.select("trading_date", "trading_value"), end_date)
+def market_totals(turnover: DataFrame, period_days: int, end_date: dt.date | None = None) -> DataFrame:
+    """One row: turnover of both markets in the current and the previous period.
+
+    ``turnover`` may have any grain (single trades will do): only dates and values
+    are read, and they are summed before the one small exchange.
+    """
+    aged = _aged(turnover.select("trading_date", "trading_value"), end_date)
     bucket = cal.period_bucket(F.col("age"), period_days)
     value = F.col("trading_value").cast("decimal(38,0)")
     return aged.where(F.col("age") < period_days * 2).agg(
@@ -126,8 +130,13 @@ def with_measures(stats: DataFrame, period_days: int) -> DataFrame:
     )
 
 
-def candidates(daily: DataFrame, stocks: DataFrame, query: RankingQuery) -> DataFrame:
-    """Known, traded tickers that pass market and threshold, with all measures."""
+def candidates(
+    daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None
+) -> DataFrame:
+    """Known, traded tickers that pass market and threshold, with all measures.
+
+    ``turnover`` is where market totals are read from, if there is a cheaper place than ``daily``.
+    """
     n = query.period_days
     stats = period_stats(daily, n, query.end_date).where(
         (F.col("n_dates") >= query.required_dates)
@@ -136,7 +145,7 @@ def candidates(daily: DataFrame, stocks: DataFrame, query: RankingQuery) -> Data
     )
     listed = stocks if query.market == ALL_MARKETS else stocks.where(F.col("market") == query.market)
     joined = with_measures(stats, n).join(listed.select("ticker", "name", "market"), "ticker")
-    with_totals = with_scalars(joined, market_totals(daily, n, query.end_date))
+    with_totals = with_scalars(joined, market_totals(turnover or daily, n, query.end_date))
     return with_totals.withColumn("share", m.share(F.col("total"), F.col("market_total"))).withColumn(
         "previous_share", m.share(F.col("previous_total"), F.col("previous_market_total"))
     ).withColumn("share_change", F.col("share") - F.col("previous_share"))
@@ -165,17 +174,17 @@ def with_ranks(
     )
 
 
-def ranked(daily: DataFrame, stocks: DataFrame, query: RankingQuery) -> DataFrame:
+def ranked(daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None) -> DataFrame:
     """The whole ranking, not cut to the top rows.
 
-    Counting the securities reads file footers only and bounds the candidates,
-    since every candidate was joined with them.
+    The count of the securities bounds the candidates, since every candidate was
+    joined with them; it is a small job on the dimension table alone.
     """
-    return with_ranks(candidates(daily, stocks, query), query.mode, stocks.count())
+    return with_ranks(candidates(daily, stocks, query, turnover), query.mode, stocks.count())
 
 
-def ranking(daily: DataFrame, stocks: DataFrame, query: RankingQuery) -> DataFrame:
-    rows = ranked(daily, stocks, query)
+def ranking(daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None) -> DataFrame:
+    rows = ranked(daily, stocks, query, turnover)
     return rows if query.top is None else rows.where(F.col("rank") <= query.top)
 
 
@@ -184,7 +193,9 @@ def rank_lookup(rows: DataFrame, pinned: DataFrame) -> DataFrame:
     return pinned.select("ticker").join(rows.select("ticker", "rank"), "ticker", "left")
 
 
-def ranking_summary(daily: DataFrame, stocks: DataFrame, query: RankingQuery) -> DataFrame:
+def ranking_summary(
+    daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None
+) -> DataFrame:
     """One row about a ranking: status, periods, totals and counts."""
     n = query.period_days
     calendar = cal.trading_calendar(daily, query.end_date)
@@ -196,9 +207,9 @@ def ranking_summary(daily: DataFrame, stocks: DataFrame, query: RankingQuery) ->
         F.min(F.when(bucket == 1, F.col("trading_date"))).alias("previous_start"),
         F.max(F.when(bucket == 1, F.col("trading_date"))).alias("previous_end"),
     )
-    counted = candidates(daily, stocks, query).agg(F.count(F.lit(1)).alias("ranked_count"))
+    counted = candidates(daily, stocks, query, turnover).agg(F.count(F.lit(1)).alias("ranked_count"))
     row = with_scalars(bounds, counted)
-    row = with_scalars(row, market_totals(daily, n, query.end_date).select("market_total"))
+    row = with_scalars(row, market_totals(turnover or daily, n, query.end_date).select("market_total"))
     row = with_scalars(row, stocks.agg(F.count(F.lit(1)).alias("stock_count")))
     enough = F.col("date_count") >= query.required_dates
 
@@ -223,8 +234,8 @@ def ranking_summary(daily: DataFrame, stocks: DataFrame, query: RankingQuery) ->
 # --- many base dates at once -------------------------------------------------
 
 
-def daily_market_totals(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("trading_date").agg(F.sum("trading_value").alias("day_total"))
+def daily_market_totals(turnover: DataFrame) -> DataFrame:
+    return turnover.groupBy("trading_date").agg(F.sum("trading_value").alias("day_total"))
 
 
 def rolling_periods(
@@ -310,23 +321,26 @@ def rolling_periods(
         .withColumn("week_baseline", F.last(opening, ignorenulls=True).over(so_far)["close"])
     )
 
-    def lagged(name: str, by: int) -> Column:
-        return F.coalesce(F.lag(name, by).over(by_age), F.lit(0))
+    # One look back per distinct distance, shared by the periods.
+    state = F.struct("cum_value", "cum_active", "last_close")
+    distances = sorted({k * n for n in periods for k in (1, 2, 3)})
+    weekly = weekly.withColumns({f"_back{k}": F.lag(state, k).over(by_age) for k in distances})
+
+    def back(k: int, name: str) -> Column:
+        return F.coalesce(F.col(f"_back{k}")[name], F.lit(0))
 
     per_period = []
     for n in periods:
+        prior = back(2 * n, "cum_value") - back(3 * n, "cum_value")
         per_period.append(
             F.struct(
                 F.lit(n).alias("period_days"),
-                (F.col("cum_value") - lagged("cum_value", n)).alias("total"),
-                (lagged("cum_value", n) - lagged("cum_value", 2 * n)).alias("previous_total"),
-                F.when(
-                    F.col("n_dates") - F.col("age") >= 3 * n,
-                    lagged("cum_value", 2 * n) - lagged("cum_value", 3 * n),
-                ).otherwise(F.lit(0)).alias("prior_total"),
-                (F.col("cum_active") - lagged("cum_active", n)).cast("int").alias("active_days"),
+                (F.col("cum_value") - back(n, "cum_value")).alias("total"),
+                (back(n, "cum_value") - back(2 * n, "cum_value")).alias("previous_total"),
+                F.when(F.col("n_dates") - F.col("age") >= 3 * n, prior).otherwise(F.lit(0)).alias("prior_total"),
+                (F.col("cum_active") - back(n, "cum_active")).cast("int").alias("active_days"),
                 F.when(F.col("last_close_age") < F.col("age") + n, F.col("last_close")).alias("end_close"),
-                F.lag("last_close", n).over(by_age).alias("baseline_close"),
+                F.col(f"_back{n}")["last_close"].alias("baseline_close"),
             )
         )
     stats = (
@@ -348,13 +362,13 @@ def rolling_periods(
 
 
 def rolling_market_totals(
-    daily: DataFrame, periods: tuple[int, ...] = cal.PERIOD_OPTIONS, dates: int = cal.SELECTABLE_DATES
+    turnover: DataFrame, periods: tuple[int, ...] = cal.PERIOD_OPTIONS, dates: int = cal.SELECTABLE_DATES
 ) -> DataFrame:
-    """Market totals per base date and period; one row per trading date goes in."""
+    """Market totals per base date and period; summed per date first, whatever the grain."""
     newest_first = W.orderBy("trading_date")
     running = newest_first.rowsBetween(W.unboundedPreceding, W.currentRow)
     days = (
-        cal.with_age(daily_market_totals(daily).withColumnRenamed("day_total", "_day"))
+        cal.with_age(daily_market_totals(turnover).withColumnRenamed("day_total", "_day"))
         .withColumn("_cum", F.sum(F.col("_day").cast("decimal(38,0)")).over(running))
     )
 
@@ -384,10 +398,11 @@ def ranking_all_dates(
     periods: tuple[int, ...] = cal.PERIOD_OPTIONS,
     dates: int = cal.SELECTABLE_DATES,
     ranks: bool = True,
+    turnover: DataFrame | None = None,
 ) -> DataFrame:
     """Unfiltered rankings of every selectable date and period in one job."""
     stats = rolling_periods(daily, stocks, periods, dates)
-    totals = rolling_market_totals(daily, periods, dates)
+    totals = rolling_market_totals(turnover or daily, periods, dates)
     n = F.col("period_days")
     rows = (
         stats.join(F.broadcast(totals), ["base_date", "period_days"])

@@ -169,7 +169,7 @@ def dedupe_last_wins(spark, sf):
 
 @query("ingest_universe", "WITH " + b.LISTING + "SELECT market, ticker FROM listing WHERE length(ticker) = 4")
 def ingest_universe(spark, sf):
-    listing = d._listing(spark, sf).select(d.ticker_of(F.col("s_suppkey")).alias("ticker"), "market")
+    listing = d.listing(spark, sf).select(d.ticker_of(F.col("s_suppkey")).alias("ticker"), "market")
     twice = listing.unionByName(listing.withColumn("ticker", F.concat("ticker", F.lit(" "))))
     twse = twice.where("market = 'TWSE'").select(F.col("ticker").alias(rp.REVENUE_TICKER))
     tpex = twice.where("market = 'TPEX'").select(F.col("ticker").alias("SecuritiesCompanyCode"))

@@ -223,7 +223,7 @@ def _now(spark, sf):
 
 def _reference(spark, sf):
     everything = r.RankingQuery(period_days=20, end_date=END, min_average=0)
-    return r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything)
+    return r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything, d.turnover(spark, sf))
 
 
 LIVE = _ctes(minimum=0) + "," + b.INTRADAY + ROUND_QUOTES + f""",

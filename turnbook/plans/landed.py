@@ -166,7 +166,7 @@ REPORT_OF_LINE = tuple(rp.NON_REGULAR_REPORTS)
 
 def non_regular(spark, sf: str) -> DataFrame:
     """One document per returned line, in the layout of the report its line number stands for."""
-    lines = d._lines(spark, sf).where(~F.col("regular"))
+    lines = d.lines(spark, sf).where(~F.col("regular"))
     ticker, value, volume = d.ticker_of(F.col("l_suppkey")), amount(F.col("cents")), amount(F.col("qty"))
     name, data = F.lit(None).cast("string"), F.lit(None).cast("array<array<string>>")
     for line, report in enumerate(REPORT_OF_LINE, 1):
@@ -186,7 +186,7 @@ def non_regular(spark, sf: str) -> DataFrame:
 
 
 def adjustments(spark, sf: str, market: str) -> DataFrame:
-    listing = d._listing(spark, sf).select(d.ticker_of(F.col("s_suppkey")).alias("ticker"), "market")
+    listing = d.listing(spark, sf).select(d.ticker_of(F.col("s_suppkey")).alias("ticker"), "market")
     events = d.adjustments(spark, sf).join(listing.where(F.col("market") == market), "ticker")
     before = amount(F.col("previous_close"), 2)
     after = amount(d.cents(F.col("reference_price")) / 100, 2)

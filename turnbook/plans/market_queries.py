@@ -54,7 +54,7 @@ def filter_common_stock(spark, sf):
 @query("filter_search", "WITH " + b.LISTING + """
 SELECT ticker, s_name AS name FROM listing WHERE contains(lower(ticker), '07') OR contains(lower(s_name), '07')""")
 def filter_search(spark, sf):
-    rows = d._listing(spark, sf).select(d.ticker_of(F.col("s_suppkey")).alias("ticker"), F.col("s_name").alias("name"))
+    rows = d.listing(spark, sf).select(d.ticker_of(F.col("s_suppkey")).alias("ticker"), F.col("s_name").alias("name"))
     return rows.where(browse.matches_search("  07 ", "ticker", "name"))
 
 
@@ -544,7 +544,7 @@ ORDER BY average_value DESC NULLS LAST, ticker LIMIT 100 OFFSET 0""")
 def browse_day(spark, sf):
     """One day's list: threshold, any of the flags, search, sort, first page."""
     day = r.RankingQuery(period_days=1, end_date=END, min_average=0)
-    rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), day)
+    rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), day, d.turnover(spark, sf))
     rows = rows.where(F.col("average_value") >= 1_000_000).where(browse.matches_search(" Supplier ", "ticker", "name"))
     rows = browse.status_any(rows, _flags(spark, sf), True, True)
     shown = browse.page(rows, 1, browse.sort_order("average_value", True, False))
@@ -563,7 +563,7 @@ SOURCE_WHERE = "NOT (trading_date BETWEEN DATE '2000-07-03' AND DATE '2000-07-07
 
 
 def _bars_of(spark, sf, condition):
-    lines = d._lines(spark, sf).where(condition)
+    lines = d.lines(spark, sf).where(condition)
     return lines.groupBy(d.ticker_of(F.col("l_suppkey")).alias("ticker"), "trading_date").agg(
         F.sum("cents").alias("trading_value"), F.sum("qty").alias("trading_volume")
     )
@@ -648,7 +648,7 @@ stored AS (
 def _stored(spark, sf):
     both = d.market_index(spark, sf).groupBy("trading_date").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
     per_day = (
-        d._lines(spark, sf)
+        d.lines(spark, sf)
         .groupBy("trading_date")
         .agg(
             F.sum("qty").alias("q"),

@@ -43,12 +43,12 @@ def _ctes(mode="heat", market="all", minimum=MINIMUM, end=ENDS, n=N):
 
 @query("ranking_heat", _ctes() + RANK_SQL + ' WHERE "rank" <= 100')
 def ranking_heat(spark, sf):
-    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), HEAT), RANK_SPEC)
+    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), HEAT, d.turnover(spark, sf)), RANK_SPEC)
 
 
 @query("ranking_acceleration", _ctes("acceleration") + RANK_SQL + ' WHERE "rank" <= 100')
 def ranking_acceleration(spark, sf):
-    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), ACCELERATION), RANK_SPEC)
+    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), ACCELERATION, d.turnover(spark, sf)), RANK_SPEC)
 
 
 def _summary_sql(mode, n, end, minimum):
@@ -84,9 +84,9 @@ SUMMARY_SPEC = (
 )
 def ranking_summary(spark, sf):
     """A ranking that has enough dates, and one that has not."""
-    daily, stocks = d.daily(spark, sf), d.securities(spark, sf)
+    daily, stocks, trades = d.daily(spark, sf), d.securities(spark, sf), d.turnover(spark, sf)
     short = r.RankingQuery(period_days=900, end_date=END, mode=r.ACCELERATION, min_average=0)
-    both = r.ranking_summary(daily, stocks, HEAT).unionByName(r.ranking_summary(daily, stocks, short))
+    both = r.ranking_summary(daily, stocks, HEAT, trades).unionByName(r.ranking_summary(daily, stocks, short, trades))
     return shape(both, SUMMARY_SPEC)
 
 
@@ -104,7 +104,7 @@ SELECT ticker, round(price_change, 6) AS price_change, round(daily_price_change,
 FROM cand""")
 def price_changes(spark, sf):
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0)
-    return shape(r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything), PRICE_SPEC)
+    return shape(r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything, d.turnover(spark, sf)), PRICE_SPEC)
 
 
 # --- steps of the ranking ----------------------------------------------------
@@ -119,13 +119,13 @@ def filter_as_of(spark, sf):
 @query("filter_market", _ctes(market="TPEX") + RANK_SQL)
 def filter_market(spark, sf):
     only = r.RankingQuery(period_days=N, end_date=END, min_average=MINIMUM, market="TPEX", top=None)
-    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), only), RANK_SPEC)
+    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), only, d.turnover(spark, sf)), RANK_SPEC)
 
 
 @query("filter_threshold", _ctes(minimum=2_000_000) + RANK_SQL)
 def filter_threshold(spark, sf):
     high = r.RankingQuery(period_days=N, end_date=END, min_average=2_000_000, top=None)
-    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), high), RANK_SPEC)
+    return shape(r.ranking(d.daily(spark, sf), d.securities(spark, sf), high, d.turnover(spark, sf)), RANK_SPEC)
 
 
 @query("period_windows", "WITH " + b.BARS + f""",
@@ -154,14 +154,14 @@ def agg_period_stats(spark, sf):
 @query("agg_market_total", _ctes() + """
 SELECT CAST(market_total AS BIGINT) AS market_total, CAST(previous_market_total AS BIGINT) AS previous_market_total FROM totals""")
 def agg_market_total(spark, sf):
-    return shape(r.market_totals(d.daily(spark, sf), N, END), "market_total:l previous_market_total:l")
+    return shape(r.market_totals(d.turnover(spark, sf), N, END), "market_total:l previous_market_total:l")
 
 
 @query("market_share", _ctes() + """
 SELECT ticker, round(share, 8) AS share, round(previous_share, 8) AS previous_share, round(share - previous_share, 8) AS share_change
 FROM cand""")
 def market_share(spark, sf):
-    rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), HEAT)
+    rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), HEAT, d.turnover(spark, sf))
     return shape(rows, "ticker share:r8 previous_share:r8 share_change:r8")
 
 
@@ -200,20 +200,20 @@ SELECT ticker, round(change_rate, 6) AS change_rate, "rank" FROM ranked""")
 def rank_rows(spark, sf):
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0, mode=r.ACCELERATION)
     stocks = d.securities(spark, sf)
-    rows = with_position(r.candidates(d.daily(spark, sf), stocks, everything), "change_rate", "rank", stocks.count())
+    rows = with_position(r.candidates(d.daily(spark, sf), stocks, everything, d.turnover(spark, sf)), "change_rate", "rank", stocks.count())
     return shape(rows, "ticker change_rate:r6 rank:l")
 
 
 @query("rank_previous", _ctes(minimum=0) + "SELECT ticker, previous_rank FROM ranked")
 def rank_previous(spark, sf):
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0)
-    return shape(r.ranked(d.daily(spark, sf), d.securities(spark, sf), everything), "ticker previous_rank:l")
+    return shape(r.ranked(d.daily(spark, sf), d.securities(spark, sf), everything, d.turnover(spark, sf)), "ticker previous_rank:l")
 
 
 @query("rank_change", _ctes("acceleration", minimum=0) + 'SELECT ticker, "rank", previous_rank, rank_change FROM ranked')
 def rank_change(spark, sf):
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0, mode=r.ACCELERATION)
-    rows = r.ranked(d.daily(spark, sf), d.securities(spark, sf), everything)
+    rows = r.ranked(d.daily(spark, sf), d.securities(spark, sf), everything, d.turnover(spark, sf))
     return shape(rows, "ticker rank:l previous_rank:l rank_change:l")
 
 
@@ -223,10 +223,10 @@ FROM ranked WHERE "rank" <= 25""")
 def topn_ranking(spark, sf):
     """A top-k report together with the number of candidates behind it."""
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0, top=25)
-    daily, stocks = d.daily(spark, sf), d.securities(spark, sf)
-    count = r.candidates(daily, stocks, everything).agg(F.count(F.lit(1)).alias("candidate_count"))
+    daily, stocks, trades = d.daily(spark, sf), d.securities(spark, sf), d.turnover(spark, sf)
+    count = r.candidates(daily, stocks, everything, trades).agg(F.count(F.lit(1)).alias("candidate_count"))
     return shape(
-        r.with_scalars(r.ranking(daily, stocks, everything), count), "rank:l ticker average_value:r4 candidate_count:l"
+        r.with_scalars(r.ranking(daily, stocks, everything, trades), count), "rank:l ticker average_value:r4 candidate_count:l"
     )
 
 
@@ -235,7 +235,7 @@ SELECT l.ticker, r."rank" FROM listing l LEFT JOIN ranked r ON l.ticker = r.tick
 def rank_lookup(spark, sf):
     """Every supplier is pinned; those without a listing or below the threshold stay unranked."""
     pinned = d.table(spark, sf, "supplier").select(d.ticker_of(F.col("s_suppkey")).alias("ticker"))
-    rows = r.ranked(d.daily(spark, sf), d.securities(spark, sf), HEAT)
+    rows = r.ranked(d.daily(spark, sf), d.securities(spark, sf), HEAT, d.turnover(spark, sf))
     return shape(r.rank_lookup(rows, pinned), "ticker rank:l")
 
 
@@ -246,7 +246,7 @@ def sort_by_column(spark, sf):
     """Ascending with nulls last; the position shows the order in an unordered comparison."""
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0)
     stocks = d.securities(spark, sf)
-    rows = r.candidates(d.daily(spark, sf), stocks, everything).withColumn("_key", -F.col("daily_price_change"))
+    rows = r.candidates(d.daily(spark, sf), stocks, everything, d.turnover(spark, sf)).withColumn("_key", -F.col("daily_price_change"))
     placed = with_position(rows, "_key", "position", stocks.count())
     ordered = browse.sort_by(placed, "daily_price_change", descending=False)
     return shape(ordered, "ticker daily_price_change:r6 position:l")
@@ -262,7 +262,7 @@ WHERE position > (page - 1) * 40 AND position <= page * 40""")
 def page_rows(spark, sf):
     """The second page, or the last one where there are fewer."""
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0)
-    rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything)
+    rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything, d.turnover(spark, sf))
     return shape(browse.page(rows, 2, browse.sort_order("average_value", True, False), size=40), "ticker average_value:r4")
 
 
@@ -376,7 +376,7 @@ SELECT base_date, n::BIGINT AS period_days, row_number() OVER (PARTITION BY base
        week_base_c / 100.0::DOUBLE AS week_baseline, end_c / 100.0::DOUBLE AS "close", active_days
 FROM rows_""")
 def ranking_full_export(spark, sf):
-    rows = r.ranking_all_dates(d.daily(spark, sf), d.securities(spark, sf))
+    rows = r.ranking_all_dates(d.daily(spark, sf), d.securities(spark, sf), turnover=d.turnover(spark, sf))
     return shape(
         rows,
         "base_date period_days:l rank:l previous_rank:l ticker name market average_value:r4 previous_average_value:r4 "

@@ -146,7 +146,7 @@ SELECT n::BIGINT AS period_days, base_date, ticker, name, lower(market) AS marke
 FROM rows_""")
 def export_rankings(spark, sf):
     path = scratch_path(spark, "rankings")
-    exports.export_rankings(d.daily(spark, sf), d.securities(spark, sf), path)
+    exports.export_rankings(d.daily(spark, sf), d.securities(spark, sf), path, d.turnover(spark, sf))
     return shape(
         spark.read.parquet(path),
         "period_days:l base_date ticker name market value previous_value rate previous_rate share share_change "
@@ -193,7 +193,7 @@ SELECT ticker, arg_max(name, trading_date) AS name, arg_max(market, trading_date
 UNION SELECT ticker, s_name, market FROM listing WHERE ticker NOT IN (SELECT ticker FROM quotes)""")
 def upsert_securities(spark, sf):
     """Names seen in the quotes replace the stored ones; the latest date wins."""
-    stored = d._listing(spark, sf).select(
+    stored = d.listing(spark, sf).select(
         d.ticker_of(F.col("s_suppkey")).alias("ticker"), F.col("s_name").alias("name"), "market"
     )
     seen = d.daily_quotes(spark, sf).select("ticker", "name", "market", "trading_date")

@@ -16,6 +16,8 @@ def build_session(cores: str = "8", app: str = "turnbook", shuffle_partitions: i
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Local data is small: without this most stages shrink to a single task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TURNBOOK_DRIVER_MEMORY", "6g"))

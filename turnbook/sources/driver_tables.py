@@ -7,14 +7,21 @@ in whole cents (bigint), so sums do not depend on the order of rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from turnbook.functions import measures as m
 
 PRICE = "decimal(10,2)"
 
+_SCHEMAS: dict[str, StructType] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the footer once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def cents(amount: Column) -> Column:
@@ -29,7 +36,8 @@ def ticker_of(key: Column) -> Column:
     return (key + 1000).cast("string")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with cents, whole quantities and the unit price."""
     qty = F.col("l_quantity").cast("bigint")
     return (
         table(spark, sf_dir, "lineitem")
@@ -49,7 +57,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     regular = F.col("regular")
     grouped = (
-        _lines(spark, sf_dir)
+        lines(spark, sf_dir)
         .groupBy("l_suppkey", "trading_date")
         .agg(
             F.sum("cents").alias("trading_value"),
@@ -78,24 +86,30 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+def with_market(spark: SparkSession, sf_dir: str, rows: DataFrame, nation_key: str) -> DataFrame:
+    """Add the market of a nation: TWSE for three of the five regions, TPEX for the others.
+
+    Semi and anti joins keep the size estimate of ``rows``; an inner join would
+    multiply it and lead the planner to broadcast the wrong side later on.
+    """
     # The nation table has 25 rows at every scale.
-    return (
-        table(spark, sf_dir, "supplier")
-        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            "s_suppkey",
-            "s_name",
-            "s_acctbal",
-            F.when(F.col("n_regionkey").isin(0, 2, 4), "TWSE").otherwise("TPEX").alias("market"),
-        )
+    first = F.broadcast(
+        table(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(0, 2, 4)).select(F.col("n_nationkey").alias(nation_key))
     )
+    twse = rows.join(first, nation_key, "left_semi").withColumn("market", F.lit("TWSE"))
+    tpex = rows.join(first, nation_key, "left_anti").withColumn("market", F.lit("TPEX"))
+    return twse.unionByName(tpex)
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers with their market, listed or not."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    return with_market(spark, sf_dir, rows, "s_nationkey").drop("s_nationkey")
 
 
 def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known shares; suppliers in debt are not listed, so their lines have no security."""
-    return _listing(spark, sf_dir).where(F.col("s_acctbal") >= 0).select(
+    return listing(spark, sf_dir).where(F.col("s_acctbal") >= 0).select(
         ticker_of(F.col("s_suppkey")).alias("ticker"), F.col("s_name").alias("name"), "market"
     )
 
@@ -105,12 +119,19 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).drop("l_suppkey", "_open_line")
 
 
+def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value of every single trade, for totals that need no panel."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.to_date("l_shipdate").alias("trading_date"), cents(F.col("l_extendedprice")).alias("trading_value")
+    )
+
+
 def daily_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily panel with market and name; a name may change from one date to the next."""
-    listing = _listing(spark, sf_dir).select("s_suppkey", "s_name", "market")
+    named = listing(spark, sf_dir).select("s_suppkey", "s_name", "market")
     return (
         bars(spark, sf_dir)
-        .join(listing, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(named, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             "market",
             "ticker",
@@ -130,7 +151,7 @@ def daily_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def non_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd-lot and block trades: returned lines, not yet summed."""
     return (
-        _lines(spark, sf_dir)
+        lines(spark, sf_dir)
         .where(~F.col("regular"))
         .select(
             ticker_of(F.col("l_suppkey")).alias("ticker"),
@@ -157,10 +178,9 @@ def adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index value per date and market: order totals, in units of the order currency."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    customer = table(spark, sf_dir, "customer").join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
-    ).select("c_custkey", F.when(F.col("n_regionkey").isin(0, 2, 4), "TWSE").otherwise("TPEX").alias("market"))
+    customer = with_market(
+        spark, sf_dir, table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey"
+    ).select("c_custkey", "market")
     return (
         table(spark, sf_dir, "orders")
         .select("o_custkey", F.to_date("o_orderdate").alias("trading_date"), cents(F.col("o_totalprice")).alias("c"))

@@ -35,13 +35,13 @@ def rounded_rankings(rows: DataFrame) -> DataFrame:
     )
 
 
-def export_rankings(daily: DataFrame, stocks: DataFrame, path: str) -> None:
+def export_rankings(daily: DataFrame, stocks: DataFrame, path: str, turnover: DataFrame | None = None) -> None:
     """All selectable dates and periods, one partition folder each.
 
     The folders have about the same number of rows, so they are spread by hash
     over as many tasks as there are cores.
     """
-    rows = rounded_rankings(r.ranking_all_dates(daily, stocks, ranks=False))
+    rows = rounded_rankings(r.ranking_all_dates(daily, stocks, ranks=False, turnover=turnover))
     keys = ("period_days", "base_date")
     tasks = rows.sparkSession.sparkContext.defaultParallelism
     rows.repartition(tasks, *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)

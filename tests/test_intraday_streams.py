@@ -13,8 +13,8 @@ from turnbook.sources import driver_tables as d, snapshots as sn, tables as tb
 from turnbook.streaming import rounds as st
 
 AT = dt.datetime(2026, 8, 18, 2, 0)
-FULL = {"c": "2330", "n": "台積電", "ex": "tse", "d": "20260818", "z": "-", "pz": "-", "a": "2380.0000_2385.0000_",
-        "b": "2375.0000_2370.0000_", "o": "2400.0000", "h": "2415.0000", "l": "2375.0000", "y": "2415.0000", "v": "7356"}
+FULL = {"c": "4321", "n": "甲", "ex": "tse", "d": "20260818", "z": "-", "pz": "-", "a": "64.20_64.30_64.40_",
+        "b": "64.00_63.90_", "o": "62.50", "h": "65.00", "l": "62.00", "y": "61.00", "v": "815"}
 
 
 def items(spark, *changes):
@@ -24,14 +24,14 @@ def items(spark, *changes):
 
 
 @pytest.mark.parametrize("change,price,source", [
-    ({}, 2377.5, "bid_ask_mid"),
-    ({"z": "2390"}, 2390, "last_trade"),
-    ({"pz": "2391"}, 2391, "previous_trade"),
-    ({"a": ""}, 2375, "bid_ask_mid"),
-    ({"b": "-"}, 2380, "bid_ask_mid"),
-    ({"a": "-", "b": "-"}, 2395, "high_low_mid"),
-    ({"a": "-", "b": "-", "h": "-"}, 2400, "open"),
-    ({"a": "-", "b": "-", "h": "-", "o": "-", "y": "31.5", "v": "0"}, 31.5, "previous_close"),
+    ({}, 64.1, "bid_ask_mid"),
+    ({"z": "64.5"}, 64.5, "last_trade"),
+    ({"pz": "63.7"}, 63.7, "previous_trade"),
+    ({"a": ""}, 64, "bid_ask_mid"),
+    ({"b": "-"}, 64.2, "bid_ask_mid"),
+    ({"a": "-", "b": "-"}, 63.5, "high_low_mid"),
+    ({"a": "-", "b": "-", "h": "-"}, 62.5, "open"),
+    ({"a": "-", "b": "-", "h": "-", "o": "-", "v": "0"}, 61, "previous_close"),
     ({"a": "-", "b": "-", "h": "-", "o": "-", "y": "-"}, None, "none"),
 ])
 def test_price_sources(spark, change, price, source):
@@ -42,7 +42,7 @@ def test_price_sources(spark, change, price, source):
     elif source == "previous_close":
         assert (x.turnover, float(x.change_percent)) == (0, 0)
     else:
-        assert x.trading_volume == 7_356_000 and x.turnover == int(price * 7_356_000)
+        assert x.trading_volume == 815_000 and x.turnover == round(price * 815_000)
 
 
 def test_index_channels_are_not_quotes(spark):
@@ -54,7 +54,7 @@ def test_index_channels_are_not_quotes(spark):
 
 
 @pytest.mark.parametrize("before,now,ok", [
-    (None, 1, True), (6543, 6698, True), (6543, 6400, True), (9405, 6858, False), (17972, 15992, False), (5459, 2509, False),
+    (None, 1, True), (700, 820, True), (700, 640, True), (700, 520, False), (31000, 27800, False), (450, 3, False),
     (0, 0, True), (100, 90, True), (1000, 899, False),
 ])
 def test_gate_rule(spark, before, now, ok):
@@ -74,18 +74,18 @@ def test_gate_compares_with_the_last_accepted_round(spark):
 
 
 def reference(spark, week):
-    return spark.createDataFrame([("2330", 10.0, 0.5, 0.1, 100.0, week)],
+    return spark.createDataFrame([("4321", 10.0, 0.5, 0.1, 100.0, week)],
                                  "ticker string, average_value double, share double, share_change double, end_close double, week_baseline double")
 
 
 @pytest.mark.parametrize("reference_date,expected", [(dt.date(2026, 8, 17), 0.5), (dt.date(2026, 8, 14), 0.2)])
 def test_intraday_week_baseline(spark, reference_date, expected):
-    rows = spark.createDataFrame([("2330", "n", "TWSE", 120.0, 60, AT.date(), AT), ("1101", "n", "TPEX", 1.0, 40, AT.date(), AT)],
+    rows = spark.createDataFrame([("4321", "n", "TWSE", 120.0, 60, AT.date(), AT), ("5678", "n", "TPEX", 1.0, 40, AT.date(), AT)],
                                  "ticker string, name string, market string, price double, turnover bigint, trade_date date, captured_at timestamp_ntz")
-    got = {x.ticker: x for x in it.ranking(rows, reference(spark, 80.0), reference_date, 2).collect()}
-    assert got["2330"].weekly_price_change == pytest.approx(expected)
-    assert (got["2330"].share, got["2330"].previous_rank, got["1101"].previous_rank) == (0.6, 1, None)
-    assert it.ranking(rows, reference(spark, 80.0).where("false"), reference_date, 2, mode="acceleration").count() == 0
+    got = {x.ticker: x for x in it.ranking(rows, reference(spark, 80.0), reference_date).collect()}
+    assert got["4321"].weekly_price_change == pytest.approx(expected)
+    assert (got["4321"].share, got["4321"].previous_rank, got["5678"].previous_rank) == (0.6, 1, None)
+    assert it.ranking(rows, reference(spark, 80.0).where("false"), reference_date, mode="acceleration").count() == 0
 
 
 def test_session_verdicts(spark):
@@ -98,15 +98,15 @@ def test_session_verdicts(spark):
 def test_latest_disposition_wins(spark):
     day = dt.date
     rows = spark.createDataFrame([
-        ("2330", day(2026, 8, 1), day(2026, 8, 20), 5, 1), ("2330", day(2026, 8, 2), day(2026, 8, 25), 20, 2),
-        ("2330", day(2026, 8, 3), day(2026, 8, 25), 2, 3), ("1101", day(2026, 8, 19), day(2026, 8, 30), 5, 4),
-        ("6488", day(2026, 8, 18), day(2026, 8, 18), 5, 5)],
+        ("4321", day(2026, 8, 1), day(2026, 8, 20), 5, 1), ("4321", day(2026, 8, 2), day(2026, 8, 25), 20, 2),
+        ("4321", day(2026, 8, 3), day(2026, 8, 25), 2, 3), ("5678", day(2026, 8, 19), day(2026, 8, 30), 5, 4),
+        ("7654", day(2026, 8, 18), day(2026, 8, 18), 5, 5)],
         "ticker string, start date, end date, matching_minutes int, source_order int")
     active = fl.latest_dispositions(rows, day(2026, 8, 18))
-    assert {x.ticker: x.matching_minutes for x in active.collect()} == {"2330": 20, "6488": 5}
-    flags = {x.ticker: tuple(x)[1:] for x in fl.market_flags(active, spark.createDataFrame([("2330",), ("9999",)], "ticker string")).collect()}
-    assert flags["2330"] == ("2026/08/02 ~ 2026/08/25", 20, True)
-    assert flags["9999"] == (None, None, True) and flags["6488"][2] is False
+    assert {x.ticker: x.matching_minutes for x in active.collect()} == {"4321": 20, "7654": 5}
+    flags = {x.ticker: tuple(x)[1:] for x in fl.market_flags(active, spark.createDataFrame([("4321",), ("9999",)], "ticker string")).collect()}
+    assert flags["4321"] == ("2026/08/02 ~ 2026/08/25", 20, True)
+    assert flags["9999"] == (None, None, True) and flags["7654"][2] is False
 
 
 def test_day_outcomes(spark):

@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from market_builder import day, panel, stocks, values
 from turnbook.operators import calendar as cal, ranking as r
@@ -209,7 +209,21 @@ def test_positions_in_ranges_equal_one_ordered_window(spark):
         F.when(F.col("id") < 20_000, "a").otherwise("b").alias("g"),
     )
     for within in ((), ("g",)):
-        one = with_position(df, "key", "n", 30_000, within)
-        ranged = with_position(df, "key", "n", None, within)
-        assert one.join(ranged.withColumnRenamed("n", "m"), ["ticker", *within]).where("n <> m").count() == 0
+        window = W.partitionBy(*within).orderBy(F.col("key").desc_nulls_last(), "ticker")
+        one = df.withColumn("n", F.row_number().over(window).cast("bigint"))
+        ranged = with_position(df, "key", "m", within)
+        assert dict(ranged.dtypes)["m"] == "bigint"
+        assert one.join(ranged.select("ticker", *within, "m"), ["ticker", *within]).where("n <> m").count() == 0
         assert ranged.count() == 30_000
+
+
+def test_positions_compare_keys_in_their_own_type(spark):
+    """Neighbouring whole numbers beyond 2**53, which a double cannot tell apart."""
+    df = spark.range(20_000).select(
+        F.format_string("%05d", F.pmod(F.col("id") * 7919, F.lit(20_000))).alias("ticker"),
+        (F.lit(2**53) + F.floor(F.col("id") / 3).cast("bigint")).alias("key"),
+    )
+    for descending in (True, False):
+        rows = with_position(df, "key", "n", descending=descending).collect()
+        expected = sorted(rows, key=lambda r: (-r.key if descending else r.key, r.ticker))
+        assert [r.n for r in expected] == list(range(1, 20_001))

@@ -24,8 +24,12 @@ CHINESE_DIGITS = "零一二三四五六七八九"
 CHINESE_TEN = "十"
 
 
+def is_code(ticker: Column, pattern: str) -> Column:
+    return F.coalesce(ticker.rlike(pattern), F.lit(False))
+
+
 def is_common_stock(ticker: Column) -> Column:
-    return F.coalesce(ticker.rlike(COMMON_STOCK_PATTERN), F.lit(False))
+    return is_code(ticker, COMMON_STOCK_PATTERN)
 
 
 def number(text: Column) -> Column:

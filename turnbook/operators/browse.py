@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnbook.operators.ranks import with_position
+
 # Fixed value: rows per page.
 PAGE_ROWS = 100
 
@@ -43,11 +45,14 @@ def sort_order(column: str, descending: bool, text: bool) -> list[Column]:
     return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("ticker").asc()]
 
 
-def page(rows: DataFrame, number: int, order: list[Column], size: int = PAGE_ROWS) -> DataFrame:
-    """One page; the number is clamped to the pages there are.
+def page(rows: DataFrame, number: int, column: str, descending: bool = True, size: int = PAGE_ROWS) -> DataFrame:
+    """One page in the order of ``sort_by``; the number is clamped to the pages there are.
 
-    The row count is the only value that reaches the driver.
+    Position and number of rows come from the same computed rows.
     """
-    pages = max(1, -(-rows.count() // size))
-    chosen = min(max(number, 1), pages)
-    return rows.orderBy(*order).offset((chosen - 1) * size).limit(size)
+    placed = with_position(rows, column, "_position", descending=descending)
+    total = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    pages = F.greatest(F.lit(1), F.ceil(total / size))
+    chosen = F.least(F.lit(max(number, 1)), pages)
+    on_page = F.ceil(F.col("_position") / size) == chosen
+    return placed.where(on_page).orderBy("_position").drop("_position")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnbook.functions import measures as m, parsing as p
 from turnbook.operators.ranking import ACCELERATION, ALL_MARKETS, HEAT
-from turnbook.operators.ranks import with_position
+from turnbook.operators.ranks import with_positions
 
 # Shares per lot; a round may fall to nine tenths of the last accepted one.
 SHARES_PER_LOT = 1000
@@ -57,11 +57,11 @@ def estimated_turnover(price: Column, volume: Column) -> Column:
     return F.coalesce(m.half_even(price * volume, 0), F.lit(0)).cast("bigint")
 
 
-def quotes_of_items(items: DataFrame) -> DataFrame:
-    """Typed quotes of the common shares among the feed entries."""
+def quotes_of_items(items: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
+    """Typed quotes of the feed entries with a wanted code, by default the common shares."""
     price, source = resolve_price(*[F.col(c) for c in ("z", "pz", "a", "b", "h", "l", "o", "y")])
     return (
-        items.where(p.is_common_stock(F.col("c")))
+        items.where(p.is_code(F.col("c"), codes))
         .withColumn("price", price)
         .withColumn("price_source", source)
         .withColumn("trading_volume", (p.number_or_zero(F.col("v")) * SHARES_PER_LOT).cast("bigint"))
@@ -214,12 +214,6 @@ def curve_profile(curve: DataFrame, slot_minutes: int = 2) -> DataFrame:
     )
 
 
-def tumbling_totals(quotes: DataFrame, width: str = "2 minutes") -> DataFrame:
-    return quotes.groupBy(F.window("captured_at", width).alias("w")).agg(
-        F.sum("turnover").alias("turnover_total"), F.count(F.lit(1)).alias("quote_count")
-    )
-
-
 def session_outcomes(rounds: DataFrame) -> DataFrame:
     """Rounds per status and the verdict of each session.
 
@@ -272,20 +266,24 @@ def ranking(
     rows: DataFrame,
     reference: DataFrame,
     reference_date: dt.date,
-    row_bound: int | None,
     mode: str = HEAT,
     market: str = ALL_MARKETS,
     top: int | None = 100,
 ) -> DataFrame:
     """Rank one round by turnover or share change; previous rank by the reference period."""
-    measured = with_reference(rows, reference, reference_date)
+    return ranking_of_measured(with_reference(rows, reference, reference_date), reference, mode, market, top)
+
+
+def ranking_of_measured(
+    measured: DataFrame, reference: DataFrame, mode: str = HEAT, market: str = ALL_MARKETS, top: int | None = 100
+) -> DataFrame:
+    """The ranking of a round that ``with_reference`` has already measured."""
     chosen = measured if market == ALL_MARKETS else measured.where(F.col("market") == market)
     key, past_key = ("share_change", "past_share_change") if mode == ACCELERATION else ("turnover", "past_value")
     if mode == ACCELERATION:
         # Without any reference there is nothing to accelerate against.
         chosen = chosen.withColumn("_known", reference.limit(1).agg(F.count(F.lit(1))).scalar()).where("_known > 0").drop("_known")
-    placed = with_position(chosen, key, "rank", row_bound)
-    placed = with_position(placed, past_key, "_previous", row_bound)
+    placed = with_positions(chosen, {"rank": key, "_previous": past_key})
     result = (
         placed.withColumn("previous_rank", F.when(F.col(past_key).isNotNull(), F.col("_previous")))
         .withColumn("rank_change", F.col("previous_rank") - F.col("rank"))

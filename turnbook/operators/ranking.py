@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnbook.functions import measures as m
 from turnbook.operators import calendar as cal
-from turnbook.operators.ranks import with_position
+from turnbook.operators.ranks import with_positions
 
 HEAT = "heat"
 ACCELERATION = "acceleration"
@@ -157,13 +157,10 @@ def sort_keys(mode: str) -> tuple[str, str]:
     return "average_value", "previous_average_value"
 
 
-def with_ranks(
-    rows: DataFrame, mode: str, row_bound: int | None, within: tuple[str, ...] = ()
-) -> DataFrame:
+def with_ranks(rows: DataFrame, mode: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``rank``, ``previous_rank`` and ``rank_change`` over the same rows."""
     key, previous_key = sort_keys(mode)
-    placed = with_position(rows, key, "rank", row_bound, within)
-    placed = with_position(placed, previous_key, "_previous", row_bound, within)
+    placed = with_positions(rows, {"rank": key, "_previous": previous_key}, within)
     comparable = F.col(previous_key).isNotNull()
     if mode == HEAT:
         comparable = comparable & (F.col(previous_key) > 0)
@@ -175,12 +172,8 @@ def with_ranks(
 
 
 def ranked(daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None) -> DataFrame:
-    """The whole ranking, not cut to the top rows.
-
-    The count of the securities bounds the candidates, since every candidate was
-    joined with them; it is a small job on the dimension table alone.
-    """
-    return with_ranks(candidates(daily, stocks, query, turnover), query.mode, stocks.count())
+    """The whole ranking, not cut to the top rows."""
+    return with_ranks(candidates(daily, stocks, query, turnover), query.mode)
 
 
 def ranking(daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None) -> DataFrame:
@@ -420,4 +413,4 @@ def ranking_all_dates(
     )
     if not ranks:
         return rows
-    return with_ranks(rows, HEAT, stocks.count(), ("base_date", "period_days"))
+    return with_ranks(rows, HEAT, ("base_date", "period_days"))

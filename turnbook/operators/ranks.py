@@ -1,10 +1,11 @@
 """Positions 1..n over a whole result, without one task sorting everything.
 
-``row_number`` over an unpartitioned window sends all rows to one task.  That is
-fine for a set whose size was checked; beyond it, rows are first put into value
-ranges.  The range bounds come from a sample chosen by hash, which makes them a
-pure function of the data: a re-run task after a lost executor, or a second
-evaluation of the same branch, always sees the same bounds.
+Rows are put into value ranges first; positions within a range and the sizes of
+the ranges before it add up to the position.  The range bounds come from a
+sample chosen by hash, which makes them a pure function of the data: a re-run
+task after a lost executor, or a second evaluation of the same branch, always
+sees the same bounds.  Keys are compared in their own type.  The number of
+ranges limits how many tasks sort at a time, nothing else.
 """
 
 from __future__ import annotations
@@ -13,65 +14,59 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnbook.session import materialize
 
-# Up to this many rows one task sorts a ranking in about a second.
-SINGLE_TASK_ROWS = 1_000_000
 SAMPLE_ROWS = 8192
 RANGES = 512
 
 
-def ordering(key: str, ticker: str = "ticker") -> list[Column]:
-    """Nulls last, larger first, then ticker in ordinal order."""
-    return [F.col(key).desc_nulls_last(), F.col(ticker).asc()]
+def ordering(key: str, ticker: str = "ticker", descending: bool = True) -> list[Column]:
+    """Nulls last, larger (or smaller) first, then ticker in ordinal order."""
+    column = F.col(key)
+    return [column.desc_nulls_last() if descending else column.asc_nulls_last(), F.col(ticker).asc()]
 
 
-def with_position(
-    df: DataFrame,
-    key: str,
-    name: str,
-    row_bound: int | None,
-    within: tuple[str, ...] = (),
-    ticker: str = "ticker",
-    single_task_rows: int = SINGLE_TASK_ROWS,
+def with_positions(
+    df: DataFrame, keys: dict[str, str], within: tuple[str, ...] = (), ticker: str = "ticker", descending: bool = True
 ) -> DataFrame:
-    """Add ``name``: the position by ``key`` inside each ``within`` group.
+    """Add for each ``name: key`` the bigint position by ``key`` inside each ``within`` group.
 
-    ``row_bound`` is a proven upper bound of the rows per group (for example the
-    row count of the securities table the rows were joined with), or None when
-    nothing is known; (``ticker``, ``within``) must be unique.
+    (``ticker``, ``within``) must be unique.  Several branches read the rows, so
+    they are computed once.
     """
-    if row_bound is not None and row_bound <= single_task_rows:
-        window = W.partitionBy(*within).orderBy(*ordering(key, ticker))
-        return df.withColumn(name, F.row_number().over(window))
-    return _ranged_position(df, key, name, within, ticker)
-
-
-def _sort_value(key: str, ticker: str) -> Column:
-    # Ascending struct order equals the ranking order.
-    value = F.col(key).cast("double")
-    return F.struct(
-        value.isNull().alias("is_null"),
-        (-F.coalesce(value, F.lit(0.0))).alias("negated"),
-        F.col(ticker).alias("ticker"),
-    )
+    df = materialize(df, "ranking")
+    for name, key in keys.items():
+        df = _positioned(df, key, name, within, ticker, descending)
+    return df
 
 
-def _ranged_position(df, key, name, within, ticker):
-    # Three branches read the rows; compute them once.
-    df = materialize(df, "ranking")
-    # Bottom-k by hash is a fixed-size sample that needs no random numbers.
-    sample = (
-        df.select(_sort_value(key, ticker).alias("v"), F.xxhash64(ticker, *within).alias("h"))
-        .orderBy("h", "v")
-        .limit(SAMPLE_ROWS)
-    )
-    ordered = F.sort_array(F.collect_list("v"))  # at most SAMPLE_ROWS values
-    step = F.greatest(F.lit(1), F.floor(F.size("s") / RANGES).cast("int"))
-    bounds = sample.agg(ordered.alias("s")).select(
-        F.filter("s", lambda _, i: F.floor(i / step) * step == i).alias("bounds")
-    )
-    spread = df.withColumn("_bounds", bounds.scalar()).withColumn(
-        "_range",
-        F.size(F.filter("_bounds", lambda b: b < _sort_value(key, ticker))),
+def with_position(
+    df: DataFrame, key: str, name: str, within: tuple[str, ...] = (), ticker: str = "ticker", descending: bool = True
+) -> DataFrame:
+    return with_positions(df, {name: key}, within, ticker, descending)
+
+
+def _bounds(df: DataFrame, key: str, within: tuple[str, ...], ticker: str, descending: bool) -> DataFrame:
+    """One row with an array of at most about RANGES rows, evenly spread over a bottom-k sample by hash."""
+    sample = df.select(F.col(key).alias("key"), F.col(ticker).alias("ticker"), F.xxhash64(ticker, *within).alias("h"))
+    sample = sample.orderBy("h", "ticker", "key").limit(SAMPLE_ROWS)
+    place = F.row_number().over(W.orderBy(*ordering("key", "ticker", descending))) - 1
+    total = F.count(F.lit(1)).over(W.partitionBy())
+    step = F.greatest(F.lit(1), F.floor(total / RANGES))
+    chosen = sample.select("key", "ticker", place.alias("place"), step.alias("step")).where("place % step = 0")
+    return chosen.agg(F.collect_list(F.struct("key", "ticker")).alias("bounds"))
+
+
+def _precedes(bound: Column, key: str, ticker: str, descending: bool) -> Column:
+    """Whether a bound comes before the row in ranking order."""
+    mine, theirs = F.col(key), bound["key"]
+    ahead = theirs > mine if descending else theirs < mine
+    tie = theirs.eqNullSafe(mine) & (bound["ticker"] < F.col(ticker))
+    return F.coalesce(ahead, theirs.isNotNull() & mine.isNull()) | tie
+
+
+def _positioned(df, key, name, within, ticker, descending):
+    bounds = _bounds(df, key, within, ticker, descending).scalar()
+    spread = df.withColumn("_bounds", bounds).withColumn(
+        "_range", F.size(F.filter("_bounds", lambda b: _precedes(b, key, ticker, descending)))
     ).drop("_bounds")
 
     groups = [*within, "_range"]
@@ -82,7 +77,7 @@ def _ranged_position(df, key, name, within, ticker):
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    local = W.partitionBy(*groups).orderBy(*ordering(key, ticker))
+    local = W.partitionBy(*groups).orderBy(*ordering(key, ticker, descending))
     return (
         spread.withColumn("_local", F.row_number().over(local))
         .join(offsets, groups)

@@ -12,17 +12,17 @@ from turnbook.sources import driver_tables as d, reports as rp, revenue_pages as
 
 QUOTES_OF = "WITH " + b.QUOTES + """
 SELECT market, ticker, name, trading_date, open_price, high_price, low_price, close_price, trading_value, trading_volume, transaction_count
-FROM quotes WHERE length(ticker) = 4 AND market = '{}'"""
+FROM quotes WHERE market = '{}'"""
 
 
 @query("ingest_daily_twse", QUOTES_OF.format("TWSE"))
 def ingest_daily_twse(spark, sf):
-    return shape(rp.daily_twse(landed.twse_daily(d.daily_quotes(spark, sf))), QUOTE_SPEC)
+    return shape(rp.daily_twse(landed.twse_daily(d.daily_quotes(spark, sf)), d.KEY_CODES), QUOTE_SPEC)
 
 
 @query("ingest_daily_tpex", QUOTES_OF.format("TPEX"))
 def ingest_daily_tpex(spark, sf):
-    return shape(rp.daily_tpex(landed.tpex_daily(d.daily_quotes(spark, sf))), QUOTE_SPEC)
+    return shape(rp.daily_tpex(landed.tpex_daily(d.daily_quotes(spark, sf)), d.KEY_CODES), QUOTE_SPEC)
 
 
 @query("ingest_index", "WITH " + b.INDEX + """,
@@ -45,24 +45,24 @@ def ingest_index(spark, sf):
 @query("ingest_non_regular", "WITH " + b.LINES + """
 SELECT trading_date, CAST(l_suppkey + 1000 AS VARCHAR) AS ticker, CAST(sum(cents) AS BIGINT) AS excluded_value,
        CAST(sum(qty * CASE WHEN l_linenumber = 3 THEN 1000 ELSE 1 END) AS BIGINT) AS excluded_volume
-FROM lines WHERE l_returnflag = 'R' AND length(CAST(l_suppkey + 1000 AS VARCHAR)) = 4 GROUP BY 1, 2""")
+FROM lines WHERE l_returnflag = 'R' GROUP BY 1, 2""")
 def ingest_non_regular(spark, sf):
-    return qt.sum_non_regular(rp.non_regular(landed.non_regular(spark, sf)))
+    return qt.sum_non_regular(rp.non_regular(landed.non_regular(spark, sf), d.KEY_CODES))
 
 
 @query("ingest_adjustments", "WITH " + b.EVENTS + "," + b.LISTING + """
 SELECT a.ticker, effective_date, floor(previous_close * 100 + 0.5) / 100 AS previous_close,
        floor(reference_price * 100 + 0.5) / 100 AS reference_price, market
-FROM actions a JOIN listing USING (ticker) WHERE length(a.ticker) = 4""")
+FROM actions a JOIN listing USING (ticker)""")
 def ingest_adjustments(spark, sf):
-    rows = rp.adjustments(landed.adjustments(spark, sf, "TWSE"), "TWSE").unionByName(
-        rp.adjustments(landed.adjustments(spark, sf, "TPEX"), "TPEX")
+    rows = rp.adjustments(landed.adjustments(spark, sf, "TWSE"), "TWSE", codes=d.KEY_CODES).unionByName(
+        rp.adjustments(landed.adjustments(spark, sf, "TPEX"), "TPEX", codes=d.KEY_CODES)
     )
     return shape(rows.orderBy("ticker", "effective_date"), "ticker effective_date previous_close:d reference_price:d market")
 
 
 @query("ingest_dispositions", "WITH " + b.NOTICES + """
-SELECT ticker, start, "end", matching_minutes::BIGINT AS matching_minutes, source_order FROM notices WHERE length(ticker) = 4""")
+SELECT ticker, start, "end", matching_minutes::BIGINT AS matching_minutes, source_order FROM notices""")
 def ingest_dispositions(spark, sf):
     """Periods and intervals are spelled in all the ways the notices use."""
     orders = d.dispositions(spark, sf).join(
@@ -92,13 +92,13 @@ def ingest_dispositions(spark, sf):
     feed = orders.where(status == "F").select(
         "ticker", compact.alias("period"), content.alias("content"), "source_order"
     )
-    parsed = rp.dispositions(rp.disposition_rows(documents).unionByName(feed))
+    parsed = rp.dispositions(rp.disposition_rows(documents).unionByName(feed), d.KEY_CODES)
     return shape(parsed, "ticker start end matching_minutes:l source_order")
 
 
 @query("ingest_altered", """
 SELECT DISTINCT CAST(o_custkey + 1000 AS VARCHAR) AS ticker FROM orders
-WHERE length(CAST(o_custkey + 1000 AS VARCHAR)) = 4 AND (o_orderpriority = '5-LOW' AND o_orderstatus = 'P'
+WHERE (o_orderpriority = '5-LOW' AND o_orderstatus = 'P'
       OR o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P' AND o_totalprice > 400000)""")
 def ingest_altered(spark, sf):
     pending = d.table(spark, sf, "orders").where("o_orderstatus = 'P'")
@@ -108,11 +108,11 @@ def ingest_altered(spark, sf):
         code.alias("SecuritiesCompanyCode"),
         F.when(F.col("o_totalprice") > 400000, "Ｙ").otherwise("Y").alias("AlteredTrading"),
     )
-    return rp.altered(twse, tpex)
+    return rp.altered(twse, tpex, d.KEY_CODES)
 
 
 @query("ingest_revenue_json", "WITH " + b.REVENUE + """
-SELECT ticker, month, revenue // 1000 * 1000 AS revenue FROM monthly WHERE length(ticker) = 4""")
+SELECT ticker, month, revenue // 1000 * 1000 AS revenue FROM monthly""")
 def ingest_revenue_json(spark, sf):
     monthly = d.monthly_revenue(spark, sf)
     month = F.format_string("%03d%02d", landed.roc_year(F.col("month")), F.month("month"))
@@ -126,7 +126,7 @@ def ingest_revenue_json(spark, sf):
     )
     bodies = monthly.select(F.to_json(F.array(good, bad)).alias("body"))
     layout = f"array<struct<`{rp.REVENUE_TICKER}`:string,`{rp.REVENUE_MONTH}`:string,`{rp.REVENUE_AMOUNT}`:string>>"
-    return rp.revenue_rows(bodies.select(F.inline(F.from_json("body", layout))))
+    return rp.revenue_rows(bodies.select(F.inline(F.from_json("body", layout))), d.KEY_CODES)
 
 
 def amount_in_thousands(revenue):
@@ -152,9 +152,9 @@ def revenue_html(monthly):
 
 
 @query("ingest_revenue_html", "WITH " + b.REVENUE + """
-SELECT ticker, month, revenue // 1000 * 1000 AS revenue FROM monthly WHERE length(ticker) = 4""")
+SELECT ticker, month, revenue // 1000 * 1000 AS revenue FROM monthly""")
 def ingest_revenue_html(spark, sf):
-    return pages.revenue_of_pages(revenue_html(d.monthly_revenue(spark, sf)))
+    return pages.revenue_of_pages(revenue_html(d.monthly_revenue(spark, sf)), d.KEY_CODES)
 
 
 @query("dedupe_last_wins", "WITH " + b.QUOTES + """
@@ -167,13 +167,13 @@ def dedupe_last_wins(spark, sf):
     return pages.last_wins(rows, ("ticker", "month"), ("trading_date",)).select("ticker", "month", "trading_value")
 
 
-@query("ingest_universe", "WITH " + b.LISTING + "SELECT market, ticker FROM listing WHERE length(ticker) = 4")
+@query("ingest_universe", "WITH " + b.LISTING + "SELECT market, ticker FROM listing")
 def ingest_universe(spark, sf):
     listing = d.listing(spark, sf).select(d.ticker_of(F.col("s_suppkey")).alias("ticker"), "market")
     twice = listing.unionByName(listing.withColumn("ticker", F.concat("ticker", F.lit(" "))))
     twse = twice.where("market = 'TWSE'").select(F.col("ticker").alias(rp.REVENUE_TICKER))
     tpex = twice.where("market = 'TPEX'").select(F.col("ticker").alias("SecuritiesCompanyCode"))
-    return rp.universe(twse, tpex, d.securities(spark, sf))
+    return rp.universe(twse, tpex, d.securities(spark, sf), d.KEY_CODES)
 
 
 @query("ingest_holidays", "WITH " + b.LINES + "SELECT DISTINCT trading_date AS holiday FROM lines WHERE isodow(trading_date) > 5")
@@ -190,15 +190,15 @@ x AS (SELECT trading_date, CAST(l_suppkey + 1000 AS VARCHAR) AS ticker, sum(cent
 SELECT market, ticker, name, trading_date, open_price, high_price, low_price, close_price,
        CAST(greatest(trading_value - coalesce(v, 0), 0) AS BIGINT) AS trading_value,
        CAST(greatest(trading_volume - coalesce(q, 0), 0) AS BIGINT) AS trading_volume, transaction_count
-FROM quotes LEFT JOIN x USING (trading_date, ticker) WHERE length(ticker) = 4""")
+FROM quotes LEFT JOIN x USING (trading_date, ticker)""")
 def regular_quotes(spark, sf):
     """Both daily reports, all seven deduction reports, regular trading left; stored by date and read back."""
     from turnbook.session import scratch_path
     from turnbook.sources import snapshots
 
     quotes = d.daily_quotes(spark, sf)
-    both = rp.daily_twse(landed.twse_daily(quotes)).unionByName(rp.daily_tpex(landed.tpex_daily(quotes)))
-    excluded = qt.sum_non_regular(rp.non_regular(landed.non_regular(spark, sf)))
+    both = rp.daily_twse(landed.twse_daily(quotes), d.KEY_CODES).unionByName(rp.daily_tpex(landed.tpex_daily(quotes), d.KEY_CODES))
+    excluded = qt.sum_non_regular(rp.non_regular(landed.non_regular(spark, sf), d.KEY_CODES))
     path = scratch_path(spark, "regular")
     regular = qt.regular_only(both, excluded)
     snapshots.write(regular, path, "trading_month")

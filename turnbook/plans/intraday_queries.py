@@ -10,6 +10,7 @@ from turnbook.plans import base_sql as b, landed
 from turnbook.plans.market_queries import SIDES, _source, _target
 from turnbook.plans.ranking_queries import END, _ctes
 from turnbook.plans.registry import query, shape
+from turnbook.session import materialize
 from turnbook.sources import driver_tables as d
 
 TICKS = "WITH RECURSIVE " + b.INTRADAY
@@ -28,7 +29,7 @@ feed AS (
               WHEN event_type = 'click' THEN 'bid_ask_mid' WHEN event_type = 'view' AND lots < 50 THEN 'high_low_mid'
               WHEN event_type = 'view' THEN 'open' WHEN lots >= 20 THEN 'previous_close' ELSE 'none' END AS price_source,
          CASE WHEN event_type <> 'error' OR lots >= 20 THEN price_c * 100 + 1000 END AS y4
-  FROM ticks WHERE event_type <> 'signup' AND length(ticker) = 4),
+  FROM ticks WHERE event_type <> 'signup'),
 moved AS (
   SELECT *, CASE WHEN p4 IS NOT NULL AND y4 > 0 THEN CAST(p4 - y4 AS HUGEINT) * 10000 END AS num FROM feed),
 whole AS (SELECT *, CAST(floor(num / y4::DECIMAL(38, 0)) AS HUGEINT) AS q0 FROM moved),
@@ -39,7 +40,7 @@ priced AS (
 
 
 def _quotes(spark, sf):
-    return it.quotes_of_items(it.message_items(landed.messages(spark, sf)))
+    return it.quotes_of_items(it.message_items(landed.messages(spark, sf)), d.KEY_CODES)
 
 
 @query("resolve_price", FEED + """
@@ -206,8 +207,8 @@ FROM now_ JOIN spread USING (captured_at)""")
 def view_intraday_latest(spark, sf):
     """Prices, range and year-to-date fields together; the index started the year at 100."""
     base = F.lit(100).cast("decimal(10,2)")
-    runs = d.runs(spark, sf).withColumn("twse_ytd", ix.ytd_percent(F.col("twse_index"), base)).drop("turnover_total")
-    view = it.latest_view(d.round_quotes(spark, sf), runs, d.securities(spark, sf))
+    runs = d.runs(spark, sf, newest=True).withColumn("twse_ytd", ix.ytd_percent(F.col("twse_index"), base)).drop("turnover_total")
+    view = it.latest_view(d.newest_round(spark, sf), runs, d.securities(spark, sf))
     return shape(
         view,
         "ticker name market price:d turnover open_price:d high_price:d low_price:d trade_date captured_at quote_count "
@@ -216,9 +217,7 @@ def view_intraday_latest(spark, sf):
 
 
 def _now(spark, sf):
-    return it.latest_view(
-        d.round_quotes(spark, sf), d.runs(spark, sf).select(*it.ROUND), d.securities(spark, sf)
-    )
+    return it.latest_view(d.newest_round(spark, sf), d.runs(spark, sf, newest=True).select(*it.ROUND), d.securities(spark, sf))
 
 
 def _reference(spark, sf):
@@ -257,10 +256,10 @@ SELECT mode, "rank", previous_rank, previous_rank - "rank" AS rank_change, {LIVE
 FROM (SELECT * FROM by_heat UNION ALL SELECT * FROM by_share) WHERE "rank" <= 100""")
 def ranking_intraday(spark, sf):
     """Both modes: all shares by turnover, one market by change of share."""
-    bound = d.securities(spark, sf).count()
-    now, reference = _now(spark, sf), _reference(spark, sf)
-    heat = it.ranking(now, reference, END, bound).withColumn("mode", F.lit("heat"))
-    share = it.ranking(now, reference, END, bound, r.ACCELERATION, "TWSE").withColumn("mode", F.lit("acceleration"))
+    reference = materialize(_reference(spark, sf), "reference")
+    measured = materialize(it.with_reference(_now(spark, sf), reference, END), "round")
+    heat = it.ranking_of_measured(measured, reference).withColumn("mode", F.lit("heat"))
+    share = it.ranking_of_measured(measured, reference, r.ACCELERATION, "TWSE").withColumn("mode", F.lit("acceleration"))
     return shape(heat.unionByName(share), "mode rank:l previous_rank:l rank_change:l " + LIVE_SPEC)
 
 

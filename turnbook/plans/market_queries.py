@@ -547,7 +547,7 @@ def browse_day(spark, sf):
     rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), day, d.turnover(spark, sf))
     rows = rows.where(F.col("average_value") >= 1_000_000).where(browse.matches_search(" Supplier ", "ticker", "name"))
     rows = browse.status_any(rows, _flags(spark, sf), True, True)
-    shown = browse.page(rows, 1, browse.sort_order("average_value", True, False))
+    shown = browse.page(rows, 1, "average_value")
     return shape(shown, "ticker name average_value:r4 share:r8")
 
 

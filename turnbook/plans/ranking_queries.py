@@ -199,8 +199,7 @@ def asof_baseline_close(spark, sf):
 SELECT ticker, round(change_rate, 6) AS change_rate, "rank" FROM ranked""")
 def rank_rows(spark, sf):
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0, mode=r.ACCELERATION)
-    stocks = d.securities(spark, sf)
-    rows = with_position(r.candidates(d.daily(spark, sf), stocks, everything, d.turnover(spark, sf)), "change_rate", "rank", stocks.count())
+    rows = with_position(r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything, d.turnover(spark, sf)), "change_rate", "rank")
     return shape(rows, "ticker change_rate:r6 rank:l")
 
 
@@ -246,8 +245,8 @@ def sort_by_column(spark, sf):
     """Ascending with nulls last; the position shows the order in an unordered comparison."""
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0)
     stocks = d.securities(spark, sf)
-    rows = r.candidates(d.daily(spark, sf), stocks, everything, d.turnover(spark, sf)).withColumn("_key", -F.col("daily_price_change"))
-    placed = with_position(rows, "_key", "position", stocks.count())
+    rows = r.candidates(d.daily(spark, sf), stocks, everything, d.turnover(spark, sf))
+    placed = with_position(rows, "daily_price_change", "position", descending=False)
     ordered = browse.sort_by(placed, "daily_price_change", descending=False)
     return shape(ordered, "ticker daily_price_change:r6 position:l")
 
@@ -263,7 +262,7 @@ def page_rows(spark, sf):
     """The second page, or the last one where there are fewer."""
     everything = r.RankingQuery(period_days=N, end_date=END, min_average=0)
     rows = r.candidates(d.daily(spark, sf), d.securities(spark, sf), everything, d.turnover(spark, sf))
-    return shape(browse.page(rows, 2, browse.sort_order("average_value", True, False), size=40), "ticker average_value:r4")
+    return shape(browse.page(rows, 2, "average_value", size=40), "ticker average_value:r4")
 
 
 @query("distinct_dates", "WITH " + b.LINES + "SELECT DISTINCT trading_date FROM lines")

@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+# The keys of the given tables as codes, of any length; the generated documents also hold codes that start with 0.
+KEY_CODES = r"^[1-9][0-9]{3,}\z"
+
+
 def cents(amount: Column) -> Column:
     return F.floor(amount * 100 + 0.5).cast("bigint")
 
@@ -89,16 +93,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_market(spark: SparkSession, sf_dir: str, rows: DataFrame, nation_key: str) -> DataFrame:
     """Add the market of a nation: TWSE for three of the five regions, TPEX for the others.
 
-    Semi and anti joins keep the size estimate of ``rows``; an inner join would
-    multiply it and lead the planner to broadcast the wrong side later on.
+    The nations of the first market, at most 25 at every scale, come as one
+    array, so ``rows`` is read once and keeps its size estimate.
     """
-    # The nation table has 25 rows at every scale.
-    first = F.broadcast(
-        table(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(0, 2, 4)).select(F.col("n_nationkey").alias(nation_key))
-    )
-    twse = rows.join(first, nation_key, "left_semi").withColumn("market", F.lit("TWSE"))
-    tpex = rows.join(first, nation_key, "left_anti").withColumn("market", F.lit("TPEX"))
-    return twse.unionByName(tpex)
+    nations = table(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(0, 2, 4)).agg(F.collect_set("n_nationkey"))
+    return rows.withColumn("market", F.when(F.array_contains(nations.scalar(), F.col(nation_key)), "TWSE").otherwise("TPEX"))
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,11 +203,13 @@ def monthly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def intraday_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def intraday_quotes(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
     """Quotes of hourly rounds; every event adds to the turnover of its user."""
+    events = table(spark, sf_dir, "events")
+    events = events if since is None else events.where(F.col("ts") >= since)
     lots = F.get_json_object("props", "$.k").cast("bigint")
     hour = F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.to_date("ts").alias("trade_date"),
         hour.alias("captured_at"),
         ticker_of(F.col("user_id")).alias("ticker"),
@@ -220,10 +221,21 @@ def intraday_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def round_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of the newest round alone, found before anything is aggregated."""
+    newest = table(spark, sf_dir, "events").agg(F.date_trunc("hour", F.max("ts")))
+    return intraday_quotes(spark, sf_dir, since=newest.scalar())
+
+
+def newest_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_quotes(spark, sf_dir, newest_events(spark, sf_dir))
+
+
+def round_quotes(spark: SparkSession, sf_dir: str, quotes: DataFrame | None = None) -> DataFrame:
     """One row per round and ticker: last price, range of prices, turnover."""
     p = F.col("price_cents")
-    grouped = intraday_quotes(spark, sf_dir).groupBy("trade_date", "captured_at", "ticker").agg(
+    quotes = intraday_quotes(spark, sf_dir) if quotes is None else quotes
+    grouped = quotes.groupBy("trade_date", "captured_at", "ticker").agg(
         F.sum("turnover").alias("turnover"),
         F.max_by(p, F.col("event_id")).alias("_last"),
         F.min_by(p, F.col("event_id")).alias("_first"),
@@ -243,10 +255,10 @@ def round_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, newest: bool = False) -> DataFrame:
     """One row per round with two index values (highest and lowest price of the round)."""
     return (
-        intraday_quotes(spark, sf_dir)
+        (newest_events(spark, sf_dir) if newest else intraday_quotes(spark, sf_dir))
         .groupBy("trade_date", "captured_at")
         .agg(
             F.sum("turnover").alias("turnover_total"),

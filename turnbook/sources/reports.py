@@ -2,6 +2,7 @@
 
 Every function takes a frame of documents, one report per row, and explodes it
 into typed rows; documents are never gathered, so files can be split freely.
+``codes`` is the pattern of the tickers to keep, the common shares by default.
 """
 
 from __future__ import annotations
@@ -60,13 +61,13 @@ def _table_titled(word: str) -> Column:
     return F.get(hits, F.lit(0))
 
 
-def _quotes(documents: DataFrame, market: str, title: str, at: dict[str, int], width: int) -> DataFrame:
+def _quotes(documents: DataFrame, market: str, title: str, at: dict[str, int], width: int, codes: str) -> DataFrame:
     rows = (
         parse_report(documents)
         .select("trading_date", F.explode(_table_titled(title)["data"]).alias("r"))
         .where(F.size("r") >= width)
         .withColumn("ticker", F.trim(p.cell(F.col("r"), 0)))
-        .where(p.is_common_stock(F.col("ticker")))
+        .where(p.is_code(F.col("ticker"), codes))
     )
 
     def text(name: str) -> Column:
@@ -90,13 +91,13 @@ def _quotes(documents: DataFrame, market: str, title: str, at: dict[str, int], w
     )
 
 
-def daily_twse(documents: DataFrame) -> DataFrame:
+def daily_twse(documents: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """``documents``: trading_date, body."""
-    return _quotes(documents, TWSE, TWSE_QUOTE_TITLE, TWSE_COLUMNS, 9)
+    return _quotes(documents, TWSE, TWSE_QUOTE_TITLE, TWSE_COLUMNS, 9, codes)
 
 
-def daily_tpex(documents: DataFrame) -> DataFrame:
-    return _quotes(documents, TPEX, TPEX_QUOTE_TITLE, TPEX_COLUMNS, 11)
+def daily_tpex(documents: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
+    return _quotes(documents, TPEX, TPEX_QUOTE_TITLE, TPEX_COLUMNS, 11, codes)
 
 
 def _index_row(rows: DataFrame, market: str, percent: Column, points: Column, value: Column) -> DataFrame:
@@ -175,7 +176,7 @@ def index_tpex(documents: DataFrame) -> DataFrame:
     )
 
 
-def non_regular(documents: DataFrame) -> DataFrame:
+def non_regular(documents: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """``documents``: trading_date, report_name, body.  Rows of all seven reports, one unit."""
     layout = F.create_map(
         *[
@@ -215,7 +216,7 @@ def non_regular(documents: DataFrame) -> DataFrame:
             p.whole(p.cell(F.col("r"), F.col("at.value"))).alias("trading_value"),
             (p.number_or_zero(p.cell(F.col("r"), F.col("at.volume"))) * F.col("at.scale")).cast("bigint").alias("trading_volume"),
         )
-        .where(p.is_common_stock(F.col("ticker")))
+        .where(p.is_code(F.col("ticker"), codes))
     )
 
 
@@ -223,7 +224,7 @@ def _fail_unless(condition: Column, message: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.raise_error(message).cast("string"))
 
 
-def adjustments(documents: DataFrame, market: str, strict: bool = True) -> DataFrame:
+def adjustments(documents: DataFrame, market: str, strict: bool = True, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """Ex-right and dividend events; a share whose prices or date cannot be read fails the load.
 
     With ``strict=False`` such rows come back with ``broken`` set instead.
@@ -247,7 +248,7 @@ def adjustments(documents: DataFrame, market: str, strict: bool = True) -> DataF
 
     typed = (
         rows.withColumn("ticker", F.trim(text(ticker_field)))
-        .where(p.is_common_stock(F.col("ticker")))
+        .where(p.is_code(F.col("ticker"), codes))
         .select(
             "ticker",
             p.roc_date_parts(text(date_field)).alias("effective_date"),
@@ -278,12 +279,12 @@ def month_ranges(start: dt.date, end: dt.date) -> list[tuple[dt.date, dt.date]]:
     return slices
 
 
-def dispositions(notices: DataFrame) -> DataFrame:
+def dispositions(notices: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """``notices``: ticker, period, content, source_order.  Unreadable periods are dropped."""
     ends = F.split("period", "[～~]")
     return (
         notices.withColumn("ticker", F.trim("ticker"))
-        .where(p.is_common_stock(F.col("ticker")) & (F.size(ends) == 2))
+        .where(p.is_code(F.col("ticker"), codes) & (F.size(ends) == 2))
         .select(
             "ticker",
             p.roc_date_compact(F.get(ends, F.lit(0))).alias("start"),
@@ -310,14 +311,14 @@ def disposition_rows(documents: DataFrame) -> DataFrame:
     )
 
 
-def altered(twse: DataFrame, tpex: DataFrame) -> DataFrame:
+def altered(twse: DataFrame, tpex: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """``twse``: Code.  ``tpex``: SecuritiesCompanyCode, AlteredTrading (only the full-width mark counts)."""
     listed = twse.select(F.trim("Code").alias("ticker"))
     marked = tpex.where(F.trim("AlteredTrading") == ALTERED_MARK).select(F.trim("SecuritiesCompanyCode").alias("ticker"))
-    return listed.union(marked).where(p.is_common_stock(F.col("ticker"))).distinct()
+    return listed.union(marked).where(p.is_code(F.col("ticker"), codes)).distinct()
 
 
-def revenue_rows(rows: DataFrame) -> DataFrame:
+def revenue_rows(rows: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """Latest revenue feed; every row carries its own month, amounts are in thousands."""
     return (
         rows.select(
@@ -325,17 +326,17 @@ def revenue_rows(rows: DataFrame) -> DataFrame:
             p.roc_month(F.col(f"`{REVENUE_MONTH}`")).alias("month"),
             p.thousands(F.col(f"`{REVENUE_AMOUNT}`")).alias("revenue"),
         )
-        .where(p.is_common_stock(F.col("ticker")) & F.col("month").isNotNull() & F.col("revenue").isNotNull())
+        .where(p.is_code(F.col("ticker"), codes) & F.col("month").isNotNull() & F.col("revenue").isNotNull())
     )
 
 
-def universe(twse: DataFrame, tpex: DataFrame, fallback: DataFrame) -> DataFrame:
+def universe(twse: DataFrame, tpex: DataFrame, fallback: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """Listed tickers of both markets; when one side is empty the known securities are used."""
 
     def side(rows: DataFrame, column: str, market: str) -> DataFrame:
         return (
             rows.select(F.trim(column).alias("ticker"))
-            .where(p.is_common_stock(F.col("ticker")))
+            .where(p.is_code(F.col("ticker"), codes))
             .distinct()
             .select(F.lit(market).alias("market"), "ticker")
         )

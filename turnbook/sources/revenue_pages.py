@@ -6,31 +6,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from turnbook.functions import parsing as p
 
-# Fixed value: one table row per company.  Names are in a multi-byte encoding whose
-# bytes never look like tags or digits, so a byte-per-character reading is safe.
-ROW_PATTERN = (
-    r"(?i)<tr align=right>\s*<td align=center>(\w+)</td>\s*"
-    r"<td align=left>[^<]*</td>\s*<td nowrap>\s*([\d,]+)\s*</td>"
-)
+# Positions of the cells of a company's row.
+TICKER_CELL, AMOUNT_CELL = 0, 2
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Files as one character per byte: all that is read of them, tags and digits, is plain ASCII."""
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("html"))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Both groups of every match, as an array of structs."""
-    first = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.arrays_zip(first.alias("first"), second.alias("second"))
+def table_rows(html: Column) -> Column:
+    """The cells of each table row as trimmed text without inner tags."""
 
+    def plain(cell: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(cell, "<[^>]*>", ""), r"\s+", " "))
 
-def revenue_of_pages(pages: DataFrame) -> DataFrame:
+    # What stands before the first row is not one.
+    pieces = F.filter(F.split(html, "(?i)<tr[ >]"), lambda _, i: i > 0)
+    cells = lambda row: F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
+    return F.transform(pieces, lambda row: F.transform(cells(row), plain))
+
+
+def revenue_of_pages(pages: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """``pages``: month, file_order, html.  A later file wins for a ticker it repeats."""
     rows = (
-        pages.select("month", "file_order", F.posexplode(matches(F.col("html"), ROW_PATTERN)).alias("pos", "hit"))
-        .select("month", "file_order", "pos", F.col("hit.first").alias("ticker"), p.thousands(F.col("hit.second")).alias("revenue"))
-        .where(p.is_common_stock(F.col("ticker")) & F.col("revenue").isNotNull())
+        pages.select("month", "file_order", F.posexplode(table_rows(F.col("html"))).alias("pos", "r"))
+        .select(
+            "month",
+            "file_order",
+            "pos",
+            p.cell(F.col("r"), TICKER_CELL).alias("ticker"),
+            p.thousands(p.cell(F.col("r"), AMOUNT_CELL)).alias("revenue"),
+        )
+        .where(p.is_code(F.col("ticker"), codes) & F.col("revenue").isNotNull())
     )
     return last_wins(rows, ("ticker", "month"), ("file_order", "pos")).select("ticker", "month", "revenue")
 

@@ -144,7 +144,7 @@ def test_sync_is_idempotent(spark, sf_dir):
 
 
 def replay(rows, lateness):
-    """Brute force over arrivals: every accepted round is kept for ever."""
+    """Brute force over arrivals: every accepted round is kept for ever, and each day has its own order."""
     accepted, newest, out = {}, {}, {}
     for x in sorted(rows, key=lambda r: r.arrival):
         day, at = x.trade_date, x.captured_at
@@ -176,8 +176,9 @@ def test_random_arrivals_against_a_replay(spark):
             at = dt.datetime(2026, 8, day, 1, 0) + dt.timedelta(minutes=2 * i)
             data.append((at.date(), at, rng.randint(50, 120), 1, 60 * day + i + rng.choice([0, 0, 0, 3.5, 9.5, 20.5]) * 1.0))
     order = {x: n for n, x in enumerate(sorted(data, key=lambda x: x[4]))}
-    rows = spark.createDataFrame([(*x[:4], order[x]) for x in data], st.ROUND_ROW)
-    source, out = sq.land(rows, "random", "arrival"), scratch_path(spark, "random-out")
+    opening = {x[0]: int(dt.datetime.combine(x[0], dt.time(), dt.timezone.utc).timestamp()) for x in data}
+    rows = spark.createDataFrame([(*x[:4], opening[x[0]] + 500 * order[x]) for x in data], st.ROUND_ROW)
+    source, out = sq.land_in_order(rows, "random"), scratch_path(spark, "random-out")
     sq.run(st.gate(st.read_files(spark, st.ROUND_ROW, source), 15).writeStream.foreachBatch(st.by_batch(out)), "random", spark)
     got = {(x.trade_date, x.captured_at): (x.turnover_total, x.reason) for x in spark.read.parquet(out).collect()}
     expected = replay(rows.collect(), dt.timedelta(minutes=15))
@@ -185,6 +186,29 @@ def test_random_arrivals_against_a_replay(spark):
     assert {r for _, r in expected.values()} == {None, "late", "fell"}
 
 
+def test_gate_without_a_lateness_judges_all_rounds_of_the_day(spark):
+    """A round far too low that comes after later ones still meets its predecessor."""
+    arrivals = [(0, 1000), (2, 1200), (3, 1300), (1, 10)]
+    rows = spark.createDataFrame(
+        [(AT.date(), AT + dt.timedelta(minutes=2 * i), total, 1, n) for n, (i, total) in enumerate(arrivals)], st.ROUND_ROW
+    )
+    source, out = sq.land_in_order(rows, "default"), scratch_path(spark, "default-out")
+    sq.run(st.gate(st.read_files(spark, st.ROUND_ROW, source)).writeStream.foreachBatch(st.by_batch(out)), "default", spark)
+    got = {x.turnover_total: (x.accepted, x.previous_total) for x in spark.read.parquet(out).collect()}
+    assert got == {1000: (True, None), 1200: (True, 1000), 1300: (True, 1200), 10: (False, 1000)}
+
+
+@pytest.mark.parametrize("name,column,states", [
+    ("plan_gaps", "status", {"missing", "stale_version", "index_missing", "bars_missing", "complete"}),
+    ("gap_plan", "outcome", {"closed", "not_published", "index_missing", "stored"}),
+    ("stream_late_rounds", "reason", {None, "late", "fell"}),
+])
+def test_every_state_occurs(spark, sf_dir, name, column, states):
+    from turnbook.plans import REGISTRY
+
+    assert {x[column] for x in REGISTRY[name].run(spark, sf_dir).collect()} == states
+
+
 def test_replayed_batch_does_not_duplicate(spark, sf_dir):
     path = scratch_path(spark, "replay")
     sink = st.curve_sink(path)

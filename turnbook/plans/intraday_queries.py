@@ -265,9 +265,9 @@ def ranking_intraday(spark, sf):
 
 @query("round_outcomes", "WITH RECURSIVE " + b.INTRADAY.replace("rounds AS", "all_rounds AS") + """,
 states AS (SELECT *, CAST(captured_at + INTERVAL 8 HOUR AS DATE) AS session_date FROM all_rounds),
-rounds AS (SELECT * FROM states WHERE quote_count >= 8 AND trade_date = session_date)""" + FOLD + """,
+rounds AS (SELECT * FROM states WHERE epoch(captured_at) // 3600 % 10 <> 3 AND trade_date = session_date)""" + FOLD + """,
 labelled AS (
-  SELECT s.session_date, CASE WHEN s.quote_count < 8 THEN 'failed' WHEN s.trade_date <> s.session_date THEN 'stale'
+  SELECT s.session_date, CASE WHEN epoch(s.captured_at) // 3600 % 10 = 3 THEN 'failed' WHEN s.trade_date <> s.session_date THEN 'stale'
                               WHEN f.accepted THEN 'written' ELSE 'rejected' END AS status
   FROM states s LEFT JOIN fold f USING (trade_date, captured_at)),
 counts AS (
@@ -277,12 +277,13 @@ counts AS (
 SELECT *, CASE WHEN written > 0 AND rejected > 0 THEN 'partial' WHEN written > 0 THEN 'ok' WHEN failed > 0 OR rejected > 0 THEN 'failed'
                ELSE 'closed_market' END AS verdict FROM counts""")
 def round_outcomes(spark, sf):
-    """Rounds with few quotes count as failed, those of another day as stale, the rest go through the gate."""
+    """Every tenth hour's round counts as failed, those of another day as stale, the rest go through the gate."""
     totals = it.round_totals(d.intraday_quotes(spark, sf))
     current = it.is_current(F.col("trade_date"), F.col("captured_at"))
-    judged = it.judge_rounds(totals.where((F.col("quote_count") >= 8) & current)).select(*it.ROUND, "accepted")
+    failed = F.floor(F.unix_seconds(F.col("captured_at").cast("timestamp")) / 3600) % 10 == 3
+    judged = it.judge_rounds(totals.where(~failed & current)).select(*it.ROUND, "accepted")
     status = (
-        F.when(F.col("quote_count") < 8, "failed")
+        F.when(failed, "failed")
         .when(~current, "stale")
         .when(F.col("accepted"), "written")
         .otherwise("rejected")

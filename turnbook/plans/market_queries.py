@@ -632,38 +632,29 @@ def coverage_status(spark, sf):
     return ql.coverage(_target(spark, sf), d.securities(spark, sf), _source(spark, sf))
 
 
-# Stored state of each date, told apart by what was traded on it.
-STORED_SQL = b.LINES + "," + b.INDEX + """,
-per_day AS (
-  SELECT trading_date, sum(qty) AS q, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'N') AS fresh
-  FROM lines GROUP BY 1),
+# Stored state of each date, told apart by the number of the day, so that every state occurs at every size.
+DAY_NUMBER = "CAST(trading_date - DATE '1970-01-01' AS INTEGER)"
+STORED_SQL = b.LINES + "," + b.INDEX + f""",
 both_idx AS (SELECT trading_date FROM idx GROUP BY 1 HAVING count(*) = 2),
+numbered AS (SELECT trading_date, {DAY_NUMBER} AS e FROM lines GROUP BY 1),
 stored AS (
-  SELECT trading_date, n >= 15 AS is_trading_day, CASE WHEN n >= 19 THEN 2 ELSE 1 END AS schema_version,
-         CASE WHEN fresh >= 6 THEN 1 ELSE 0 END AS daily_bar_schema_version,
-         trading_date IN (SELECT trading_date FROM both_idx) AS has_indices
-  FROM per_day WHERE q < 750)"""
+  SELECT trading_date, e % 13 <> 5 AS is_trading_day, CASE WHEN e % 17 = 2 THEN 1 ELSE 2 END AS schema_version,
+         CASE WHEN e % 19 = 4 THEN 0 ELSE 1 END AS daily_bar_schema_version,
+         e % 23 <> 1 AND trading_date IN (SELECT trading_date FROM both_idx) AS has_indices
+  FROM numbered WHERE e % 11 <> 3)"""
 
 
 def _stored(spark, sf):
     both = d.market_index(spark, sf).groupBy("trading_date").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
-    per_day = (
-        d.lines(spark, sf)
-        .groupBy("trading_date")
-        .agg(
-            F.sum("qty").alias("q"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("l_returnflag") == "N").alias("fresh"),
-        )
-        .where("q < 750")
-    )
-    return per_day.join(both.select("trading_date", F.lit(True).alias("_i")), "trading_date", "left").select(
+    e = F.unix_date("trading_date")
+    days = d.lines(spark, sf).select("trading_date").distinct().where(e % 11 != 3)
+    return days.join(both.select("trading_date", F.lit(True).alias("_i")), "trading_date", "left").select(
         "trading_date",
-        (F.col("n") >= 15).alias("is_trading_day"),
-        F.when(F.col("n") >= 19, 2).otherwise(1).alias("schema_version"),
+        (e % 13 != 5).alias("is_trading_day"),
+        F.when(e % 17 == 2, 1).otherwise(2).alias("schema_version"),
         F.lit(1).alias("market_index_schema_version"),
-        F.coalesce("_i", F.lit(False)).alias("has_indices"),
-        F.when(F.col("fresh") >= 6, 1).otherwise(0).alias("daily_bar_schema_version"),
+        (F.coalesce("_i", F.lit(False)) & (e % 23 != 1)).alias("has_indices"),
+        F.when(e % 19 == 4, 0).otherwise(1).alias("daily_bar_schema_version"),
     )
 
 
@@ -684,24 +675,24 @@ def plan_gaps(spark, sf):
 
 @query("gap_plan", "WITH " + b.QUOTES + "," + b.INDEX + f""",
 arrivals AS (
-  SELECT trading_date, count(*) FILTER (WHERE market = 'TWSE' AND close_c IS NOT NULL AND trading_volume > 90) AS tw,
-         count(*) FILTER (WHERE market = 'TPEX' AND trading_volume > 90) AS tp
-  FROM (SELECT q.*, CASE WHEN close_price IS NOT NULL THEN 1 END AS close_c FROM quotes q) GROUP BY 1),
+  SELECT trading_date, e, count(*) FILTER (WHERE market = 'TWSE' AND close_price IS NOT NULL AND e % 9 NOT IN (4, 5)) AS tw,
+         count(*) FILTER (WHERE market = 'TPEX' AND e % 9 NOT IN (5, 6)) AS tp
+  FROM (SELECT q.*, {DAY_NUMBER} AS e FROM quotes q) GROUP BY 1, 2),
 flagged AS (
   SELECT a.*, count(*) FILTER (WHERE i.market = 'TWSE') > 0 AS it, count(*) FILTER (WHERE i.market = 'TPEX') > 0 AS ip
   FROM arrivals a LEFT JOIN idx i USING (trading_date) GROUP BY ALL)
 SELECT trading_date,
        CASE WHEN tw = 0 AND tp = 0 AND (trading_date < DATE '{ENDS}' OR isodow(trading_date) > 5) THEN 'closed'
-            WHEN tw = 0 AND tp = 0 THEN 'not_published' WHEN NOT (it AND ip) THEN 'index_missing' ELSE 'stored' END AS outcome,
+            WHEN tw = 0 AND tp = 0 THEN 'not_published' WHEN NOT (it AND e % 13 <> 2 AND ip) THEN 'index_missing' ELSE 'stored' END AS outcome,
        tw = 0 OR tp = 0 AS bar_backfill_failed
 FROM flagged""")
 def gap_plan(spark, sf):
-    """Outcome of every downloaded date; a market counts as empty when nothing large was traded."""
+    """Outcome of every downloaded date; by the number of the day a market's report or index may not have come."""
     quotes = d.daily_quotes(spark, sf)
-    large = F.col("trading_volume") > 90
+    e = F.unix_date("trading_date")
     arrivals = quotes.groupBy("trading_date").agg(
-        F.count_if((F.col("market") == "TWSE") & F.col("close_price").isNotNull() & large).alias("twse_count"),
-        F.count_if((F.col("market") == "TPEX") & large).alias("tpex_count"),
+        F.count_if((F.col("market") == "TWSE") & F.col("close_price").isNotNull() & ~(e % 9).isin(4, 5)).alias("twse_count"),
+        F.count_if((F.col("market") == "TPEX") & ~(e % 9).isin(5, 6)).alias("tpex_count"),
     )
     index = d.market_index(spark, sf).groupBy("trading_date").agg(
         F.count_if(F.col("market") == "TWSE").alias("_t"), F.count_if(F.col("market") == "TPEX").alias("_p")
@@ -710,7 +701,7 @@ def gap_plan(spark, sf):
         "trading_date",
         "twse_count",
         "tpex_count",
-        F.coalesce(F.col("_t") > 0, F.lit(False)).alias("has_twse_index"),
+        (F.coalesce(F.col("_t") > 0, F.lit(False)) & (e % 13 != 2)).alias("has_twse_index"),
         F.coalesce(F.col("_p") > 0, F.lit(False)).alias("has_tpex_index"),
     )
     weekends = quotes.select("trading_date").distinct().where(F.weekday("trading_date") > 4)

@@ -8,24 +8,36 @@ from turnbook.operators import intraday as it
 from turnbook.plans import base_sql as b, landed
 from turnbook.plans.intraday_queries import FEED, GATE, GATE_COLUMNS
 from turnbook.plans.registry import query, shape
-from turnbook.session import scratch_path
+from turnbook.session import materialize, scratch_path
 from turnbook.sources import driver_tables as d
 from turnbook.streaming import rounds as st
 
-FILES = 6
+# Rounds arrive in slices of so many hours of their day.
+SLICE_HOURS = 4
+FILES_PER_TRIGGER = 8
 
 
-def land(df: DataFrame, label: str, order: str, fmt: str = "parquet") -> str:
-    """Put the rows down as several files, one after the other, in the order of a column.
+def land(df: DataFrame, label: str, fmt: str = "parquet") -> str:
+    """Put the rows down as files for a stream; their number follows the data."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.format(fmt).save(path)
+    return path
+
+
+def land_in_order(rounds: DataFrame, label: str) -> str:
+    """Put rounds down so that those of a day arrive in the order of ``arrival``.
 
-    A file source takes files by their time, so the ranges are staged first and
-    then arrive one by one.
+    A file source takes files by their time.  The slices of the day are written
+    one after the other, all days at once, and a slice holds a day in one file.
     """
-    spark = df.sparkSession
-    staged, path = scratch_path(spark, label + "-staged"), scratch_path(spark, label)
-    df.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(staged)
-    for file in sorted(spark.read.parquet(staged).inputFiles()):
-        spark.read.schema(df.schema).parquet(file).coalesce(1).write.mode("append").format(fmt).save(path)
+    spark = rounds.sparkSession
+    opening = F.unix_seconds(F.col("trade_date").cast("timestamp"))
+    slice_ = F.floor((F.col("arrival") - opening) / (SLICE_HOURS * 3600)).cast("int")
+    staged = materialize(rounds.withColumn("_slice", slice_), label + "-staged")
+    path = scratch_path(spark, label)
+    # Slices of one day and of the hours that a round may be late.
+    for part in [r["_slice"] for r in staged.select("_slice").distinct().orderBy("_slice").collect()]:
+        staged.where(F.col("_slice") == part).drop("_slice").repartition("trade_date").write.mode("append").parquet(path)
     return path
 
 
@@ -36,7 +48,7 @@ def run(writer, label: str, spark) -> None:
 def landed_rounds(spark, sf) -> str:
     """Files of judged-to-be rounds; the arrival number follows the clock."""
     totals = it.round_totals(d.intraday_quotes(spark, sf))
-    return land(totals.withColumn("arrival", F.unix_seconds(F.col("captured_at").cast("timestamp"))), "rounds", "arrival")
+    return land_in_order(totals.withColumn("arrival", F.unix_seconds(F.col("captured_at").cast("timestamp"))), "rounds")
 
 
 @query("stream_intraday_source", FEED + """
@@ -44,9 +56,9 @@ SELECT captured_at, ticker, CASE WHEN lots >= 50 THEN 'TPEX' ELSE 'TWSE' END AS
        CAST(sum(coalesce(p4 * lots // 10, 0)) AS BIGINT) AS turnover, count(*) AS quotes
 FROM feed WHERE trade_date = CAST(captured_at + INTERVAL 8 HOUR AS DATE) GROUP BY ALL""")
 def stream_intraday_source(spark, sf):
-    source = land(landed.messages(spark, sf), "messages", "captured_at", "json")
+    source = land(landed.messages(spark, sf), "messages", "json")
     out = scratch_path(spark, "quotes")
-    quotes = st.quotes_stream(st.read_messages(spark, source))
+    quotes = st.quotes_stream(st.read_messages(spark, source, FILES_PER_TRIGGER), d.KEY_CODES)
     run(quotes.writeStream.foreachBatch(st.by_batch(out)), "source", spark)
     return spark.read.parquet(out).groupBy("captured_at", "ticker", "market", "trade_date").agg(
         F.sum("turnover").alias("turnover"), F.count(F.lit(1)).alias("quotes")
@@ -57,8 +69,8 @@ def stream_intraday_source(spark, sf):
 def stream_rounds(spark, sf):
     """Quotes in, totals of each round out."""
     quotes = d.intraday_quotes(spark, sf).select(*it.ROUND, "ticker", "turnover")
-    source, out = land(quotes, "ticks", "captured_at"), scratch_path(spark, "totals")
-    stream = st.read_files(spark, quotes.schema, source)
+    source, out = land(quotes, "ticks"), scratch_path(spark, "totals")
+    stream = st.read_files(spark, quotes.schema, source, FILES_PER_TRIGGER)
     run(stream.writeStream.foreachBatch(st.round_totals_sink(out)), "rounds", spark)
     return st.read_round_totals(spark, out)
 
@@ -72,7 +84,7 @@ def stream_dedupe(spark, sf):
     twice = totals.withColumn("sent_at", F.col("captured_at")).unionByName(
         totals.withColumn("sent_at", F.col("captured_at") + F.expr("INTERVAL 1 DAY"))
     )
-    source, out = land(twice, "resent", "sent_at"), scratch_path(spark, "deduped")
+    source, out = land(twice, "resent"), scratch_path(spark, "deduped")
     stream = st.read_files(spark, twice.schema, source)
     unique = st.dedupe(stream, ("trade_date", "captured_at", "source"), event_time="sent_at", delay="10 days")
     run(unique.writeStream.foreachBatch(st.by_batch(out)), "dedupe", spark)
@@ -84,11 +96,9 @@ SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS slot_start,
        CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT) * CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000) AS BIGINT) AS turnover_total,
        count(*) AS quote_count FROM events GROUP BY 1""")
 def stream_tumbling_slots(spark, sf):
-    ticks = d.intraday_quotes(spark, sf).select("event_id", "turnover").join(
-        d.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), "event_id"
-    )
-    source, out = land(ticks, "slots", "ts"), scratch_path(spark, "slots-out")
-    slots = st.tumbling(st.read_files(spark, ticks.schema, source), "ts")
+    ticks = d.intraday_quotes(spark, sf).select("ts", "turnover")
+    source, out = land(ticks, "slots"), scratch_path(spark, "slots-out")
+    slots = st.tumbling(st.read_files(spark, ticks.schema, source, FILES_PER_TRIGGER), "ts", delay="40 days")
     run(slots.writeStream.outputMode("update").foreachBatch(st.by_batch(out)), "slots", spark)
     rows = st.newest_version(out, spark, ("slot_start",))
     return rows.withColumn("slot_start", F.col("slot_start").cast("timestamp_ntz"))
@@ -97,7 +107,7 @@ def stream_tumbling_slots(spark, sf):
 @query("stream_gate", GATE + f"SELECT {GATE_COLUMNS} FROM fold")
 def stream_gate(spark, sf):
     out = scratch_path(spark, "verdicts")
-    judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf)))
+    judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf), FILES_PER_TRIGGER))
     run(judged.writeStream.foreachBatch(st.by_batch(out)), "gate", spark)
     return spark.read.parquet(out).drop("batch_id", "reason")
 
@@ -105,7 +115,7 @@ def stream_gate(spark, sf):
 @query("stream_curve_sink", GATE + "SELECT trade_date, captured_at, turnover_total, quote_count FROM fold WHERE accepted")
 def stream_curve_sink(spark, sf):
     out = scratch_path(spark, "curve")
-    judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf)))
+    judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf), FILES_PER_TRIGGER))
     run(judged.writeStream.foreachBatch(st.curve_sink(out)), "curve", spark)
     return spark.read.parquet(out).drop("batch_id")
 
@@ -115,30 +125,45 @@ SELECT trade_date, captured_at, turnover_total, quote_count FROM fold
 WHERE accepted AND trade_date = (SELECT max(trade_date) FROM fold WHERE accepted)""")
 def stream_latest_sink(spark, sf):
     out = scratch_path(spark, "session")
-    judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf)))
+    judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf), FILES_PER_TRIGGER))
     run(judged.writeStream.foreachBatch(st.latest_session_sink(out)), "session", spark)
     return spark.read.parquet(out).select(*it.ROUND, "turnover_total", "quote_count")
 
 
 def shuffled_rounds(spark, sf) -> DataFrame:
-    """Rounds in a disturbed order: some come up to three hours after later ones."""
+    """Rounds in a disturbed order: by the number of the hour some come one or three hours after their time."""
     totals = it.round_totals(d.intraday_quotes(spark, sf))
     seconds = F.unix_seconds(F.col("captured_at").cast("timestamp"))
-    delay = F.when(F.col("quote_count") >= 16, 3).when(F.col("quote_count") >= 14, 1).otherwise(0) * 3600 + F.when(
-        F.col("quote_count") >= 14, 1
-    ).otherwise(0)
+    hour = F.floor(seconds / 3600)
+    delay = F.when(hour % 7 == 2, 3 * 3600 + 2).when(hour % 5 == 1, 3600 + 1).otherwise(0)
     return totals.withColumn("arrival", seconds + delay)
 
 
-@query("stream_late_rounds")
+LATE = "WITH RECURSIVE " + b.INTRADAY + """,
+hours AS (SELECT *, CAST(epoch(captured_at) AS BIGINT) AS sec, CAST(epoch(captured_at) AS BIGINT) // 3600 AS h FROM rounds),
+arrivals AS (
+  SELECT trade_date, captured_at, turnover_total, quote_count,
+         row_number() OVER (PARTITION BY trade_date ORDER BY sec + CASE WHEN h % 7 = 2 THEN 10802 WHEN h % 5 = 1 THEN 3601 ELSE 0 END) AS n
+  FROM hours),
+fold AS (
+  SELECT trade_date, captured_at, turnover_total, quote_count, n, CAST(NULL AS BIGINT) AS previous_total, CAST(NULL AS VARCHAR) AS reason,
+         captured_at AS newest, [{'at': captured_at, 'total': turnover_total}] AS kept
+  FROM arrivals WHERE n = 1
+  UNION ALL
+  SELECT trade_date, captured_at, turnover_total, quote_count, n, CASE WHEN NOT late THEN past END,
+         CASE WHEN late THEN 'late' WHEN fell THEN 'fell' END, greatest(newest, captured_at),
+         CASE WHEN late OR fell THEN kept ELSE list_append(kept, {'at': captured_at, 'total': turnover_total}) END
+  FROM (SELECT *, captured_at < newest - INTERVAL 120 MINUTE AS late, coalesce(past > 0 AND turnover_total * 10 < past * 9, false) AS fell
+        FROM (SELECT a.*, f.newest, f.kept, list_sort(list_filter(f.kept, lambda x: x.at < a.captured_at))[-1].total AS past
+              FROM fold f JOIN arrivals a ON a.trade_date = f.trade_date AND a.n = f.n + 1)))
+SELECT trade_date, captured_at, turnover_total, quote_count, previous_total, reason IS NULL AS accepted, reason FROM fold"""
+
+
+@query("stream_late_rounds", LATE)
 def stream_late_rounds(spark, sf):
-    """Late rounds find the accepted round before them; those more than two hours late are rejected.
-
-    The result depends on the order of arrival and on what was accepted so far,
-    which SQL does not express; a brute-force replay checks it in the tests.
-    """
+    """Late rounds find the accepted round before them; those more than two hours late are rejected."""
     out = scratch_path(spark, "late")
-    source = land(shuffled_rounds(spark, sf), "shuffled", "arrival")
-    judged = st.gate(st.read_files(spark, st.ROUND_ROW, source), lateness_minutes=120)
+    source = land_in_order(shuffled_rounds(spark, sf), "shuffled")
+    judged = st.gate(st.read_files(spark, st.ROUND_ROW, source, FILES_PER_TRIGGER), lateness_minutes=120)
     run(judged.writeStream.foreachBatch(st.by_batch(out)), "late", spark)
     return spark.read.parquet(out).drop("batch_id")

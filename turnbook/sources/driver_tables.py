@@ -212,6 +212,7 @@ def intraday_quotes(spark: SparkSession, sf_dir: str, since: Column | None = Non
     return events.select(
         F.to_date("ts").alias("trade_date"),
         hour.alias("captured_at"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
         ticker_of(F.col("user_id")).alias("ticker"),
         "event_id",
         "event_type",

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from turnbook.functions.parsing import COMMON_STOCK_PATTERN
 from turnbook.operators import intraday as it
 from turnbook.schemas import INTRADAY_MESSAGE
 
@@ -19,6 +20,7 @@ TRIGGER = "2 minutes"
 # dropped-rows metric; later than the lateness of the gate they are rejected visibly.
 STATE_DELAY = "7 days"
 DAY_MS = 24 * 60 * 60 * 1000
+DAY_MINUTES = 24 * 60
 
 ROUND_ROW = "trade_date date, captured_at timestamp_ntz, turnover_total bigint, quote_count bigint, arrival bigint"
 VERDICT = (
@@ -47,9 +49,9 @@ def start(writer, checkpoint: str, trigger: str | None = TRIGGER):
     return writer.start()
 
 
-def quotes_stream(messages: DataFrame) -> DataFrame:
+def quotes_stream(messages: DataFrame, codes: str = COMMON_STOCK_PATTERN) -> DataFrame:
     """Typed quotes of the Taipei day they were collected on; unreadable entries are dropped."""
-    quotes = it.quotes_of_items(it.message_items(messages)).withColumnRenamed("quote_date", "trade_date")
+    quotes = it.quotes_of_items(it.message_items(messages), codes).withColumnRenamed("quote_date", "trade_date")
     return quotes.where(it.is_current(F.col("trade_date"), F.col("captured_at")))
 
 
@@ -107,7 +109,7 @@ def newest_version(path: str, spark: SparkSession, keys: tuple[str, ...]) -> Dat
     )
 
 
-def _judge(lateness_us: int | None):
+def _judge(lateness_us: int):
     """State function of the gate.
 
     Keeps the accepted rounds that a late one may still have to be compared
@@ -128,9 +130,10 @@ def _judge(lateness_us: int | None):
         for row in rows.itertuples(index=False):
             at = int(row.captured_at.value // 1000)
             total = int(row.turnover_total)
-            earlier = [t for t in accepted if t < at]
+            too_late = newest is not None and at < newest - lateness_us
+            # What came before a round that is too late may be forgotten already.
+            earlier = [] if too_late else [t for t in accepted if t < at]
             before = accepted[max(earlier)] if earlier else None
-            too_late = lateness_us is not None and newest is not None and at < newest - lateness_us
             falls = before is not None and before > 0 and total * 10 < before * 9
             reason = "late" if too_late else "fell" if falls else None
             if reason is None:
@@ -138,7 +141,7 @@ def _judge(lateness_us: int | None):
             newest = at if newest is None else max(newest, at)
             seen = -1 if before is None else before
             out.append((row.trade_date, row.captured_at, total, int(row.quote_count), seen, reason is None, reason or ""))
-            horizon = newest - (lateness_us or 0)
+            horizon = newest - lateness_us
             old = sorted(t for t in accepted if t < horizon)
             for t in old[:-1]:
                 del accepted[t]
@@ -150,13 +153,14 @@ def _judge(lateness_us: int | None):
     return judge
 
 
-def gate(rounds: DataFrame, lateness_minutes: int | None = None) -> DataFrame:
+def gate(rounds: DataFrame, lateness_minutes: int = DAY_MINUTES) -> DataFrame:
     """Judge rounds in order of arrival against the last accepted round before them.
 
     ``rounds`` has one row per round (``ROUND_ROW``), so a group never holds quotes.
-    With a lateness, rounds older than it are rejected as late.
+    Rounds older than the lateness are rejected as late; by default it spans the
+    day, so that every round of the day is judged.
     """
-    lateness = None if lateness_minutes is None else lateness_minutes * 60 * 1_000_000
+    lateness = lateness_minutes * 60 * 1_000_000
     judged = (
         rounds.withColumn("event_time", F.col("captured_at").cast("timestamp"))
         .withWatermark("event_time", STATE_DELAY)

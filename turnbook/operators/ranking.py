@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from turnbook.functions import measures as m
 from turnbook.operators import calendar as cal
 from turnbook.operators.ranks import with_positions
+from turnbook.session import materialize
 
 HEAT = "heat"
 ACCELERATION = "acceleration"
@@ -42,13 +43,24 @@ def _latest_close(condition: Column) -> Column:
     return F.max_by("close_price", F.when(known, F.col("trading_date")))
 
 
-def _aged(daily: DataFrame, end_date) -> DataFrame:
+def day_totals(turnover: DataFrame) -> DataFrame:
+    """Value of each trading date, written once: calendar and market totals of a job both come from it.
+
+    ``turnover`` may have any grain (single trades will do): only dates and values
+    are read, and they are summed before the one small exchange.
+    """
+    return materialize(turnover.groupBy("trading_date").agg(F.sum("trading_value").alias("trading_value")), "days")
+
+
+def _aged(rows: DataFrame, end_date, days: DataFrame | None = None) -> DataFrame:
     # The calendar holds one row per trading date.
-    calendar = cal.trading_calendar(daily, end_date)
-    return cal.as_of(daily, end_date).join(F.broadcast(calendar), "trading_date")
+    calendar = cal.trading_calendar(rows if days is None else days, end_date)
+    return cal.as_of(rows, end_date).join(F.broadcast(calendar), "trading_date")
 
 
-def period_stats(daily: DataFrame, period_days: int, end_date: dt.date | None = None) -> DataFrame:
+def period_stats(
+    daily: DataFrame, period_days: int, end_date: dt.date | None = None, days: DataFrame | None = None
+) -> DataFrame:
     """One row per ticker with the sums of the three newest periods, closes and baselines.
 
     A single conditional aggregation: rows are combined before the only shuffle,
@@ -68,7 +80,7 @@ def period_stats(daily: DataFrame, period_days: int, end_date: dt.date | None =
     newest = F.col("age") == 0
     monday = m.week_start(F.col("base_date"))
     return (
-        _aged(daily, end_date)
+        _aged(daily, end_date, days)
         .groupBy("ticker")
         .agg(
             F.max("n_dates").alias("n_dates"),
@@ -91,11 +103,7 @@ def traded(total: Column, active_days: Column, close: Column) -> Column:
 
 
 def market_totals(turnover: DataFrame, period_days: int, end_date: dt.date | None = None) -> DataFrame:
-    """One row: turnover of both markets in the current and the previous period.
-
-    ``turnover`` may have any grain (single trades will do): only dates and values
-    are read, and they are summed before the one small exchange.
-    """
+    """One row: turnover of both markets in the current and the previous period; any grain will do."""
     aged = _aged(turnover.select("trading_date", "trading_value"), end_date)
     bucket = cal.period_bucket(F.col("age"), period_days)
     value = F.col("trading_value").cast("decimal(38,0)")
@@ -131,21 +139,27 @@ def with_measures(stats: DataFrame, period_days: int) -> DataFrame:
 
 
 def candidates(
-    daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None
+    daily: DataFrame,
+    stocks: DataFrame,
+    query: RankingQuery,
+    turnover: DataFrame | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Known, traded tickers that pass market and threshold, with all measures.
 
-    ``turnover`` is where market totals are read from, if there is a cheaper place than ``daily``.
+    ``turnover`` is where dates and market totals are read from, if there is a
+    cheaper place than ``daily``; ``days`` are its day totals, if already there.
     """
     n = query.period_days
-    stats = period_stats(daily, n, query.end_date).where(
+    days = day_totals(turnover or daily) if days is None else days
+    stats = period_stats(daily, n, query.end_date, days).where(
         (F.col("n_dates") >= query.required_dates)
         & traded(F.col("total"), F.col("active_days"), F.col("end_close"))
         & (F.col("total") >= F.lit(query.min_average) * n)
     )
     listed = stocks if query.market == ALL_MARKETS else stocks.where(F.col("market") == query.market)
     joined = with_measures(stats, n).join(listed.select("ticker", "name", "market"), "ticker")
-    with_totals = with_scalars(joined, market_totals(turnover or daily, n, query.end_date))
+    with_totals = with_scalars(joined, market_totals(days, n, query.end_date))
     return with_totals.withColumn("share", m.share(F.col("total"), F.col("market_total"))).withColumn(
         "previous_share", m.share(F.col("previous_total"), F.col("previous_market_total"))
     ).withColumn("share_change", F.col("share") - F.col("previous_share"))
@@ -187,11 +201,16 @@ def rank_lookup(rows: DataFrame, pinned: DataFrame) -> DataFrame:
 
 
 def ranking_summary(
-    daily: DataFrame, stocks: DataFrame, query: RankingQuery, turnover: DataFrame | None = None
+    daily: DataFrame,
+    stocks: DataFrame,
+    query: RankingQuery,
+    turnover: DataFrame | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """One row about a ranking: status, periods, totals and counts."""
     n = query.period_days
-    calendar = cal.trading_calendar(daily, query.end_date)
+    days = day_totals(turnover or daily) if days is None else days
+    calendar = cal.trading_calendar(days, query.end_date)
     bucket = cal.period_bucket(F.col("age"), n)
     bounds = calendar.agg(
         F.count(F.lit(1)).cast("int").alias("date_count"),
@@ -200,9 +219,9 @@ def ranking_summary(
         F.min(F.when(bucket == 1, F.col("trading_date"))).alias("previous_start"),
         F.max(F.when(bucket == 1, F.col("trading_date"))).alias("previous_end"),
     )
-    counted = candidates(daily, stocks, query, turnover).agg(F.count(F.lit(1)).alias("ranked_count"))
+    counted = candidates(daily, stocks, query, days=days).agg(F.count(F.lit(1)).alias("ranked_count"))
     row = with_scalars(bounds, counted)
-    row = with_scalars(row, market_totals(turnover or daily, n, query.end_date).select("market_total"))
+    row = with_scalars(row, market_totals(days, n, query.end_date).select("market_total"))
     row = with_scalars(row, stocks.agg(F.count(F.lit(1)).alias("stock_count")))
     enough = F.col("date_count") >= query.required_dates
 
@@ -227,15 +246,12 @@ def ranking_summary(
 # --- many base dates at once -------------------------------------------------
 
 
-def daily_market_totals(turnover: DataFrame) -> DataFrame:
-    return turnover.groupBy("trading_date").agg(F.sum("trading_value").alias("day_total"))
-
-
 def rolling_periods(
     daily: DataFrame,
     stocks: DataFrame,
     periods: tuple[int, ...] = cal.PERIOD_OPTIONS,
     dates: int = cal.SELECTABLE_DATES,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics of every ticker for the newest ``dates`` base dates and all ``periods``.
 
@@ -245,7 +261,7 @@ def rolling_periods(
     period; their cost does not depend on its length.
     """
     horizon = dates + 3 * max(periods) - 1
-    base = cal.distinct_dates(daily)
+    base = cal.distinct_dates(daily if days is None else days)
     calendar = F.broadcast(cal.with_age(base).select("trading_date", "age", "n_dates"))
     n_dates = base.agg(F.count(F.lit(1)).cast("int").alias("n_dates"))
 
@@ -276,7 +292,6 @@ def rolling_periods(
     # (ticker, date) is unique in a daily panel, so no ticker has more rows than the calendar.
     dense = (
         facts.unionByName(grid)
-        .repartition("ticker")
         .groupBy("ticker", "age")
         .agg(
             F.sum("trading_value").alias("value"),
@@ -355,13 +370,13 @@ def rolling_periods(
 
 
 def rolling_market_totals(
-    turnover: DataFrame, periods: tuple[int, ...] = cal.PERIOD_OPTIONS, dates: int = cal.SELECTABLE_DATES
+    days: DataFrame, periods: tuple[int, ...] = cal.PERIOD_OPTIONS, dates: int = cal.SELECTABLE_DATES
 ) -> DataFrame:
-    """Market totals per base date and period; summed per date first, whatever the grain."""
+    """Market totals per base date and period, from the totals of each date."""
     newest_first = W.orderBy("trading_date")
     running = newest_first.rowsBetween(W.unboundedPreceding, W.currentRow)
-    days = (
-        cal.with_age(daily_market_totals(turnover).withColumnRenamed("day_total", "_day"))
+    aged = (
+        cal.with_age(days.select("trading_date", F.col("trading_value").alias("_day")))
         .withColumn("_cum", F.sum(F.col("_day").cast("decimal(38,0)")).over(running))
     )
 
@@ -379,7 +394,7 @@ def rolling_market_totals(
         ]
     )
     return (
-        days.withColumn("_periods", packed)
+        aged.withColumn("_periods", packed)
         .where(F.col("age") < dates)
         .select(F.col("trading_date").alias("base_date"), F.inline("_periods"))
     )
@@ -394,8 +409,9 @@ def ranking_all_dates(
     turnover: DataFrame | None = None,
 ) -> DataFrame:
     """Unfiltered rankings of every selectable date and period in one job."""
-    stats = rolling_periods(daily, stocks, periods, dates)
-    totals = rolling_market_totals(turnover or daily, periods, dates)
+    market_days = day_totals(turnover or daily)
+    stats = rolling_periods(daily, stocks, periods, dates, market_days)
+    totals = rolling_market_totals(market_days, periods, dates)
     n = F.col("period_days")
     rows = (
         stats.join(F.broadcast(totals), ["base_date", "period_days"])

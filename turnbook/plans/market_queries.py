@@ -228,7 +228,7 @@ SELECT market, ticker, trading_date, trading_value FROM quotes WHERE market = 'T
 UNION ALL SELECT market, ticker, trading_date, trading_value FROM quotes WHERE market = 'TPEX'""")
 def union_markets(spark, sf):
     quotes = d.daily_quotes(spark, sf).select("market", "ticker", "trading_date", "trading_value")
-    return quotes.where("market = 'TWSE'").unionByName(quotes.where("market = 'TPEX'"))
+    return quotes.where(F.col("market").isin("TWSE", "TPEX"))
 
 
 # --- bars --------------------------------------------------------------------

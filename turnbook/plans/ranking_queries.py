@@ -86,7 +86,8 @@ def ranking_summary(spark, sf):
     """A ranking that has enough dates, and one that has not."""
     daily, stocks, trades = d.daily(spark, sf), d.securities(spark, sf), d.turnover(spark, sf)
     short = r.RankingQuery(period_days=900, end_date=END, mode=r.ACCELERATION, min_average=0)
-    both = r.ranking_summary(daily, stocks, HEAT, trades).unionByName(r.ranking_summary(daily, stocks, short, trades))
+    days = r.day_totals(trades)
+    both = r.ranking_summary(daily, stocks, HEAT, days=days).unionByName(r.ranking_summary(daily, stocks, short, days=days))
     return shape(both, SUMMARY_SPEC)
 
 

@@ -106,11 +106,11 @@ FROM quotes"""
 
 @query("write_snapshot", "WITH " + b.QUOTES + STORED_QUOTES)
 def write_snapshot(spark, sf):
-    """All dates are written, then the dates of 1998 once more; nothing may appear twice."""
+    """All dates are written, then one date of 1998 once more; nothing may appear twice or be lost."""
     path = scratch_path(spark, "daily")
     quotes = d.daily_quotes(spark, sf)
     sn.write(quotes, path, "trading_month")
-    sn.write(quotes.where(F.year("trading_date") == 1998), path, "trading_month")
+    sn.write_day(quotes, path, dt.date(1998, 6, 15))
     return shape(spark.read.parquet(path), QUOTE_SPEC)
 
 
@@ -154,16 +154,16 @@ def export_rankings(spark, sf):
     )
 
 
-@query("export_kline", KLINE.format(end="2100-01-01") + """,
-days AS (SELECT DISTINCT trading_date FROM bars ORDER BY 1 DESC LIMIT 120),
+@query("export_kline", KLINE.format(end=ENDS) + f""",
+days AS (SELECT DISTINCT trading_date FROM bars WHERE trading_date <= DATE '{ENDS}' ORDER BY 1 DESC LIMIT 120),
 span AS (SELECT CAST(min(trading_date) - INTERVAL 3 MONTH AS DATE) AS first_day, max(trading_date) AS last_day FROM days),
-counted AS (SELECT ticker, count(*) AS event_count FROM actions GROUP BY 1)
+counted AS (SELECT ticker, count(*) AS event_count FROM actions WHERE effective_date <= DATE '{ENDS}' GROUP BY 1)
 SELECT ticker, trading_date, open, high, low, "close", previous_close, ma5, ma10, ma20, ma60, ma240, coalesce(event_count, 0) AS event_count
 FROM bars_out CROSS JOIN span LEFT JOIN counted USING (ticker)
 WHERE complete AND trading_date BETWEEN first_day AND last_day""")
 def export_kline(spark, sf):
     path = scratch_path(spark, "bars")
-    exports.export_bars(d.daily(spark, sf), d.adjustments(spark, sf), path)
+    exports.export_bars(d.daily(spark, sf), d.adjustments(spark, sf), path, END)
     return shape(
         spark.read.parquet(path),
         "ticker trading_date open=adj_open high=adj_high low=adj_low close=adj_close previous_close ma5 ma10 ma20 ma60 "
@@ -182,9 +182,10 @@ def upsert_daily(spark, sf):
     daily = d.daily(spark, sf).select("ticker", "trading_date", "trading_value", "close_price")
     stored = daily.where("trading_date < DATE'2000-01-01'").withColumn("trading_value", F.col("trading_value") * 2)
     incoming = daily.where("trading_date >= DATE'1999-01-01'")
-    merged = tb.upsert(stored, incoming, ("trading_date", "ticker"))
     path = scratch_path(spark, "upsert")
-    tb.write_partitioned(merged.withColumn("trading_year", F.year("trading_date")), path, "trading_year")
+    by_year = F.year("trading_date")
+    tb.write_partitioned(stored.withColumn("trading_year", by_year), path, "trading_year")
+    tb.upsert_into(path, incoming.withColumn("trading_year", by_year), ("trading_date", "ticker"), "trading_year")
     return shape(spark.read.parquet(path), "ticker trading_date trading_value close_price:d")
 
 
@@ -285,6 +286,6 @@ WHERE trading_date IN (SELECT DISTINCT trading_date FROM merged ORDER BY 1 DESC
 def sync_incremental(spark, sf):
     """Keeps 900 dates, so that dates missing in the target fall into the kept range."""
     path = scratch_path(spark, "sync")
-    synced = tb.sync(_source(spark, sf), _target(spark, sf), d.securities(spark, sf), keep=900)
-    tb.write_partitioned(synced.withColumn("trading_month", F.trunc("trading_date", "month")), path, "trading_month")
-    return spark.read.parquet(path).select("ticker", "trading_date", "trading_value")
+    tb.write_partitioned(_target(spark, sf).withColumn("trading_month", F.trunc("trading_date", "month")), path, "trading_month")
+    synced = tb.sync_into(path, _source(spark, sf), d.securities(spark, sf), keep=900)
+    return synced.select("ticker", "trading_date", "trading_value")

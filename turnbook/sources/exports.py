@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnbook.functions import measures as m
@@ -38,20 +40,22 @@ def rounded_rankings(rows: DataFrame) -> DataFrame:
 def export_rankings(daily: DataFrame, stocks: DataFrame, path: str, turnover: DataFrame | None = None) -> None:
     """All selectable dates and periods, one partition folder each.
 
-    The folders have about the same number of rows, so they are spread by hash
-    over as many tasks as there are cores.
+    The rebalance hint lets adaptive execution split a large folder over several
+    tasks and merge small ones.
     """
     rows = rounded_rankings(r.ranking_all_dates(daily, stocks, ranks=False, turnover=turnover))
     keys = ("period_days", "base_date")
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    rows.repartition(tasks, *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    rows.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
-def export_bars(daily: DataFrame, events: DataFrame, path: str) -> None:
+def export_bars(daily: DataFrame, events: DataFrame, path: str, end_date: dt.date | None = None) -> None:
     """Adjusted bars of every ticker, three months before the oldest selectable date onwards.
 
-    Files are sorted by ticker, so reading one ticker touches few row groups.
+    Nothing after ``end_date`` counts, neither bars nor events.  A ticker's bars
+    lie together in one file, so reading one ticker touches few row groups.
     """
+    daily = cal.as_of(daily, end_date)
+    events = events if end_date is None else events.where(F.col("effective_date") <= F.lit(end_date))
     dates = cal.selectable_dates(daily)
     bounds = dates.agg(
         F.add_months(F.min("trading_date"), -kl.DEFAULT_MONTHS).alias("_start"), F.max("trading_date").alias("_end")
@@ -68,7 +72,8 @@ def export_bars(daily: DataFrame, events: DataFrame, path: str) -> None:
         .drop("_start", "_end")
         .join(counts, "ticker", "left")
         .withColumn("event_count", F.coalesce("event_count", F.lit(0)))
-        .repartitionByRange("ticker")
+        .repartition("ticker")
         .sortWithinPartitions("ticker", "trading_date")
-        .write.parquet(path)
+        .write.mode("overwrite")
+        .parquet(path)
     )

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from turnbook.operators.quotes import latest_dimension
 from turnbook.schemas import SNAPSHOT
+from turnbook.session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -61,6 +62,16 @@ def write(daily: DataFrame, path: str, partition: str = "trading_date") -> None:
     )
 
 
+def write_day(daily: DataFrame, path: str, date: dt.date) -> None:
+    """Replace one date of a table stored by month; the other dates of its month stay."""
+    month = F.lit(date.replace(day=1))
+    stored = daily.sparkSession.read.parquet(path)
+    others = stored.where((F.col("trading_month") == month) & (F.col("trading_date") != F.lit(date)))
+    fresh = daily.where(F.col("trading_date") == F.lit(date)).withColumn("trading_month", month)
+    whole = materialize(others.unionByName(fresh.select(*stored.columns)), "month")
+    write(whole.drop("trading_month"), path, "trading_month")
+
+
 def day(spark: SparkSession, path: str, date: dt.date) -> DataFrame:
     """One date; only its partition is read."""
     stored = spark.read.parquet(path)

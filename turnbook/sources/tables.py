@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from turnbook.operators.calendar import retain_newest_dates
 from turnbook.operators.quality import rows_of_missing_dates
+from turnbook.session import materialize
 
 # Fixed value: trading dates kept in the synced table.
 RETENTION_DATES = 300
@@ -40,6 +41,20 @@ def write_partitioned(df: DataFrame, path: str, *partitions: str) -> None:
     )
 
 
+def upsert_into(path: str, incoming: DataFrame, keys: tuple[str, ...], partition: str, order: tuple[str, ...] = ()) -> None:
+    """Upsert into a stored table; only partitions that ``incoming`` has rows for are read and replaced.
+
+    ``partition`` is a column of both.  Running it again changes nothing.
+    """
+    spark = incoming.sparkSession
+    # Partition values are bounded by the calendar.
+    touched = [r[0] for r in incoming.select(partition).distinct().collect()]
+    stored = spark.read.parquet(path)
+    before = stored.where(F.col(partition).isin(touched)).withColumn(partition, F.col(partition).cast(incoming.schema[partition].dataType))
+    merged = materialize(upsert(before.select(*incoming.columns), incoming, keys, order), "upsert")
+    write_partitioned(merged, path, partition)
+
+
 def sync(source: DataFrame, target: DataFrame, securities: DataFrame, keep: int = RETENTION_DATES) -> DataFrame:
     """Target after adding the dates it lacks (known tickers only) and keeping the newest ``keep`` dates."""
     known = securities.select("ticker")
@@ -47,6 +62,27 @@ def sync(source: DataFrame, target: DataFrame, securities: DataFrame, keep: int
     return retain_newest_dates(target.unionByName(added.select(*target.columns)), keep)
 
 
+def sync_into(path: str, source: DataFrame, securities: DataFrame, keep: int = RETENTION_DATES) -> DataFrame:
+    """``sync`` of a table stored by ``trading_month``; returns the synced table.
+
+    Only months that gain a date are read and replaced.  Dates that fall out of
+    the newest ``keep`` leave the months that are replaced; older months are no
+    longer read.
+    """
+    spark = source.sparkSession
+    stored = spark.read.parquet(path)
+    added = rows_of_missing_dates(source, stored).join(securities.select("ticker"), "ticker", "left_semi")
+    added = materialize(added.withColumn("trading_month", F.trunc("trading_date", "month")), "added")
+    dates = stored.select("trading_date").union(added.select("trading_date")).distinct()
+    oldest = dates.orderBy(F.desc("trading_date")).limit(keep).agg(F.min("trading_date")).first()[0]
+    months = [r[0] for r in added.select("trading_month").distinct().collect()]
+    before = stored.where(F.col("trading_month").isin(months))
+    renewed = before.unionByName(added.select(*stored.columns)).where(F.col("trading_date") >= F.lit(oldest))
+    write_partitioned(materialize(renewed, "synced"), path, "trading_month")
+    first_month = None if oldest is None else oldest.replace(day=1)
+    return spark.read.parquet(path).where((F.col("trading_month") >= F.lit(first_month)) & (F.col("trading_date") >= F.lit(oldest)))
+
+
 class VersionedTables:
     """A group of tables replaced together.
 

@@ -12,8 +12,9 @@ Equal sets become one class first.  In each band's bucket only the pairs with
 the bucket's centre (its member with the most company over all bands) are
 confirmed, which keeps a large group of copies linear.  Buckets that still
 hold several components go through a prefix filter (a pair at the threshold
-shares one of the rarest quarter of each set), which leaves out the pairs of
-one component and loses none between components.
+shares one of the rarest quarter of each set, with enough of both sets behind
+it), which leaves out the pairs of one component and loses none between
+components.
 
 Defined cases: a null text, or one without words, has an empty set and links
 with nothing; rows that share a doc_id count as one document; a row without
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from turnbook.llm.text import Slice, Windows, lists, mix, slices, words_of
-from turnbook.session import materialize
+from turnbook.llm.stored import materialize
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -174,12 +175,15 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataF
     rare = tokens.join(often, "token").withColumn("at", F.row_number().over(w))
     rare = rare.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & (F.col("df") > 1))
     # A token that only one component has in its prefixes can join nothing new.
-    rare = materialize(rare.select("id", "label", "n", "token"), "prefix")
+    rare = materialize(rare.select("id", "label", "n", "at", "token"), "prefix")
     shared = rare.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rare = rare.join(shared, "token", "left_semi")
-    left = rare.select("token", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = rare.select("token", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    pairs = left.join(right, "token").where((F.col("la") < F.col("lb")) & _alike_in_size("na", "nb"))
+    left = rare.select("token", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    right = rare.select("token", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # At their first shared token a pair can still share no more than what follows it in either set.
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    enough = (100 + PERCENT) * reach >= PERCENT * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "token").where((F.col("la") < F.col("lb")) & _alike_in_size("na", "nb") & enough)
     return pairs.select("a", "b").distinct()
 
 

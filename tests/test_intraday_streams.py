@@ -209,6 +209,27 @@ def test_every_state_occurs(spark, sf_dir, name, column, states):
     assert {x[column] for x in REGISTRY[name].run(spark, sf_dir).collect()} == states
 
 
+def test_an_old_quote_stays_in_a_current_response(spark):
+    """The newest date in a response is the trade date of the round."""
+    rows = items(spark, {}, {"c": "5678", "d": "20260814"}, {"c": "t00", "z": "110", "y": "100"})
+    fields = [c for c in rows.columns if c not in ("captured_at", "source")]
+    messages = rows.groupBy("captured_at", "source").agg(F.collect_list(F.struct(*fields)).alias("msgArray"))
+    got = {x.ticker: x.trade_date for x in st.quotes_stream(messages).collect()}
+    assert got == {"4321": AT.date(), "5678": AT.date()}
+    assert [(x.market, float(x.value)) for x in st.indices_stream(messages).collect()] == [("TWSE", 110.0)]
+    stale = rows.where("c = '5678'").groupBy("captured_at", "source").agg(F.collect_list(F.struct(*fields)).alias("msgArray"))
+    assert st.quotes_stream(stale).count() == 0
+
+
+def test_a_round_sent_again_replaces_itself_in_the_curve(spark):
+    path = scratch_path(spark, "again")
+    sink = st.curve_sink(path)
+    schema = "trade_date date, captured_at timestamp_ntz, turnover_total bigint, quote_count bigint, accepted boolean"
+    for batch_id, total in enumerate((100, 130)):
+        sink(spark.createDataFrame([(AT.date(), AT, total, 1, True)], schema), batch_id)
+    assert [x.turnover_total for x in st.read_curve(spark, path).collect()] == [130]
+
+
 def test_replayed_batch_does_not_duplicate(spark, sf_dir):
     path = scratch_path(spark, "replay")
     sink = st.curve_sink(path)

@@ -84,12 +84,17 @@ def quotes_of_items(items: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> Da
     )
 
 
-def indices_of_items(items: DataFrame) -> DataFrame:
-    """Index entries; several responses of a round may repeat one, the last by value order wins."""
-    code, exchange = F.lower(F.trim("c")), F.lower(F.trim("ex"))
-    market = F.when((exchange == TWSE_INDEX[0]) & (code == TWSE_INDEX[1]), "TWSE").when(
+def index_market(code: Column, exchange: Column) -> Column:
+    """Market of an index channel; null for shares."""
+    code, exchange = F.lower(F.trim(code)), F.lower(F.trim(exchange))
+    return F.when((exchange == TWSE_INDEX[0]) & (code == TWSE_INDEX[1]), "TWSE").when(
         (exchange == TPEX_INDEX[0]) & (code == TPEX_INDEX[1]), "TPEX"
     )
+
+
+def indices_of_items(items: DataFrame) -> DataFrame:
+    """Index entries; several responses of a round may repeat one, the last by value order wins."""
+    market = index_market(F.col("c"), F.col("ex"))
     previous = p.number(F.col("y"))
     value = F.coalesce(p.number(F.col("z")), p.number(F.col("pz")), previous)
     return (

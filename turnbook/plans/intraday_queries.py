@@ -197,17 +197,22 @@ newest AS (SELECT max(captured_at) AS captured_at FROM rounds),
 now_ AS (SELECT q.*, k.name, k.market FROM round_quotes q JOIN newest USING (captured_at) JOIN stocks k USING (ticker))"""
 
 
-@query("view_intraday_latest", "WITH " + b.INTRADAY + "," + b.LISTING + ROUND_QUOTES + """,
+@query("view_intraday_latest", "WITH " + b.INTRADAY + "," + b.LISTING + "," + b.INDEX + ROUND_QUOTES + """,
+past AS (SELECT arg_max(value_c, trading_date) AS base_c FROM idx
+         WHERE market = 'TWSE' AND value_c > 0 AND trading_date < (SELECT date_trunc('year', max(trade_date)) FROM rounds)),
 spread AS (SELECT captured_at, max(price_c) AS hi, min(price_c) AS lo, count(*) AS quote_count FROM ticks GROUP BY 1)
 SELECT ticker, name, market, last_c / 100.0::DOUBLE AS price, turnover, first_c / 100.0::DOUBLE AS open_price,
        high_c / 100.0::DOUBLE AS high_price, low_c / 100.0::DOUBLE AS low_price, trade_date, captured_at, quote_count,
        hi / 100.0::DOUBLE AS twse_index, lo / 100.0::DOUBLE AS tpex_index,
-       round(CAST((hi - 10000) AS DECIMAL(30, 4)) / 100, 2)::DOUBLE AS twse_ytd
-FROM now_ JOIN spread USING (captured_at)""")
+       CASE WHEN base_c > 0 THEN CAST(round(CAST((hi - base_c) * 100 AS DECIMAL(30, 0)) * 100 / base_c, 0) AS DOUBLE) / 100 END AS twse_ytd
+FROM now_ JOIN spread USING (captured_at) CROSS JOIN past""")
 def view_intraday_latest(spark, sf):
-    """Prices, range and year-to-date fields together; the index started the year at 100."""
-    base = F.lit(100).cast("decimal(10,2)")
-    runs = d.runs(spark, sf, newest=True).withColumn("twse_ytd", ix.ytd_percent(F.col("twse_index"), base)).drop("turnover_total")
+    """Prices, range and year-to-date fields together; the year began at the last index value before it."""
+    runs = d.runs(spark, sf, newest=True).drop("turnover_total")
+    opening = runs.agg(F.trunc(F.max("trade_date"), "year")).scalar()
+    history = d.market_index(spark, sf).where((F.col("market") == "TWSE") & (F.col("value") > 0) & (F.col("trading_date") < opening))
+    base = history.agg(F.max_by("value", "trading_date")).scalar()
+    runs = runs.withColumn("twse_ytd", ix.ytd_percent(F.col("twse_index"), base))
     view = it.latest_view(d.newest_round(spark, sf), runs, d.securities(spark, sf))
     return shape(
         view,

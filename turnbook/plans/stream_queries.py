@@ -75,20 +75,24 @@ def stream_rounds(spark, sf):
     return st.read_round_totals(spark, out)
 
 
-@query("stream_dedupe", "WITH " + b.INTRADAY + "SELECT trade_date, captured_at, 'collector' AS source, turnover_total FROM rounds")
+@query("stream_dedupe", "WITH " + b.INTRADAY + """
+SELECT trade_date, captured_at, 'collector' AS source, turnover_total + CASE WHEN quote_count % 2 = 0 THEN 7 ELSE 0 END AS turnover_total
+FROM rounds""")
 def stream_dedupe(spark, sf):
-    """Every round is sent twice, the second time a day later in another file."""
+    """Every round is sent three times: as it was, the same again, and a day later, some with another total; the last counts."""
     totals = it.round_totals(d.intraday_quotes(spark, sf)).select(
-        *it.ROUND, F.lit("collector").alias("source"), "turnover_total"
+        *it.ROUND, F.lit("collector").alias("source"), "turnover_total", "quote_count"
     )
-    twice = totals.withColumn("sent_at", F.col("captured_at")).unionByName(
-        totals.withColumn("sent_at", F.col("captured_at") + F.expr("INTERVAL 1 DAY"))
-    )
-    source, out = land(twice, "resent"), scratch_path(spark, "deduped")
-    stream = st.read_files(spark, twice.schema, source)
-    unique = st.dedupe(stream, ("trade_date", "captured_at", "source"), event_time="sent_at", delay="10 days")
+    first = totals.withColumn("sent_at", F.col("captured_at"))
+    changed = F.col("turnover_total") + F.when(F.col("quote_count") % 2 == 0, 7).otherwise(0)
+    second = totals.withColumn("turnover_total", changed).withColumn("sent_at", F.col("captured_at") + F.expr("INTERVAL 1 DAY"))
+    sent = first.unionByName(first).unionByName(second)
+    source, out = land(sent, "resent"), scratch_path(spark, "deduped")
+    stream = st.read_files(spark, sent.schema, source)
+    keys = ("trade_date", "captured_at", "source")
+    unique = st.dedupe(stream, (*keys, "sent_at"), event_time="sent_at", delay="40 days")
     run(unique.writeStream.foreachBatch(st.by_batch(out)), "dedupe", spark)
-    return spark.read.parquet(out).select(*it.ROUND, "source", "turnover_total")
+    return st.newest_version(out, spark, keys, ("sent_at",)).select(*keys, "turnover_total")
 
 
 @query("stream_tumbling_slots", """
@@ -117,7 +121,7 @@ def stream_curve_sink(spark, sf):
     out = scratch_path(spark, "curve")
     judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf), FILES_PER_TRIGGER))
     run(judged.writeStream.foreachBatch(st.curve_sink(out)), "curve", spark)
-    return spark.read.parquet(out).drop("batch_id")
+    return st.read_curve(spark, out)
 
 
 @query("stream_latest_sink", GATE + """

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from turnbook.functions.parsing import COMMON_STOCK_PATTERN
+from turnbook.functions.parsing import COMMON_STOCK_PATTERN, compact_date, number
 from turnbook.operators import intraday as it
 from turnbook.schemas import INTRADAY_MESSAGE
 
@@ -50,9 +50,28 @@ def start(writer, checkpoint: str, trigger: str | None = TRIGGER):
 
 
 def quotes_stream(messages: DataFrame, codes: str = COMMON_STOCK_PATTERN) -> DataFrame:
-    """Typed quotes of the Taipei day they were collected on; unreadable entries are dropped."""
-    quotes = it.quotes_of_items(it.message_items(messages), codes).withColumnRenamed("quote_date", "trade_date")
-    return quotes.where(it.is_current(F.col("trade_date"), F.col("captured_at")))
+    """Typed quotes of responses of the Taipei day they were collected on.
+
+    The newest date in a response is the trade date of all its quotes, so a share
+    last traded on an earlier day stays in the round.
+    """
+    dated = messages.withColumn("trade_date", F.array_max(F.transform("msgArray", lambda x: compact_date(x["d"]))))
+    current = dated.where(it.is_current(F.col("trade_date"), F.col("captured_at")))
+    # The trade date replaces the date of each entry.
+    stamped = current.withColumn(
+        "msgArray",
+        F.transform("msgArray", lambda x: x.withField("d", F.date_format("trade_date", "yyyyMMdd"))),
+    )
+    return it.quotes_of_items(it.message_items(stamped), codes).withColumnRenamed("quote_date", "trade_date")
+
+
+def indices_stream(messages: DataFrame) -> DataFrame:
+    """Index channels of each response: market, value, change; combine per round with ``newest_version``."""
+    items = it.message_items(messages)
+    market = it.index_market(F.col("c"), F.col("ex"))
+    value = F.coalesce(number(F.col("z")), number(F.col("pz")), number(F.col("y")))
+    rows = items.select("captured_at", "source", market.alias("market"), value.cast("decimal(14,4)").alias("value"))
+    return rows.where(F.col("market").isNotNull() & F.col("value").isNotNull())
 
 
 def by_batch(path: str, make: Callable[[DataFrame], DataFrame] = lambda df: df, *partitions: str):
@@ -98,9 +117,9 @@ def tumbling(quotes: DataFrame, event_time: str, width: str = TRIGGER, delay: st
     )
 
 
-def newest_version(path: str, spark: SparkSession, keys: tuple[str, ...]) -> DataFrame:
-    """Rows written in update mode: the version of the latest batch per key."""
-    w = W.partitionBy(*keys).orderBy(F.desc("batch_id"))
+def newest_version(path: str, spark: SparkSession, keys: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """One version per key: the last by ``order``, among equals that of the latest batch."""
+    w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], F.desc("batch_id"))
     return (
         spark.read.parquet(path)
         .withColumn("_n", F.row_number().over(w))
@@ -174,12 +193,17 @@ def gate(rounds: DataFrame, lateness_minutes: int = DAY_MINUTES) -> DataFrame:
 
 
 def curve_sink(path: str):
-    """Accepted rounds become curve rows; the curve is never pruned."""
+    """Accepted rounds become curve rows; the curve is never pruned.  Read it with ``read_curve``."""
     return by_batch(
         path, lambda batch: batch.where("accepted").select(*it.ROUND, "turnover_total", "quote_count")
     )
 
 
+def read_curve(spark: SparkSession, path: str) -> DataFrame:
+    """A round that was sent again counts once, as sent last."""
+    return newest_version(path, spark, tuple(it.ROUND))
+
+
 def latest_session_sink(path: str):
     """Keep the rounds of the newest session only.
 

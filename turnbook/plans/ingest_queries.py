@@ -17,12 +17,12 @@ FROM quotes WHERE market = '{}'"""
 
 @query("ingest_daily_twse", QUOTES_OF.format("TWSE"))
 def ingest_daily_twse(spark, sf):
-    return shape(rp.daily_twse(landed.twse_daily(d.daily_quotes(spark, sf)), d.KEY_CODES), QUOTE_SPEC)
+    return shape(rp.daily_twse(landed.read_back(landed.twse_daily(d.daily_quotes(spark, sf)), "twse"), d.KEY_CODES), QUOTE_SPEC)
 
 
 @query("ingest_daily_tpex", QUOTES_OF.format("TPEX"))
 def ingest_daily_tpex(spark, sf):
-    return shape(rp.daily_tpex(landed.tpex_daily(d.daily_quotes(spark, sf)), d.KEY_CODES), QUOTE_SPEC)
+    return shape(rp.daily_tpex(landed.read_back(landed.tpex_daily(d.daily_quotes(spark, sf)), "tpex"), d.KEY_CODES), QUOTE_SPEC)
 
 
 @query("ingest_index", "WITH " + b.INDEX + """,
@@ -154,7 +154,7 @@ def revenue_html(monthly):
 @query("ingest_revenue_html", "WITH " + b.REVENUE + """
 SELECT ticker, month, revenue // 1000 * 1000 AS revenue FROM monthly""")
 def ingest_revenue_html(spark, sf):
-    return pages.revenue_of_pages(revenue_html(d.monthly_revenue(spark, sf)), d.KEY_CODES)
+    return pages.revenue_of_pages(landed.read_back(revenue_html(d.monthly_revenue(spark, sf)), "revenue"), d.KEY_CODES)
 
 
 @query("dedupe_last_wins", "WITH " + b.QUOTES + """
@@ -197,7 +197,9 @@ def regular_quotes(spark, sf):
     from turnbook.sources import snapshots
 
     quotes = d.daily_quotes(spark, sf)
-    both = rp.daily_twse(landed.twse_daily(quotes), d.KEY_CODES).unionByName(rp.daily_tpex(landed.tpex_daily(quotes), d.KEY_CODES))
+    both = rp.daily_twse(landed.read_back(landed.twse_daily(quotes), "twse"), d.KEY_CODES).unionByName(
+        rp.daily_tpex(landed.read_back(landed.tpex_daily(quotes), "tpex"), d.KEY_CODES)
+    )
     excluded = qt.sum_non_regular(rp.non_regular(landed.non_regular(spark, sf), d.KEY_CODES))
     path = scratch_path(spark, "regular")
     regular = qt.regular_only(both, excluded)

@@ -1,16 +1,20 @@
 """Landed report documents, derived from the market tables.
 
-Each document holds the rows of one share (plus a line that ingest must skip),
-so the number of documents grows with the data and no document grows without bound.
+Daily reports hold up to ROWS_PER_DOCUMENT shares of a date, the others the rows
+of one share, each with lines that ingest must skip; so the number of documents
+grows with the data and no document grows without bound.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnbook.session import scratch_path
 from turnbook.sources import driver_tables as d
 from turnbook.sources import reports as rp
 
+ROWS_PER_DOCUMENT = 500
+
 
 def amount(value: Column, decimals: int = 0) -> Column:
     """Number with thousands separators; dashes for a missing one."""
@@ -51,52 +55,61 @@ def flat(fields, rows: Column) -> Column:
     return F.to_json(F.struct(F.lit("OK").alias("stat"), heads.alias("fields"), rows.alias("data")))
 
 
+def titled(title: str, data: Column) -> Column:
+    """A table whose rows are an array column."""
+    return F.struct(F.lit(title).alias("title"), F.array().cast("array<string>").alias("fields"), data.alias("data"))
+
+
+def _gathered(quotes: DataFrame, market: str, cells: Column) -> DataFrame:
+    """Report rows of a market by date, up to ROWS_PER_DOCUMENT tickers in a document."""
+    part = F.floor((F.col("ticker").cast("bigint") - 1000) / ROWS_PER_DOCUMENT)
+    # A ticker has one row per date, so a document has at most ROWS_PER_DOCUMENT rows.
+    grouped = quotes.where(F.col("market") == market).groupBy("trading_date", part.alias("part"))
+    return grouped.agg(F.collect_list(cells).alias("rows"))
+
+
 def twse_daily(quotes: DataFrame) -> DataFrame:
-    body = tables(
-        table("大盤統計資訊", ["a"], row("x", "1")),
-        table(
-            "115年 " + rp.TWSE_QUOTE_TITLE + "(全部)",
-            [],
-            row("0050", "ETF", "1", "1", "1", "1", "1", "1", "1"),
-            row(
-                F.concat("ticker", F.lit(" ")),
-                F.concat("name", F.lit(" ")),
-                amount(F.col("trading_volume")),
-                amount(F.col("transaction_count")),
-                amount(F.col("trading_value")),
-                amount(F.col("open_price"), 2),
-                amount(F.col("high_price"), 2),
-                amount(F.col("low_price"), 2),
-                amount(F.col("close_price"), 2),
-            ),
-            row("1101", "short row"),
-        ),
+    cells = row(
+        F.concat("ticker", F.lit(" ")),
+        F.concat("name", F.lit(" ")),
+        amount(F.col("trading_volume")),
+        amount(F.col("transaction_count")),
+        amount(F.col("trading_value")),
+        amount(F.col("open_price"), 2),
+        amount(F.col("high_price"), 2),
+        amount(F.col("low_price"), 2),
+        amount(F.col("close_price"), 2),
     )
-    return quotes.where("market = 'TWSE'").select("trading_date", body.alias("body"))
+    fund = F.array(row("0123", "fund", "1", "1", "1", "1", "1", "1", "1"))
+    data = F.concat(fund, F.col("rows"), F.array(row("5678", "short row")))
+    body = tables(titled("大盤統計資訊", F.array(row("x", "1"))), titled("103年 " + rp.TWSE_QUOTE_TITLE + "(全部)", data))
+    return _gathered(quotes, "TWSE", cells).select("trading_date", body.alias("body"))
 
 
 def tpex_daily(quotes: DataFrame) -> DataFrame:
-    body = tables(
-        table(
-            rp.TPEX_QUOTE_TITLE,
-            [],
-            row(
-                F.col("ticker"),
-                F.col("name"),
-                amount(F.col("close_price"), 2),
-                "+1.00",
-                "1",
-                amount(F.col("open_price"), 2),
-                amount(F.col("high_price"), 2),
-                amount(F.col("low_price"), 2),
-                amount(F.col("trading_volume")),
-                amount(F.col("trading_value")),
-                amount(F.col("transaction_count")),
-            ),
-            row("00631L", "x", *["1"] * 9),
-        )
+    cells = row(
+        F.col("ticker"),
+        F.col("name"),
+        amount(F.col("close_price"), 2),
+        "+1.00",
+        "1",
+        amount(F.col("open_price"), 2),
+        amount(F.col("high_price"), 2),
+        amount(F.col("low_price"), 2),
+        amount(F.col("trading_volume")),
+        amount(F.col("trading_value")),
+        amount(F.col("transaction_count")),
     )
-    return quotes.where("market = 'TPEX'").select("trading_date", body.alias("body"))
+    data = F.concat(F.col("rows"), F.array(row("04567L", "x", *["1"] * 9)))
+    body = tables(titled(rp.TPEX_QUOTE_TITLE, data))
+    return _gathered(quotes, "TPEX", cells).select("trading_date", body.alias("body"))
+
+
+def read_back(documents: DataFrame, label: str) -> DataFrame:
+    """Documents written as files of one JSON line each and read from there."""
+    path = scratch_path(documents.sparkSession, label)
+    documents.write.json(path)
+    return documents.sparkSession.read.schema(documents.schema).json(path)
 
 
 def with_points(index: DataFrame) -> DataFrame:
@@ -194,7 +207,7 @@ def adjustments(spark, sf: str, market: str) -> DataFrame:
     if market == "TWSE":
         heads = [*rp.TWSE_EVENT_FIELDS, "股票名稱", rp.PREVIOUS_CLOSE_FIELD, rp.REFERENCE_PRICE_FIELD]
         rows = F.array(
-            row(roc_worded(day), F.col("ticker"), "x", before, after), row("115年06月11日", "00878", "x", "--", "--")
+            row(roc_worded(day), F.col("ticker"), "x", before, after), row("103年07月22日", "0123", "x", "--", "--")
         )
         return events.select(flat(heads, rows).alias("body"))
     heads = [*rp.TPEX_EVENT_FIELDS, "名稱", rp.PREVIOUS_CLOSE_FIELD, rp.REFERENCE_PRICE_FIELD]

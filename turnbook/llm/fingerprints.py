@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from turnbook.session import materialize
+from turnbook.llm.stored import materialize
 
 #: Ids per block, as a power of two.
 BLOCK_BITS = 9
@@ -63,10 +63,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = successors(heads.select(F.col("block").alias("k")))
     over = order.join(heads.withColumnRenamed("block", "after"), "after").select(F.col("k").alias("block"), "head")
     w = W.partitionBy("block").orderBy("doc_id", "text")
-    follow = named.withColumn("next", F.lead(F.struct("doc_id", "text")).over(w))
-    joined = follow.alias("d").join(over.alias("o"), (F.col("d.block") == F.col("o.block")) & F.col("d.next").isNull(), "left")
-    joined = joined.select("doc_id", "d.text", F.coalesce("next", "head").alias("next"))
-    joined = joined.select("doc_id", "text", F.col("next.doc_id").alias("next_id"), F.col("next.text").alias("next_text"))
+    follow = named.withColumns({"next_id": F.lead("doc_id").over(w), "next_text": F.lead("text").over(w)})
+    joined = follow.alias("d").join(over.alias("o"), (F.col("d.block") == F.col("o.block")) & F.col("d.next_id").isNull(), "left")
+    joined = joined.select("doc_id", "text", F.coalesce("next_id", "head.doc_id").alias("next_id"), F.coalesce("next_text", "head.text").alias("next_text"))
     alone = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return joined.unionByName(alone.select("doc_id", "text", F.lit(None).cast("bigint").alias("next_id"), F.lit("").alias("next_text")))
 
@@ -101,28 +100,33 @@ def _lane_sums() -> list[Column]:
     return columns
 
 
-def _packed() -> Column:
-    """Fixed-width hexadecimal of all lanes, equality lanes first; lanes wrap at their power of two."""
-    equal = [F.lpad(F.hex(F.coalesce(F.col(f"q{i}"), F.lit(0)) % WIDE), 8, "0") for i in range(2 * EQUAL_HASHES)]
-    like = [F.lpad(F.hex(F.coalesce(F.col(f"s{i}"), F.lit(0))), 16, "0") for i in range(LONGS)]
-    return F.lower(F.concat(*equal, F.lit("-"), *like))
+def printed(equal: Column, like: Column) -> Column:
+    """Fixed-width hexadecimal of all lanes, equality lanes first."""
+    of = lambda lanes, width: F.array_join(F.transform(lanes, lambda v: F.lpad(F.hex(v), width, "0")), "")
+    return F.lower(F.concat_ws("-", of(equal, 8), of(like, 16)))
 
 
-def _signs() -> Column:
-    """Likeness lanes as centred numbers."""
-    packed = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(LONGS)])
-    n = F.coalesce(F.col("pieces"), F.lit(0))
+def signs(pieces: Column, packed: Column) -> Column:
+    """Likeness lanes as centred numbers: twice the lane less the number of pieces."""
 
     def lane(at: int) -> Column:
-        return F.transform(packed, lambda v: (F.shiftrightunsigned(v, at).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) * 2 - n).cast("double"))
+        return F.transform(packed, lambda v: (F.shiftrightunsigned(v, at).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) * 2 - pieces).cast("double"))
 
     return F.concat(*[lane(at) for at in LANES_AT])
 
 
-def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
-    """keys, fingerprint, signs of a table of (keys, text); rows with equal keys are added up."""
+def lane_sums(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, pieces, equal, like of a table of (keys, text); rows with equal keys are added up, and lanes wrap at their power of two."""
     rows = texts.select(*keys, F.explode_outer(elements(F.col("text"))).alias("e"))
-    return rows.groupBy(*keys).agg(*_lane_sums()).select(*keys, _packed().alias("fingerprint"), _signs().alias("signs"))
+    sums = rows.groupBy(*keys).agg(*_lane_sums())
+    equal = F.array(*[F.coalesce(F.col(f"q{i}"), F.lit(0)) % WIDE for i in range(2 * EQUAL_HASHES)])
+    like = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(LONGS)])
+    return sums.select(*keys, F.coalesce("pieces", F.lit(0)).alias("pieces"), equal.alias("equal"), like.alias("like"))
+
+
+def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, fingerprint, signs of a table of (keys, text)."""
+    return lane_sums(texts, *keys).select(*keys, printed(F.col("equal"), F.col("like")).alias("fingerprint"), signs(F.col("pieces"), F.col("like")).alias("signs"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -146,18 +150,19 @@ def compare_with_edit_and_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     rows = rows.withColumn("sha", F.when(F.col("version") == 1, F.sha2(F.col("text").cast("binary"), 256)))
     keys = ("row_id", "version", "doc_id", "own", "next_id", "follow", "n_chars", "sha")
-    prints = materialize(fingerprints(rows, *keys), "fingerprints")
-    first, second = prints.where("version = 0"), prints.where("version = 1")
-    second = second.select("row_id", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"), F.col("signs").alias("edited_signs"))
-    follower = first.groupBy(F.col("doc_id").alias("next_id"), F.col("own").alias("follow")).agg(F.first("signs").alias("next_signs"))
+    sums = materialize(lane_sums(rows, *keys), "fingerprints")
+    lanes = F.struct("pieces", "equal", "like").alias("lanes")
+    first = sums.where("version = 0").select("row_id", "doc_id", "own", "next_id", "follow", "n_chars", lanes)
+    second = sums.where("version = 1").select("row_id", F.col("sha").alias("edited_sha256"), lanes.alias("edited"))
+    follower = first.groupBy(F.col("doc_id").alias("next_id"), F.col("own").alias("follow")).agg(F.first("lanes").alias("after"))
     out = first.join(second, "row_id").join(follower, ["next_id", "follow"], "left")
-    nothing = F.array_repeat(F.lit(0.0), LONGS * len(LANES_AT))
+    of = lambda c: signs(F.coalesce(f"{c}.pieces", F.lit(0)), F.coalesce(f"{c}.like", F.array_repeat(F.lit(0).cast("bigint"), LONGS)))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
-        likeness(F.col("signs"), F.coalesce("next_signs", nothing)).alias("near_next"),
+        printed(F.col("lanes.equal"), F.col("lanes.like")).alias("fingerprint"),
+        printed(F.col("edited.equal"), F.col("edited.like")).alias("edited_fingerprint"),
+        likeness(of("lanes"), of("edited")).alias("near_edited"),
+        likeness(of("lanes"), of("after")).alias("near_next"),
     )

@@ -30,6 +30,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, functions as F
 
+from turnbook.llm.stored import materialize
 from turnbook.llm.text import Windows, Words, binaries, mix, signed, slices, words_of
 
 WINDOW = 20
@@ -239,6 +240,7 @@ def _kept_words(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the words left, joined by one space)."""
-    marks = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
+    marks = materialize(repeated_windows(docs, window), "repeats")
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
     both = docs.select("doc_id", "text").join(marks, "doc_id", "left")
     return both.mapInArrow(_kept_words(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")

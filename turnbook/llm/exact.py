@@ -18,15 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnbook.llm.text import GAP
-from turnbook.session import materialize, scratch_path
+from turnbook.llm.stored import materialize
+from turnbook.session import scratch_path
 
 #: Landed bytes per micro-batch.
 BYTES_PER_TRIGGER = 512 << 20
 
-#: Settings of the state store: on disk, bounded memory, only changes are uploaded.
+#: Settings of the state store: on disk without space set aside, bounded memory, only changes are uploaded.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }

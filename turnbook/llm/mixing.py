@@ -7,9 +7,9 @@ exponentially tilted by the constraint's own coefficient.  The dual is convex
 and has one variable per source; each Newton step aggregates the table of
 distinct (source, size) cells on the cluster and moves all variables at once.
 
-Rates are then rounded into copies: each cell gets the whole part for every
-document, and the rest for as many documents as the running remainder of
-tokens asks for, from the longest to the shortest, so a source ends within
+Rates are then rounded into copies from the longest to the shortest cell: each
+takes the nearest number of copies to its own tokens and the remainder of the
+cells before, within one or two copies of its rate, so a source ends within
 half of a short document of its target.  Which documents of a cell get one
 more follows from a hash of their id.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnbook.llm.spread import positions
 from turnbook.llm.text import word_count
-from turnbook.session import materialize
+from turnbook.llm.stored import materialize
 
 #: No document is taken more often.
 MOST_COPIES = 3
@@ -127,19 +127,23 @@ def solve_dual(cells: DataFrame, sources: pd.DataFrame) -> np.ndarray:
 
 
 def _rounded(cells: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies and the number of documents with one more, for the cells of one source."""
+    """Copies of each cell of one source: base for every document, one more for ``extra`` of them.
+
+    What a cell's whole copies leave of its tokens goes on to the next shorter cell.
+    """
     cells = cells.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
     base, extra, carry = [], [], 0.0
     for size, n, rate in zip(cells["size"].tolist(), cells["n"].tolist(), cells["rate"].tolist()):
-        whole = min(MOST_COPIES, int(math.floor(rate + 1e-12)))
+        whole = math.floor(rate + 1e-12)
         if size == 0:
-            one_more = n if rate - whole >= 0.5 and whole < MOST_COPIES else 0
+            total = n * min(MOST_COPIES, math.floor(rate + 0.5))
         else:
-            carry += n * (rate - whole) * size
-            one_more = 0 if whole >= MOST_COPIES else min(n, max(0, math.floor(carry / size + 0.5)))
-            carry -= one_more * size
-        base.append(whole)
-        extra.append(one_more)
+            carry += n * rate * size
+            least, most = n * max(0, whole - 1), n * min(MOST_COPIES, whole + 2)
+            total = min(most, max(least, math.floor(carry / size + 0.5)))
+            carry -= total * size
+        base.append(total // n)
+        extra.append(total % n)
     return cells.assign(base=base, extra=extra)[["source", "size", "n", "base", "extra", "source_size", "target"]]
 
 

@@ -10,8 +10,9 @@ the first.  There a window is a repeat if an equal one came before in the order
 of (doc_id, start).  Repeats of still longer windows cover no further word, so
 no candidate is left to extend.
 
-Before the shuffle each Arrow batch settles its own equal rows, so a passage
-of a third of all documents travels once per batch, not once per document.
+Before the shuffle each block of 2,048 documents settles its own equal rows, so
+a passage of a third of all documents travels once per block, not once per
+document.
 Windows that meet agree in 64 bits of their anchor, in its place and in 48 bits
 of their own hash.
 
@@ -36,6 +37,8 @@ from turnbook.llm.text import Windows, Words, binaries, mix, signed, slices, wor
 WINDOW = 20
 #: Bytes of a full window's hash that travel beside the anchor's 64 bits.
 HASH_BYTES = 6
+#: Documents whose rows are compared before they travel.
+BLOCK_ROWS = 2048
 #: Windows that one row stands for at most, as many bits of a long.
 ROW_WINDOWS = 60
 
@@ -76,7 +79,7 @@ def _later_copies(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarra
 def _anchor_rows(window: int):
     half = window // 2
 
-    def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def of_block(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = np.asarray(batch.column("doc_id"))
         parts = []
         for part in slices(batch.column("text")):
@@ -117,7 +120,8 @@ def _anchor_rows(window: int):
         )
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return (out for out in map(of_batch, batches) if out is not None)
+        parts = (batch.slice(k, BLOCK_ROWS) for batch in batches for k in range(0, batch.num_rows, BLOCK_ROWS))
+        return (out for out in map(of_block, parts) if out is not None)
 
     return run_batches
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from turnbook.llm.text import LETTER, Slice, Words, crc_third, lists, signed, slices, words_of
 
@@ -80,10 +80,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of at most SAMPLE_ROWS documents per label, chosen by a hash of their id; the held-out fold has no part."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where((crc_third(F.col("doc_id")) != 1) & F.col("toxic").isin(0, 1))
-    w = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_ROWS).drop("_n")
+    # Top rows are taken in each task before they meet.
+    first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    picked = first(0).unionByName(first(1))
     # Two labels of at most SAMPLE_ROWS ids.
-    return docs.select("doc_id", "text").join(F.broadcast(picked.limit(2 * SAMPLE_ROWS)), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,7 +131,7 @@ def stream_latest_sink(spark, sf):
     out = scratch_path(spark, "session")
     judged = st.gate(st.read_files(spark, st.ROUND_ROW, landed_rounds(spark, sf), FILES_PER_TRIGGER))
     run(judged.writeStream.foreachBatch(st.latest_session_sink(out)), "session", spark)
-    return spark.read.parquet(out).select(*it.ROUND, "turnover_total", "quote_count")
+    return st.read_latest_session(spark, out).select(*it.ROUND, "turnover_total", "quote_count")
 
 
 def shuffled_rounds(spark, sf) -> DataFrame:

@@ -226,6 +226,15 @@ def latest_session_sink(path: str):
     return write
 
 
+def read_latest_session(spark: SparkSession, path: str) -> DataFrame:
+    """The newest trade date alone, also while older folders are still there; a re-sent round counts as sent last."""
+    stored = spark.read.parquet(path)
+    newest = stored.agg(F.max("trade_date")).scalar()
+    w = W.partitionBy(*it.ROUND).orderBy(F.desc("batch_id"))
+    rows = stored.where(F.col("trade_date") == newest).withColumn("_n", F.row_number().over(w))
+    return rows.where("_n = 1").drop("_n", "batch_id")
+
+
 def prune_older_days(spark: SparkSession, path: str) -> None:
     """Delete the folders of all trade dates before the newest one."""
     hadoop = spark._jvm.org.apache.hadoop.fs

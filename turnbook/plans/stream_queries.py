@@ -65,12 +65,18 @@ def stream_intraday_source(spark, sf):
     )
 
 
-@query("stream_rounds", "WITH " + b.INTRADAY + "SELECT * FROM rounds")
+@query("stream_rounds", "WITH " + b.INTRADAY + """
+SELECT trade_date, captured_at, CAST(sum(turnover * CASE WHEN (CAST(ticker AS BIGINT) - 1000) % 3 = 1 THEN 2 ELSE 1 END) AS BIGINT) AS turnover_total,
+       count(*) AS quote_count
+FROM ticks GROUP BY 1, 2""")
 def stream_rounds(spark, sf):
-    """Quotes in, totals of each round out."""
-    quotes = d.intraday_quotes(spark, sf).select(*it.ROUND, "ticker", "turnover")
-    source, out = land(quotes, "ticks"), scratch_path(spark, "totals")
-    stream = st.read_files(spark, quotes.schema, source, FILES_PER_TRIGGER)
+    """Quotes in, totals of each round out; every third request is sent again with doubled values."""
+    part = ((F.col("ticker").cast("bigint") - 1000) % 3).cast("int")
+    quotes = d.intraday_quotes(spark, sf).select(*it.ROUND, "ticker", "turnover", part.alias("part"), F.lit(1).alias("sent"))
+    again = quotes.where("part = 1").withColumns({"turnover": F.col("turnover") * 2, "sent": F.lit(2)})
+    sent = quotes.unionByName(again)
+    source, out = land(sent, "ticks"), scratch_path(spark, "totals")
+    stream = st.read_files(spark, sent.schema, source, FILES_PER_TRIGGER)
     run(stream.writeStream.foreachBatch(st.round_totals_sink(out)), "rounds", spark)
     return st.read_round_totals(spark, out)
 

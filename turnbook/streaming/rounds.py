@@ -87,17 +87,22 @@ def by_batch(path: str, make: Callable[[DataFrame], DataFrame] = lambda df: df,
 
 
 def round_totals_sink(path: str):
-    """Totals of the rounds in a batch, combined before they are written."""
-    return by_batch(path, lambda batch: batch.groupBy(*it.ROUND).agg(
+    """Totals of the parts of rounds in a batch, combined before they are written.
+
+    Quotes carry the ``part`` of the round (one request) and ``sent``, which grows
+    when a part is sent again.
+    """
+    return by_batch(path, lambda batch: batch.groupBy(*it.ROUND, "part", "sent").agg(
         F.sum("turnover").alias("turnover_total"), F.count(F.lit(1)).alias("quote_count")
     ))
 
 
 def read_round_totals(spark: SparkSession, path: str) -> DataFrame:
-    """A round may arrive in parts; its parts are added up on reading."""
-    return spark.read.parquet(path).groupBy(*it.ROUND).agg(
-        F.sum("turnover_total").alias("turnover_total"), F.sum("quote_count").alias("quote_count")
-    )
+    """The parts of a round are added up; of a part that was sent again only the last one counts."""
+    sums = [F.sum(c).alias(c) for c in ("turnover_total", "quote_count")]
+    sent = spark.read.parquet(path).groupBy(*it.ROUND, "part", "sent").agg(*sums)
+    last = sent.groupBy(*it.ROUND, "part").agg(F.max(F.struct("sent", "turnover_total", "quote_count")).alias("s"))
+    return last.select(*it.ROUND, "s.*").groupBy(*it.ROUND).agg(*sums)
 
 
 def dedupe(rounds: DataFrame, keys: tuple[str, ...], event_time: str = "captured_at", delay: str = "2 days") -> DataFrame:

@@ -128,7 +128,8 @@ def _unequal(docs: DataFrame, state: DataFrame, digest) -> DataFrame:
     texts = texts.join(hits, "digest").select("digest", "doc_id", "keep_id", "n_chars", "text", plain.cast("binary").alias("bytes"))
     texts = materialize(texts, "hits")
     held = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.coalesce(F.char_length("text"), F.lit(0)) == F.col("n_chars")))
-    held = held.groupBy("digest").agg(F.min("bytes").alias("held"))
+    # A written table, so that the join can split a large group of copies.
+    held = materialize(held.groupBy("digest").agg(F.min("bytes").alias("held")), "held")
     return texts.join(held, "digest").where("bytes <> held").select("digest").distinct()
 
 

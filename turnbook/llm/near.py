@@ -170,7 +170,7 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataF
     if rest.isEmpty():
         return None
     tokens = sets.join(rest, "id").select("id", "label", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    often = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")), "often")
     w = W.partitionBy("id").orderBy("df", "token")
     rare = tokens.join(often, "token").withColumn("at", F.row_number().over(w))
     rare = rare.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & (F.col("df") > 1))
@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # Written counts leave both sides of the joins below to be split where a key is hot.
+    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "crowded")
     members = materialize(keyed.join(crowded, "key"), "members")
     company = members.groupBy("rep").agg(F.sum("members").alias("company"))
     sets = materialize(
@@ -206,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "sets",
     )
     centres = members.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", -F.col("rep"), "n")).alias("centre"))
-    centres = centres.select("key", (-F.col("centre.col2")).alias("b"), F.col("centre.n").alias("m"))
+    centres = materialize(centres.select("key", (-F.col("centre.col2")).alias("b"), F.col("centre.n").alias("m")), "centres")
     pairs = members.join(centres, "key").where((F.col("rep") != F.col("b")) & _alike_in_size("n", "m"))
     pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
     edges = materialize(confirm(pairs, sets), "links")

@@ -178,3 +178,21 @@ def test_repeats_of_odd_tables(spark):
     rows = [(None, text), (3, text), (3, text), (4, "new " + text)]
     out = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in repeats.remove_repeats(table(spark, rows)).collect()))
     assert out == [(0, 30, 0), (3, 30, 0), (3, 30, 0), (4, 31, 30)]
+
+
+def test_longest_repeats_match_brute_force(spark):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(100)]
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [fresh(7) + passage + fresh(5), passage[:30] + fresh(40), fresh(3) + passage[25:95], fresh(60), passage[:9], ["a"] * 50]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(90, None), (None, " ".join(passage))]
+    expected = {}
+    for length in (10, 20, 40, 80, 160):
+        places = {}
+        for i, t in enumerate(texts):
+            for s in range(len(t) - length + 1):
+                places.setdefault(tuple(t[s : s + length]), []).append(i)
+        expected.update({i: length for found in places.values() if len(found) > 1 for i in found})
+    got = {r.doc_id: r.longest for r in repeats.longest_repeats(table(spark, rows), 10).collect()}
+    assert got == expected == {0: 40, 1: 20, 2: 40, 5: 40}
+    assert repeats.longest_repeats(table(spark, [])).count() == 0

@@ -8,7 +8,8 @@ hashes of the full windows it stands for.  Rows meet by anchor: an anchor that
 occurs once is dropped, and what repeats is extended to the full length, twice
 the first.  There a window is a repeat if an equal one came before in the order
 of (doc_id, start).  Repeats of still longer windows cover no further word, so
-no candidate is left to extend.
+removal needs no further level; ``longest_repeats`` goes on doubling until no
+candidate survives and tells how far each document's repeats reach.
 
 Before the shuffle each block of 2,048 documents settles its own equal rows, so
 a passage of a third of all documents travels once per block, not once per
@@ -248,3 +249,61 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
     both = docs.select("doc_id", "text").join(marks, "doc_id", "left")
     return both.mapInArrow(_kept_words(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+
+
+def _window_rows(length: int):
+    """Rows of (doc_id, at, two hashes) for the windows at the starts in ``starts``, or for all where it is null."""
+
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, chosen = batch.column("doc_id"), batch.column("starts")
+            for part in slices(batch.column("text")):
+                words = words_of(part)
+                first = words.firsts()
+                hashes = words.hashes()
+                runs = Windows(hashes), Windows(mix(hashes))
+                own = chosen.slice(part.first, part.rows)
+                known = np.asarray(own.is_valid())
+                counts = np.asarray(own.fill_null([]).value_lengths())
+                picked = first[np.repeat(np.arange(part.rows), counts)] + np.asarray(own.fill_null([]).flatten(), dtype=np.int64)
+                spots = np.arange(runs[0].n)
+                starts = np.concatenate((picked, spots[~known[words.row]]))
+                # A window never leaves its document.
+                row = np.searchsorted(first, starts, side="right") - 1
+                inside = starts + length <= first[row + 1]
+                starts, row = starts[inside], row[inside]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(part.first, part.rows).take(pa.array(row)),
+                        pa.array(starts - first[row], pa.int32()),
+                        *[signed(run.at(starts, length)) for run in runs],
+                    ],
+                    names=["doc_id", "at", "h", "g"],
+                )
+
+    return run_batches
+
+
+def longest_repeats(docs: DataFrame, start: int = WINDOW) -> DataFrame:
+    """(doc_id, longest): the largest of start, 2 * start, 4 * start, ... words that the document shares with another place.
+
+    A level holds only windows whose two halves both occur elsewhere, and the
+    loop ends with the first level at which nothing does.  Documents without a
+    repeat, and rows without doc_id, are left out; rows that share a doc_id
+    count as separate places.
+    """
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    rows = texts.withColumn("starts", F.lit(None).cast("array<int>"))
+    reached, length = None, start
+    while True:
+        windows = rows.mapInArrow(_window_rows(length), "doc_id bigint, at int, h bigint, g bigint")
+        windows = materialize(windows, "windows")
+        twice = materialize(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+        alive = materialize(windows.join(twice, ["h", "g"], "left_semi").select("doc_id", "at").distinct(), "alive")
+        level = alive.select("doc_id").distinct().withColumn("longest", F.lit(length))
+        reached = level if reached is None else reached.unionByName(level)
+        if alive.isEmpty():
+            return reached.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+        halves = alive.join(alive.select("doc_id", (F.col("at") - length).alias("at")), ["doc_id", "at"])
+        rows = texts.join(halves.groupBy("doc_id").agg(F.collect_list("at").alias("starts")), "doc_id")
+        length *= 2

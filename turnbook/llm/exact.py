@@ -121,7 +121,7 @@ def exact_duplicates(docs: DataFrame, digest=lambda sha: sha) -> DataFrame:
 
 
 def _unequal(docs: DataFrame, state: DataFrame, digest) -> DataFrame:
-    """Digests under which a document's full normalised text differs from the stored one's."""
+    """Digests under which a document's full normalised text differs from the stored one's, once for each such document."""
     hits = state.where("group_size > 1").select("digest", (-F.col("best.order_id")).alias("keep_id"), "best.n_chars")
     plain = normalised(F.col("text"))
     texts = docs.select("doc_id", "text", digest(sha256(plain)).alias("digest"))
@@ -130,7 +130,7 @@ def _unequal(docs: DataFrame, state: DataFrame, digest) -> DataFrame:
     held = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.coalesce(F.char_length("text"), F.lit(0)) == F.col("n_chars")))
     # A written table, so that the join can split a large group of copies.
     held = materialize(held.groupBy("digest").agg(F.min("bytes").alias("held")), "held")
-    return texts.join(held, "digest").where("bytes <> held").select("digest").distinct()
+    return texts.join(held, "digest").where("bytes <> held").select("digest")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:

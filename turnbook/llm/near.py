@@ -177,7 +177,7 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataF
     # A token that only one component has in its prefixes can join nothing new.
     rare = materialize(rare.select("id", "label", "n", "at", "token"), "prefix")
     shared = rare.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rare = rare.join(shared, "token", "left_semi")
+    rare = materialize(rare.join(shared, "token", "left_semi"), "shared")
     left = rare.select("token", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
     right = rare.select("token", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     # At their first shared token a pair can still share no more than what follows it in either set.

@@ -16,6 +16,8 @@ from turnbook.session import materialize
 
 SAMPLE_ROWS = 8192
 RANGES = 512
+# A row is compared with every so many bounds first, then with those in between.
+STRIDE = 23
 
 
 def ordering(key: str, ticker: str = "ticker", descending: bool = True) -> list[Column]:
@@ -45,14 +47,16 @@ def with_position(
 
 
 def _bounds(df: DataFrame, key: str, within: tuple[str, ...], ticker: str, descending: bool) -> DataFrame:
-    """One row with an array of at most about RANGES rows, evenly spread over a bottom-k sample by hash."""
+    """One row with the bounds in ranking order, about RANGES of them, evenly spread over a bottom-k sample by hash."""
     sample = df.select(F.col(key).alias("key"), F.col(ticker).alias("ticker"), F.xxhash64(ticker, *within).alias("h"))
     sample = sample.orderBy("h", "ticker", "key").limit(SAMPLE_ROWS)
     place = F.row_number().over(W.orderBy(*ordering("key", "ticker", descending))) - 1
     total = F.count(F.lit(1)).over(W.partitionBy())
     step = F.greatest(F.lit(1), F.floor(total / RANGES))
     chosen = sample.select("key", "ticker", place.alias("place"), step.alias("step")).where("place % step = 0")
-    return chosen.agg(F.collect_list(F.struct("key", "ticker")).alias("bounds"))
+    fine = chosen.agg(F.sort_array(F.collect_list(F.struct("place", "key", "ticker"))).alias("fine"))
+    coarse = F.filter("fine", lambda _, i: i % STRIDE == STRIDE - 1)
+    return fine.select(F.struct("fine", coarse.alias("coarse")).alias("bounds"))
 
 
 def _precedes(bound: Column, key: str, ticker: str, descending: bool) -> Column:
@@ -64,10 +68,13 @@ def _precedes(bound: Column, key: str, ticker: str, descending: bool) -> Column:
 
 
 def _positioned(df, key, name, within, ticker, descending):
+    def ahead(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: _precedes(b, key, ticker, descending)))
+
     bounds = _bounds(df, key, within, ticker, descending).scalar()
-    spread = df.withColumn("_bounds", bounds).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: _precedes(b, key, ticker, descending)))
-    ).drop("_bounds")
+    spread = df.withColumn("_bounds", bounds).withColumn("_coarse", ahead(F.col("_bounds.coarse")) * STRIDE)
+    rest = F.slice("_bounds.fine", F.col("_coarse") + 1, F.lit(STRIDE))
+    spread = spread.withColumn("_range", F.col("_coarse") + ahead(rest)).drop("_bounds", "_coarse")
 
     groups = [*within, "_range"]
     before = W.partitionBy(*within).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)

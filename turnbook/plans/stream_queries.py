@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from turnbook.operators import intraday as it
@@ -24,6 +26,40 @@ def land(df: DataFrame, label: str, fmt: str = "parquet") -> str:
     return path
 
 
+def _timed_in_order(spark, path: str) -> bool:
+    """Give the part files of a folder times a second apart, in the order of their numbers; False if the store keeps none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-")]
+    files.sort(key=lambda f: (int(f.getName().split("-")[1]), f.getName()))
+    last = int(time.time())
+    for k, file in enumerate(files):
+        at = (last - len(files) + k) * 1000
+        fs.setTimes(file, at, -1)
+        if fs.getFileStatus(file).getModificationTime() != at:
+            return False
+    return True
+
+
+def land_by_time(df: DataFrame, at: str, label: str) -> str:
+    """Put the rows down for a stream in the order of ``at``: no file begins before the one before it ends.
+
+    A file source takes files by their time, so no unread row is ever older than
+    what was read, however long the history and however few files a batch takes.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.repartitionByRange(at).sortWithinPartitions(at).write.parquet(path)
+    if _timed_in_order(spark, path):
+        return path
+    # The store sets times itself, to the second at worst: the ranges once more, one after the other.
+    ordered, ranges = scratch_path(spark, label), spark.read.schema(df.schema).parquet(path)
+    for file in sorted(ranges.inputFiles(), key=lambda f: int(f.rsplit("/part-", 1)[1].split("-")[0])):
+        spark.read.schema(df.schema).parquet(file).coalesce(1).write.mode("append").parquet(ordered)
+        time.sleep(1)
+    return ordered
+
+
 def land_in_order(rounds: DataFrame, label: str) -> str:
     """Put rounds down so that those of a day arrive in the order of ``arrival``.
 
@@ -93,10 +129,10 @@ def stream_dedupe(spark, sf):
     changed = F.col("turnover_total") + F.when(F.col("quote_count") % 2 == 0, 7).otherwise(0)
     second = totals.withColumn("turnover_total", changed).withColumn("sent_at", F.col("captured_at") + F.expr("INTERVAL 1 DAY"))
     sent = first.unionByName(first).unionByName(second)
-    source, out = land(sent, "resent"), scratch_path(spark, "deduped")
+    source, out = land_by_time(sent, "sent_at", "resent"), scratch_path(spark, "deduped")
     stream = st.read_files(spark, sent.schema, source)
     keys = ("trade_date", "captured_at", "source")
-    unique = st.dedupe(stream, (*keys, "sent_at"), event_time="sent_at", delay="40 days")
+    unique = st.dedupe(stream, (*keys, "sent_at"), event_time="sent_at", delay="10 days")
     run(unique.writeStream.foreachBatch(st.by_batch(out)), "dedupe", spark)
     return st.newest_version(out, spark, keys, ("sent_at",)).select(*keys, "turnover_total")
 
@@ -107,8 +143,8 @@ SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS slot_start,
        count(*) AS quote_count FROM events GROUP BY 1""")
 def stream_tumbling_slots(spark, sf):
     ticks = d.intraday_quotes(spark, sf).select("ts", "turnover")
-    source, out = land(ticks, "slots"), scratch_path(spark, "slots-out")
-    slots = st.tumbling(st.read_files(spark, ticks.schema, source, FILES_PER_TRIGGER), "ts", delay="40 days")
+    source, out = land_by_time(ticks, "ts", "slots"), scratch_path(spark, "slots-out")
+    slots = st.tumbling(st.read_files(spark, ticks.schema, source, FILES_PER_TRIGGER), "ts")
     run(slots.writeStream.outputMode("update").foreachBatch(st.by_batch(out)), "slots", spark)
     rows = st.newest_version(out, spark, ("slot_start",))
     return rows.withColumn("slot_start", F.col("slot_start").cast("timestamp_ntz"))

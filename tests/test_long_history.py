@@ -58,6 +58,11 @@ def test_no_row_falls_behind_the_watermark(spark, history, one_by_one, name):
     assert against_sql(spark, history, name) == []
 
 
+@pytest.mark.parametrize("name", ["stream_gate", "stream_curve_sink", "stream_latest_sink", "stream_late_rounds"])
+def test_the_gate_sees_every_round_of_a_long_history(spark, history, one_by_one, name):
+    assert against_sql(spark, history, name) == []
+
+
 def test_a_store_that_sets_times_itself(spark, monkeypatch):
     """Ranges are then written one after the other."""
     monkeypatch.setattr(sq, "_timed_in_order", lambda *_: False)

@@ -10,12 +10,10 @@ from turnbook.operators import intraday as it
 from turnbook.plans import base_sql as b, landed
 from turnbook.plans.intraday_queries import FEED, GATE, GATE_COLUMNS
 from turnbook.plans.registry import query, shape
-from turnbook.session import materialize, scratch_path
+from turnbook.session import scratch_path
 from turnbook.sources import driver_tables as d
 from turnbook.streaming import rounds as st
 
-# Rounds arrive in slices of so many hours of their day.
-SLICE_HOURS = 4
 FILES_PER_TRIGGER = 8
 
 
@@ -61,20 +59,8 @@ def land_by_time(df: DataFrame, at: str, label: str) -> str:
 
 
 def land_in_order(rounds: DataFrame, label: str) -> str:
-    """Put rounds down so that those of a day arrive in the order of ``arrival``.
-
-    A file source takes files by their time.  The slices of the day are written
-    one after the other, all days at once, and a slice holds a day in one file.
-    """
-    spark = rounds.sparkSession
-    opening = F.unix_seconds(F.col("trade_date").cast("timestamp"))
-    slice_ = F.floor((F.col("arrival") - opening) / (SLICE_HOURS * 3600)).cast("int")
-    staged = materialize(rounds.withColumn("_slice", slice_), label + "-staged")
-    path = scratch_path(spark, label)
-    # Slices of one day and of the hours that a round may be late.
-    for part in [r["_slice"] for r in staged.select("_slice").distinct().orderBy("_slice").collect()]:
-        staged.where(F.col("_slice") == part).drop("_slice").repartition("trade_date").write.mode("append").parquet(path)
-    return path
+    """Put rounds down in the order of ``arrival``, over all days; those of a day that arrive together share a file."""
+    return land_by_time(rounds, "arrival", label)
 
 
 def run(writer, label: str, spark) -> None:

@@ -22,16 +22,16 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from turnbook.llm.stored import materialize
 from turnbook.llm.text import Slice, crc_third, slices
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 EMBEDDING = 8
 FILTERS = 16
-#: Bounds of the training sample: documents per language, windows per document, languages.
+#: Bounds of the training sample: documents per language, windows per document.
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 8
-MOST_LANGUAGES = 200
 EPOCHS = 12
 BATCH = 64
 UNKNOWN = "und"
@@ -141,8 +141,8 @@ def training_sample(docs: DataFrame) -> DataFrame:
     named = docs.where("lang is not null and doc_id is not null").where(crc_third(F.col("doc_id")) != 1)
     w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = named.select("lang", "doc_id").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_DOCS)
-    # At most SAMPLE_DOCS ids for each of MOST_LANGUAGES languages.
-    picked = F.broadcast(picked.select("doc_id").limit(SAMPLE_DOCS * MOST_LANGUAGES).distinct())
+    # Written, so that its size decides how it is joined, whatever the number of languages.
+    picked = materialize(picked.select("doc_id").distinct(), "sampled")
     return named.join(picked, "doc_id").select("lang", "text")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fixtures import SCHEMA, rows_of
 from turnbook.llm import languages
 
 
@@ -15,3 +16,13 @@ def test_every_language_is_sampled(spark):
     )
     got = {r["lang"]: r["count"] for r in languages.training_sample(docs).groupBy("lang").count().collect()}
     assert len(got) == many and set(got.values()) == {languages.SAMPLE_DOCS}
+
+
+def test_a_clean_text_of_many_languages_stays(spark):
+    """Five languages in equal parts: the best has about a fifth, and op10 names one."""
+    own = ["abc ", "def ", "ghi ", "jkl ", "mno "]
+    rows = [r for i, w in enumerate(own) for r in rows_of([w * 100] * 30, first=30 * i, lang=w.strip())]
+    docs = spark.createDataFrame(rows + rows_of([(None, "".join(w * 320 for w in own)), (None, "123 456")]), SCHEMA)
+    judged = sorted((r.lang_pred, r.score) for r in languages.identify(docs).where("doc_id is null").collect())
+    assert judged[0][0] != "und" and judged[0][1] < 0.3 and judged[1] == ("und", 0.0)
+    assert [r.text[:4] for r in languages.drop_unknown(docs).where("doc_id is null").collect()] == ["abc "]

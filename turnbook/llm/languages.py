@@ -203,17 +203,16 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run_batches, "doc_id bigint, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without texts of no language: ``und``, or a best language below ``least``."""
+def drop_unknown(docs: DataFrame) -> DataFrame:
+    """``docs`` without texts of no language, ``und``; a named language keeps a text whatever its score."""
     net = fit(docs)
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for part in slices(column, 1 << 18):
-                names, scores = judge_rows(net, part, column.slice(part.first, part.rows).to_pylist())
-                keep = [n != UNKNOWN and s >= least for n, s in zip(names, scores)]
-                yield batch.slice(part.first, part.rows).filter(pa.array(keep, pa.bool_()))
+                names, _ = judge_rows(net, part, column.slice(part.first, part.rows).to_pylist())
+                yield batch.slice(part.first, part.rows).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
 
     return docs.mapInArrow(run_batches, docs.schema)
 

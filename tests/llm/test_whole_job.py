@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+import random
+
 from pyspark.sql import functions as F
 
 from fixtures import SCHEMA, rows_of
-from turnbook.llm import languages
+from turnbook.llm import languages, url_rules
 
 
 def test_every_language_is_sampled(spark):
@@ -26,3 +29,18 @@ def test_a_clean_text_of_many_languages_stays(spark):
     judged = sorted((r.lang_pred, r.score) for r in languages.identify(docs).where("doc_id is null").collect())
     assert judged[0][0] != "und" and judged[0][1] < 0.3 and judged[1] == ("und", 0.0)
     assert [r.text[:4] for r in languages.drop_unknown(docs).where("doc_id is null").collect()] == ["abc "]
+
+
+def test_the_automaton_alone_decides_rules():
+    """Host and path of a rule match theirs only; the fallback globs do not see the border."""
+    rng = random.Random(3)
+    text = lambda k: "".join(rng.choice("ab./") for _ in range(k))
+    pairs = [(text(rng.randint(0, 6)).replace("/", "."), text(rng.randint(0, 6))) for _ in range(3000)]
+    rules = [url_rules.Rule("block", h, p) for h, p in (("a", "/"), ("b.a", "/b"), ("ab", "a"), ("a.b", ""))]
+    blind = ("*.a", "a?*b*", "*b/a*", "a*", "", "*a")
+    globs = tuple(g for r in rules for g in r.globs()) + blind
+    hit = url_rules.ShiftAnd(globs, blind=len(blind)).matches([h + url_rules.BORDER + p for h, p in pairs])
+    for i, (h, p) in enumerate(pairs):
+        for j, r in enumerate(rules):
+            assert (hit[i, 2 * j] or hit[i, 2 * j + 1]) == (p.startswith(r.path) and (h == r.host or h.endswith("." + r.host)))
+        assert list(hit[i, 2 * len(rules) :]) == [fnmatch.fnmatchcase(h + p, g) for g in blind]

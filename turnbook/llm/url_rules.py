@@ -1,6 +1,7 @@
 """URL filter: all glob rules run at once as one bit-parallel Shift-And automaton.
 
-Every rule becomes globs over the canonical URL (host, then path).  The
+Every rule becomes globs over the canonical URL: host, ``#``, path, neither of
+which can hold a ``#``, so a rule's host and path match theirs alone.  The
 patterns' states are packed one after another into 64-bit words; a step for
 one character is a shift, an AND with the character's mask and an OR with the
 states that a star keeps alive, for all URLs of a batch at once.
@@ -25,6 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Between host and path; occurs in neither.
+BORDER = "#"
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -36,7 +41,7 @@ class Rule:
         return self.host + self.path
 
     def globs(self) -> tuple[str, str]:
-        return f"{self.host}{self.path}*", f"*.{self.host}{self.path}*"
+        return f"{self.host}{BORDER}{self.path}*", f"*.{self.host}{BORDER}{self.path}*"
 
 
 #: The rules of the contract.
@@ -54,9 +59,12 @@ OTHER = 128  # class of all characters that no pattern names
 
 
 class ShiftAnd:
-    """Globs (``*`` any run, ``?`` one character) packed into rows of 64-bit words."""
+    """Globs (``*`` any run, ``?`` one character) packed into rows of 64-bit words.
+
+    The last ``blind`` globs match as if the texts had no BORDER.
+    """
 
-    def __init__(self, globs: tuple[str, ...]):
+    def __init__(self, globs: tuple[str, ...], blind: int = 0):
         self.globs = globs
         lengths, bit = [], 0
         starts, accepts, loops, takes = [], [], [], []
@@ -78,7 +86,13 @@ class ShiftAnd:
         for c, at in takes:
             rows = slice(None) if c == "?" else self._class(c)
             self.masks[rows, at // 64] |= np.uint64(1 << at % 64)
-        self.loop = self._bits(loops)
+        # States that stay where they are, by class of the character.
+        self.loop = np.tile(self._bits(loops), (len(self.masks), 1))
+        if blind:
+            first = starts[len(globs) - blind]
+            unseen = self._bits(list(range(first, bit)))
+            self.loop[ord(BORDER)] |= unseen
+            self.masks[ord(BORDER)] &= ~unseen
         self.start = self._bits(starts)
         self.accept = np.array(accepts)
 
@@ -107,7 +121,8 @@ class ShiftAnd:
             now = state[:live]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-            state[:live] = (moved & self.masks[classes[first[:live] + i]]) | (now & self.loop)
+            at = classes[first[:live] + i]
+            state[:live] = (moved & self.masks[at]) | (now & self.loop[at])
         out = np.empty((len(texts), len(self.globs)), dtype=bool)
         out[order] = (state[:, self.accept // 64] >> (self.accept % 64).astype(np.uint64)) & np.uint64(1) == 1
         return out
@@ -130,13 +145,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str,
     ranks = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ShiftAnd(globs)
+        automaton = ShiftAnd(globs, blind=len(blocked))
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            hit = automaton.matches([h + p for h, p in zip(hosts, paths)])
-            # A glob over host and path together could also match with the border elsewhere.
-            border = np.array([[p.startswith(r.path) and (h == r.host or h.endswith("." + r.host)) for r in rules] for h, p in zip(hosts, paths)], dtype=bool).reshape(len(hosts), len(rules))
-            fits = (hit[:, 0 : 2 * len(rules) : 2] | hit[:, 1 : 2 * len(rules) : 2]) & border
+            hit = automaton.matches([h + BORDER + p for h, p in zip(hosts, paths)])
+            fits = hit[:, 0 : 2 * len(rules) : 2] | hit[:, 1 : 2 * len(rules) : 2]
             best = np.full(len(hosts), -1)
             for i in reversed(ranks):
                 best[fits[:, i]] = i

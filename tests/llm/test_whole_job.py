@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from fixtures import SCHEMA, rows_of
-from turnbook.llm import languages, url_rules
+from turnbook.llm import fingerprints, languages, url_rules
 
 
 def test_every_language_is_sampled(spark):
@@ -44,3 +44,11 @@ def test_the_automaton_alone_decides_rules():
         for j, r in enumerate(rules):
             assert (hit[i, 2 * j] or hit[i, 2 * j + 1]) == (p.startswith(r.path) and (h == r.host or h.endswith("." + r.host)))
         assert list(hit[i, 2 * len(rules) :]) == [fnmatch.fnmatchcase(h + p, g) for g in blind]
+
+
+def test_lanes_of_texts_summed_in_parts(spark, monkeypatch):
+    """A text in parts has the lanes of the same text in one."""
+    rows = spark.createDataFrame([(0, "a b.\nc d\ne\n" * 30 + "f g"), (1, "h")], "k int, text string")
+    once = {r["k"]: tuple(r) for r in fingerprints.fingerprints(rows, "k").collect()}
+    monkeypatch.setattr(fingerprints, "PART", 16)
+    assert {r["k"]: tuple(r) for r in fingerprints.fingerprints(rows, "k").collect()} == once

@@ -34,6 +34,8 @@ LANE_BITS = 21
 LANES_AT = (0, 21, 42)
 LOWEST_BITS = sum(1 << at for at in LANES_AT)
 LONGS = LIKE_HASHES * LANE_BITS
+#: Elements that are summed in one long at most, so that no lane reaches its neighbour: texts with more are summed in parts.
+PART = 1 << (LANE_BITS - 1)
 WIDE = 1 << 32
 #: Pieces of a paragraph: up to four words, ended by a line or by these marks.
 PIECE = r"[^\s.,;:!?]+(?:[ \t]+[^\s.,;:!?]+){0,3}[.,;:!?]*"
@@ -95,8 +97,7 @@ def _lane_sums() -> list[Column]:
         h = F.xxhash64(F.lit(EQUAL_HASHES + i), "e")
         for j in range(LANE_BITS):
             bit = F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LOWEST_BITS))
-            # Null only beyond two million pieces, then 0.
-            columns.append(F.try_sum(F.when(~whole, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{LANE_BITS * i + j}"))
+            columns.append(F.sum(F.when(~whole, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{LANE_BITS * i + j}"))
     return columns
 
 
@@ -106,27 +107,47 @@ def printed(equal: Column, like: Column) -> Column:
     return F.lower(F.concat_ws("-", of(equal, 8), of(like, 16)))
 
 
-def signs(pieces: Column, packed: Column) -> Column:
-    """Likeness lanes as centred numbers: twice the lane less the number of pieces."""
+def _unpacked(packed: Column) -> Column:
+    """The lanes of packed longs: all lowest ones, then all middle ones, then all top ones."""
 
     def lane(at: int) -> Column:
-        return F.transform(packed, lambda v: (F.shiftrightunsigned(v, at).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) * 2 - pieces).cast("double"))
+        return F.transform(packed, lambda v: F.shiftrightunsigned(v, at).bitwiseAND(F.lit((1 << LANE_BITS) - 1)))
 
     return F.concat(*[lane(at) for at in LANES_AT])
 
 
+def signs(pieces: Column, packed: Column, whole: Column) -> Column:
+    """Likeness lanes as centred numbers, twice the lane less the number of pieces; ``whole`` has the lanes that could wrap."""
+    return F.transform(F.coalesce(whole, _unpacked(packed)), lambda v: (v * 2 - pieces).cast("double"))
+
+
 def lane_sums(texts: DataFrame, *keys: str) -> DataFrame:
-    """keys, pieces, equal, like of a table of (keys, text); rows with equal keys are added up, and lanes wrap at their power of two."""
-    rows = texts.select(*keys, F.explode_outer(elements(F.col("text"))).alias("e"))
-    sums = rows.groupBy(*keys).agg(*_lane_sums())
+    """keys, pieces, equal, like, whole of a table of (keys, text); rows with equal keys are added up, and lanes wrap at their power of two.
+
+    ``whole`` has the likeness lanes as they were before they wrapped, where a text or row is long enough for that; else it is null.
+    """
+    long = F.char_length("text") >= PART
+    # A piece and a line end have a character each, so a short text has at most PART elements.
+    rows = texts.select(*keys, long.alias("long"), F.posexplode_outer(elements(F.col("text"))).alias("pos", "e"))
+    part = F.when(F.col("long"), F.expr(f"pos div {PART}"))
+    sums = materialize(rows.withColumn("part", part).groupBy(*keys, "part").agg(*_lane_sums()), "lanes")
     equal = F.array(*[F.coalesce(F.col(f"q{i}"), F.lit(0)) % WIDE for i in range(2 * EQUAL_HASHES)])
-    like = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(LONGS)])
-    return sums.select(*keys, F.coalesce("pieces", F.lit(0)).alias("pieces"), equal.alias("equal"), like.alias("like"))
+    packed = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(LONGS)])
+    pieces = F.coalesce("pieces", F.lit(0)).alias("pieces")
+    short = sums.where("part is null").select(*keys, pieces, equal.alias("equal"), packed.alias("like"), F.lit(None).cast("array<bigint>").alias("whole"))
+    lanes = [F.sum(F.shiftrightunsigned(f"s{i}", at).bitwiseAND(F.lit((1 << LANE_BITS) - 1))).alias(f"w{at}_{i}") for at in LANES_AT for i in range(LONGS)]
+    added = sums.where("part is not null").groupBy(*keys).agg(
+        F.sum("pieces").alias("pieces"), *[F.sum(f"q{i}").alias(f"q{i}") for i in range(2 * EQUAL_HASHES)], *lanes
+    )
+    whole = F.array(*[F.col(f"w{at}_{i}") for at in LANES_AT for i in range(LONGS)])
+    wrapped = lambda at, i: F.shiftleft(F.col(f"w{at}_{i}").bitwiseAND(F.lit((1 << LANE_BITS) - 1)), at)
+    like = F.array(*[wrapped(LANES_AT[0], i).bitwiseOR(wrapped(LANES_AT[1], i)).bitwiseOR(wrapped(LANES_AT[2], i)) for i in range(LONGS)])
+    return short.unionByName(added.select(*keys, pieces, equal.alias("equal"), like.alias("like"), whole.alias("whole")))
 
 
 def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, fingerprint, signs of a table of (keys, text)."""
-    return lane_sums(texts, *keys).select(*keys, printed(F.col("equal"), F.col("like")).alias("fingerprint"), signs(F.col("pieces"), F.col("like")).alias("signs"))
+    return lane_sums(texts, *keys).select(*keys, printed(F.col("equal"), F.col("like")).alias("fingerprint"), signs(F.col("pieces"), F.col("like"), F.col("whole")).alias("signs"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -150,13 +171,13 @@ def compare_with_edit_and_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     rows = rows.withColumn("sha", F.when(F.col("version") == 1, F.sha2(F.col("text").cast("binary"), 256)))
     keys = ("row_id", "version", "doc_id", "own", "next_id", "follow", "n_chars", "sha")
-    sums = materialize(lane_sums(rows, *keys), "fingerprints")
-    lanes = F.struct("pieces", "equal", "like").alias("lanes")
+    sums = lane_sums(rows, *keys)
+    lanes = F.struct("pieces", "equal", "like", "whole").alias("lanes")
     first = sums.where("version = 0").select("row_id", "doc_id", "own", "next_id", "follow", "n_chars", lanes)
     second = sums.where("version = 1").select("row_id", F.col("sha").alias("edited_sha256"), lanes.alias("edited"))
     follower = first.groupBy(F.col("doc_id").alias("next_id"), F.col("own").alias("follow")).agg(F.first("lanes").alias("after"))
     out = first.join(second, "row_id").join(follower, ["next_id", "follow"], "left")
-    of = lambda c: signs(F.coalesce(f"{c}.pieces", F.lit(0)), F.coalesce(f"{c}.like", F.array_repeat(F.lit(0).cast("bigint"), LONGS)))
+    of = lambda c: signs(F.coalesce(f"{c}.pieces", F.lit(0)), F.coalesce(f"{c}.like", F.array_repeat(F.lit(0).cast("bigint"), LONGS)), F.col(f"{c}.whole"))
     return out.select(
         "doc_id",
         "n_chars",

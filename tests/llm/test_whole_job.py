@@ -52,3 +52,8 @@ def test_lanes_of_texts_summed_in_parts(spark, monkeypatch):
     once = {r["k"]: tuple(r) for r in fingerprints.fingerprints(rows, "k").collect()}
     monkeypatch.setattr(fingerprints, "PART", 16)
     assert {r["k"]: tuple(r) for r in fingerprints.fingerprints(rows, "k").collect()} == once
+
+
+def test_likeness_of_three_million_pieces(spark):
+    docs = spark.range(1).select(F.col("id").alias("k"), F.expr("repeat('x\\n', 3000000)").alias("text"))
+    assert {abs(v) for v in fingerprints.fingerprints(docs, "k").first()["signs"]} == {3_000_000}

@@ -1,10 +1,10 @@
-"""The ten registered queries, each over its whole table, with the SQL that must agree where SQL can say it."""
+"""The registered queries, each over its whole table, with the SQL that must agree where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnbook.llm import exact, fingerprints, languages, mixing, near, packing, repeats, secrets, toxicity, url_rules
+from turnbook.llm import exact, fingerprints, languages, manifest, mixing, near, packing, repeats, secrets, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = manifest.tampered_manifest(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -139,6 +144,47 @@ FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+def _manifest_sql() -> str:
+    def leaf(text: str) -> str:
+        values = [text if f == "text" else f"{f}::VARCHAR" for f in manifest.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    def levels(name: str, trees: str) -> str:
+        return f"""
+{name} AS ({trees}
+  UNION ALL SELECT tree, lv + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, lv, i // 8)"""
+
+    def walk(name: str, nodes: str, start: str) -> str:
+        return f"""
+{name} AS ({start}
+  UNION ALL SELECT w.r, w.tree, w.lv + 1, w.i // 8, sha256(string_agg(CASE WHEN s.i = w.i THEN w.cur ELSE s.h END, '' ORDER BY s.i)),
+         w.proof || coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i <> w.i), '')
+  FROM {name} w JOIN {nodes} s ON s.tree IS NOT DISTINCT FROM w.tree AND s.lv = w.lv AND s.i // 8 = w.i // 8
+  WHERE s.n > 1 GROUP BY w.r, w.tree, w.lv, w.i, w.cur, w.proof)"""
+
+    bit = "lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    over = """SELECT w.r, 0 AS tree, 0 AS lv, s.i, w.cur, w.proof FROM within w JOIN subroots s ON s.tree IS NOT DISTINCT FROM w.tree
+  JOIN nodes m ON m.tree IS NOT DISTINCT FROM w.tree AND m.lv = w.lv AND m.n = 1"""
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 1 AS k, 4294967295::UBIGINT AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, s, k + 1, list_reduce(list_concat([xor(c, ascii(s[k])::UBIGINT)], list_transform(range(8), lambda x: x::UBIGINT)), {bit})
+  FROM crc WHERE k <= length(s)),
+tampered AS (SELECT doc_id FROM crc WHERE k = length(s) + 1 AND xor(c, 4294967295::UBIGINT) % 3 = 0),
+d AS (SELECT doc_id, lang AS tree, {leaf("text")} AS h, CASE WHEN doc_id IN (SELECT doc_id FROM tampered) THEN {leaf(lower)} END AS c FROM documents),
+placed AS (
+  SELECT row_number() OVER () AS r, *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{levels("nodes", "SELECT tree, 0 AS lv, i, n, h FROM placed")},
+subroots AS (SELECT tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{levels("tops", "SELECT 0 AS tree, 0 AS lv, i, n, h FROM subroots")},
+{walk("within", "nodes", "SELECT r, tree, 0 AS lv, i, coalesce(c, h) AS cur, '' AS proof FROM placed")},
+{walk("over", "tops", over)}
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, t.h AS root, sha256(o.proof) AS proof_sha256, o.cur AS folded_root, o.cur = t.h AS verified
+FROM placed p JOIN subroots s ON s.tree IS NOT DISTINCT FROM p.tree JOIN tops t ON t.n = 1 JOIN over o ON o.r = p.r AND o.lv = t.lv
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -152,6 +198,7 @@ QUERIES = {
         op8_secret_scan,
         op9_toxicity,
         op10_language_id,
+        op12_merkle_manifest,
     )
 }
 
@@ -162,4 +209,5 @@ SQL = {
     "op6_substring_dedup": REPEATS_SQL,
     "op7_url_filter": _url_sql(),
     "op8_secret_scan": _secrets_sql(),
+    "op12_merkle_manifest": _manifest_sql(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnbook.llm import alignment, exact, fingerprints, languages, manifest, mixing, near, packing, repeats, secrets, toxicity, url_rules
+from turnbook.llm import alignment, compression, exact, fingerprints, languages, manifest, mixing, near, packing, repeats, secrets, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.rate(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = manifest.tampered_manifest(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
@@ -202,6 +206,7 @@ QUERIES = {
         op8_secret_scan,
         op9_toxicity,
         op10_language_id,
+        op11_context_mixing,
         op12_merkle_manifest,
         op13_tokenizer_alignment,
     )

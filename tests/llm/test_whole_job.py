@@ -55,5 +55,29 @@ def test_lanes_of_texts_summed_in_parts(spark, monkeypatch):
 
 
 def test_likeness_of_three_million_pieces(spark):
-    docs = spark.range(1).select(F.col("id").alias("k"), F.expr("repeat('x\\n', 3000000)").alias("text"))
+    # The text depends on the row, so that it is data and not a literal of the plan.
+    docs = spark.range(1).select(F.col("id").alias("k"), F.expr("repeat('x\\n', cast(id AS int) + 3000000)").alias("text"))
     assert {abs(v) for v in fingerprints.fingerprints(docs, "k").first()["signs"]} == {3_000_000}
+
+
+def test_lanes_against_plain_sums(spark):
+    """Every lane of a few texts, summed in plain Python over the elements and their hashes."""
+    texts = ["a b.\nc d\n\ne f g h i, j", "", "é\né", "x " * 50, "one line"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    hashes = [F.xxhash64(F.lit(i), "e").alias(f"h{i}") for i in range(fingerprints.EQUAL_HASHES + fingerprints.LIKE_HASHES)]
+    elements = rows.select("k", F.explode(fingerprints.elements(F.col("text"))).alias("e")).select("k", "e", *hashes).collect()
+    got = {r["k"]: r for r in fingerprints.lane_sums(rows, "k").collect()}
+    for k in range(len(texts)):
+        own = [e for e in elements if e["k"] == k]
+        whole, pieces = ([e for e in own if e["e"][0] == kind] for kind in "PS")
+        equal = []
+        for i in range(fingerprints.EQUAL_HASHES):
+            unsigned = [e[f"h{i}"] % 2**64 for e in whole]
+            equal += [sum(u % 2**32 for u in unsigned) % 2**32, sum(u >> 32 for u in unsigned) % 2**32]
+        assert (list(got[k]["equal"]), got[k]["pieces"]) == (equal, len(pieces))
+        for i in range(fingerprints.LIKE_HASHES):
+            for j in range(fingerprints.LANE_BITS):
+                packed = got[k]["like"][fingerprints.LANE_BITS * i + j]
+                for at in fingerprints.LANES_AT:
+                    lane = sum((e[f"h{fingerprints.EQUAL_HASHES + i}"] % 2**64) >> (j + at) & 1 for e in pieces)
+                    assert (packed >> at) % 2**fingerprints.LANE_BITS == lane

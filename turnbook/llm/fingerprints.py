@@ -126,10 +126,11 @@ def lane_sums(texts: DataFrame, *keys: str) -> DataFrame:
 
     ``whole`` has the likeness lanes as they were before they wrapped, where a text or row is long enough for that; else it is null.
     """
-    long = F.char_length("text") >= PART
     # A piece and a line end have a character each, so a short text has at most PART elements.
-    rows = texts.select(*keys, long.alias("long"), F.posexplode_outer(elements(F.col("text"))).alias("pos", "e"))
-    part = F.when(F.col("long"), F.expr(f"pos div {PART}"))
+    # The flag is a column before the elements are made, so that no element carries its text.
+    flagged = texts.withColumn("_long", F.char_length("text") >= PART)
+    rows = flagged.select(*keys, "_long", F.posexplode_outer(elements(F.col("text"))).alias("pos", "e"))
+    part = F.when(F.col("_long"), F.expr(f"pos div {PART}"))
     sums = materialize(rows.withColumn("part", part).groupBy(*keys, "part").agg(*_lane_sums()), "lanes")
     equal = F.array(*[F.coalesce(F.col(f"q{i}"), F.lit(0)) % WIDE for i in range(2 * EQUAL_HASHES)])
     packed = F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(LONGS)])

@@ -92,6 +92,14 @@ def index_market(code: Column, exchange: Column) -> Column:
     )
 
 
+def index_entries(items: DataFrame) -> DataFrame:
+    """Index entries of the parts of rounds: market, value and previous close."""
+    previous = p.number(F.col("y"))
+    value = F.coalesce(p.number(F.col("z")), p.number(F.col("pz")), previous)
+    rows = items.select("captured_at", "source", "part", index_market(F.col("c"), F.col("ex")).alias("market"), value.alias("value"), previous.alias("y"))
+    return rows.where(F.col("market").isNotNull() & F.col("value").isNotNull())
+
+
 def indices_of_items(items: DataFrame) -> DataFrame:
     """Index entries; several responses of a round may repeat one, the last by value order wins."""
     market = index_market(F.col("c"), F.col("ex"))

@@ -16,14 +16,15 @@ from turnbook.sources import driver_tables as d
 TICKS = "WITH RECURSIVE " + b.INTRADAY
 
 # The events read as feed entries: which field carries the price.
-FEED = "WITH " + b.INTRADAY + """,
-feed AS (
-  SELECT *, CASE WHEN event_type = 'purchase' THEN price_c * 100
+FEED_PRICE = """CASE WHEN event_type = 'purchase' THEN price_c * 100
                  WHEN event_type = 'click' AND lots < 60 THEN price_c * 100
                  WHEN event_type = 'click' THEN price_c * 100 + 250
                  WHEN event_type = 'view' AND lots < 50 THEN price_c * 100 + 250
                  WHEN event_type = 'view' THEN price_c * 100
-                 WHEN lots >= 20 THEN price_c * 100 + 1000 END AS p4,
+                 WHEN lots >= 20 THEN price_c * 100 + 1000 END"""
+FEED = "WITH " + b.INTRADAY + f""",
+feed AS (
+  SELECT *, {FEED_PRICE} AS p4,
          CASE WHEN event_type = 'purchase' THEN 'last_trade'
               WHEN event_type = 'click' AND lots < 30 THEN 'previous_trade'
               WHEN event_type = 'click' THEN 'bid_ask_mid' WHEN event_type = 'view' AND lots < 50 THEN 'high_low_mid'

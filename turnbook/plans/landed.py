@@ -7,7 +7,7 @@ grows with the data and no document grows without bound.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnbook.session import scratch_path
 from turnbook.sources import driver_tables as d
@@ -114,8 +114,6 @@ def read_back(documents: DataFrame, label: str) -> DataFrame:
 
 def with_points(index: DataFrame) -> DataFrame:
     """Index rows with their change in points; the first date of a market has none."""
-    from pyspark.sql import Window as W
-
     previous = F.lag("value").over(W.partitionBy("market").orderBy("trading_date"))
     return index.withColumn("points", F.col("value") - previous)
 
@@ -219,7 +217,10 @@ def raw_items(spark, sf: str) -> DataFrame:
 
     Sign-ups stand for the two index channels.
     """
-    e = d.intraday_quotes(spark, sf)
+    return items_of(d.intraday_quotes(spark, sf))
+
+
+def items_of(e: DataFrame) -> DataFrame:
     price = F.col("price_cents").cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")
     text = F.format_string("%.4f", price.cast("double"))
     ask = F.format_string("%.4f", ((F.col("price_cents") + 5) / 100))
@@ -254,3 +255,69 @@ def messages(spark, sf: str) -> DataFrame:
     return items.select(
         "captured_at", F.lit("collector").alias("source"), F.array(F.struct(*fields)).alias("msgArray")
     )
+
+
+# Shares that the collector asks for at a time.
+SHARES_PER_RESPONSE = 150
+
+
+def responses(spark, sf: str) -> DataFrame:
+    """Raw responses of two-minute rounds between 07:00 and 13:35 Taipei, with a tick of the clock for every weekday.
+
+    A round has each share that traded in its two minutes, 150 to a response,
+    and the index channels in its first and last response.  By its number a
+    response is cut off, lost, five minutes late or 26 hours late.
+    """
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    trades = d.intraday_quotes(spark, sf).where("event_type <> 'signup'").withColumn("slot", F.floor(seconds / 120))
+    minute = (F.col("slot") * 2 + 480) % 1440
+    trades = trades.where((minute >= 420) & (minute < 815)).withColumn("captured_at", F.timestamp_seconds(F.col("slot") * 120).cast("timestamp_ntz"))
+    fields = ["event_id", "event_type", "price_cents", "lots", "trade_date"]
+    last = trades.groupBy("captured_at", "slot", "ticker").agg(F.max_by(F.struct(*fields), "event_id").alias("e"))
+    last = last.select("captured_at", "slot", "ticker", "e.*")
+    items = items_of(last)
+    entry = F.struct(*[c for c in items.columns if c not in ("captured_at", "event_id")])
+    keyed = items.select("captured_at", "event_id", entry.alias("item")).join(last.select("captured_at", "event_id", "slot", "ticker", "price_cents"), ["captured_at", "event_id"])
+    part = F.floor((F.col("ticker").cast("bigint") - 1000) / SHARES_PER_RESPONSE).cast("int")
+    # At most SHARES_PER_RESPONSE entries, then at most as many rows of a round as it has responses.
+    grouped = keyed.groupBy("captured_at", "slot", part.alias("part")).agg(
+        F.sort_array(F.collect_list("item")).alias("items"), F.max("price_cents").alias("high"), F.min("price_cents").alias("low")
+    )
+    own = W.partitionBy("captured_at")
+    rounds = grouped.withColumns({
+        "parts": F.count(F.lit(1)).over(own).cast("int"), "first": F.min("part").over(own), "last": F.max("part").over(own),
+        "high": F.max("high").over(own), "low": F.min("low").over(own),
+    })
+    day, high, low = F.date_format("captured_at", "yyyyMMdd"), *[F.format_string("%.2f", F.col(c) / 100) for c in ("high", "low")]
+
+    def index(code: str, exchange: str, z, y) -> Column:
+        given = {"c": F.lit(code), "ex": F.lit(exchange), "d": day, "z": z, "y": y}
+        return F.struct(*[given.get(f, F.lit("-")).alias(f) for f in entry_fields])
+
+    entry_fields = [c for c in items.columns if c not in ("captured_at", "event_id")]
+    opening = F.array(index("t00", "tse", high, low), index("o00", "otc", low, high))
+    closing = F.array(index("t00", "tse", F.lit("-"), low))
+    extra = F.when(F.col("part") == F.col("first"), opening).otherwise(F.when(F.col("part") == F.col("last"), closing).otherwise(F.slice(closing, 1, 0)))
+    body = F.to_json(F.struct(F.concat("items", extra).alias("msgArray")))
+    fault = (F.col("slot") * 7 + F.col("part") * 3) % 40
+    late = F.when(fault == 3, 300).when(fault == 4, 93600).otherwise(0)
+    arrival = F.timestamp_seconds(F.col("slot") * 120 + 10 + F.col("part") + late).cast("timestamp_ntz")
+    sent = rounds.where(fault != 2).select(
+        "captured_at", F.lit("collector").alias("source"), "part", "parts", arrival.alias("arrival"),
+        F.when(fault == 1, F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body).alias("body"),
+    )
+    return sent.unionByName(ticks(spark, sf))
+
+
+def ticks(spark, sf: str) -> DataFrame:
+    """A tick an hour after each weekday's session, and one three days after the last, which lets every timer run out."""
+    days = d.intraday_quotes(spark, sf).agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))
+    due = days.select(F.explode(F.sequence("first", "last")).alias("day"), "last").where((F.weekday("day") < 5) | (F.col("day") == F.col("last")))
+    end = due.withColumn("end", F.unix_seconds(F.col("day").cast("timestamp")) + (13 * 60 + 34 - 480) * 60)
+    wait = F.explode(F.when(F.col("day") == F.col("last"), F.array(F.lit(3600), F.lit(4 * 86400))).otherwise(F.array(F.lit(3600))))
+    ticked = end.select("end", wait.alias("wait"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return ticked.select(
+        F.timestamp_seconds("end").cast("timestamp_ntz").alias("captured_at"), F.lit("clock").alias("source"), none("int").alias("part"),
+        none("int").alias("parts"), F.timestamp_seconds(F.col("end") + F.col("wait")).cast("timestamp_ntz").alias("arrival"), none("string").alias("body"),
+    )

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from turnbook.operators import intraday as it
 from turnbook.plans import base_sql as b, landed
-from turnbook.plans.intraday_queries import FEED, GATE, GATE_COLUMNS
+from turnbook.plans.intraday_queries import FEED_PRICE, GATE, GATE_COLUMNS
 from turnbook.plans.registry import query, shape
-from turnbook.session import scratch_path
+from turnbook.session import materialize, scratch_path
 from turnbook.sources import driver_tables as d
-from turnbook.streaming import rounds as st
+from turnbook.streaming import collection as co, rounds as st
 
 FILES_PER_TRIGGER = 8
 
@@ -73,18 +73,86 @@ def landed_rounds(spark, sf) -> str:
     return land_in_order(totals.withColumn("arrival", F.unix_seconds(F.col("captured_at").cast("timestamp"))), "rounds")
 
 
-@query("stream_intraday_source", FEED + """
-SELECT captured_at, ticker, CASE WHEN lots >= 50 THEN 'TPEX' ELSE 'TWSE' END AS market, trade_date,
-       CAST(sum(coalesce(p4 * lots // 10, 0)) AS BIGINT) AS turnover, count(*) AS quotes
-FROM feed WHERE trade_date = CAST(captured_at + INTERVAL 8 HOUR AS DATE) GROUP BY ALL""")
+# Responses of two-minute rounds, what becomes of each, and of their rounds.
+COLLECTED = f"""
+traded AS (
+  SELECT epoch_us(ts) // 120000000 AS slot, CAST(ts AS DATE) AS trade_date, user_id, event_id, event_type,
+         CAST(floor(value * 100 + 0.5) AS BIGINT) AS price_c, CAST(json_extract_string(props, '$.k') AS BIGINT) AS lots
+  FROM events WHERE event_type <> 'signup'),
+shares AS (
+  SELECT *, user_id // 150 AS part, make_timestamp(slot * 120000000) AS captured_at, {FEED_PRICE} AS p4 FROM traded
+  WHERE (slot * 2 + 480) % 1440 BETWEEN 420 AND 814
+  QUALIFY row_number() OVER (PARTITION BY slot, user_id ORDER BY event_id DESC) = 1),
+parted AS (
+  SELECT slot, captured_at, part, (slot * 7 + part * 3) % 40 AS fault, count(*) OVER (PARTITION BY slot) AS parts FROM shares GROUP BY 1, 2, 3),
+sent AS (
+  SELECT *, captured_at + to_seconds(10 + part + CASE fault WHEN 3 THEN 300 WHEN 4 THEN 93600 ELSE 0 END) AS arrival, fault = 1 AS broken
+  FROM parted WHERE fault <> 2),
+timely AS (
+  SELECT *, arrival > captured_at + INTERVAL 1 DAY AS expired,
+         arrival <= min(arrival) FILTER (arrival <= captured_at + INTERVAL 1 DAY) OVER (PARTITION BY slot) + INTERVAL 2 MINUTE AS in_time
+  FROM sent),
+collected AS (
+  SELECT slot, captured_at, CASE WHEN count(*) FILTER (in_time) < any_value(parts) THEN 'incomplete' WHEN bool_or(broken AND in_time) THEN 'unreadable' ELSE 'ok' END AS status,
+         CASE WHEN count(*) FILTER (in_time) < any_value(parts) THEN min(arrival) + INTERVAL 2 MINUTE ELSE max(arrival) END AS closed_at
+  FROM timely WHERE NOT expired GROUP BY 1, 2)"""
+
+
+def collected(spark, sf) -> str:
+    """The sink of assembled rounds, with one folder per batch and kind of row."""
+    source, out = land_by_time(landed.responses(spark, sf), "arrival", "responses"), scratch_path(spark, "collected")
+    tagged = co.assemble(st.read_files(spark, co.RESPONSE, source, FILES_PER_TRIGGER))
+    run(tagged.writeStream.foreachBatch(st.by_batch(out, lambda df: df, "kind")), "collected", spark)
+    return out
+
+
+@query("stream_intraday_source", "WITH" + COLLECTED + """,
+current AS (
+  SELECT s.*, count(DISTINCT part) OVER (PARTITION BY slot) AS parts, max(price_c) OVER (PARTITION BY slot) AS hi, min(price_c) OVER (PARTITION BY slot) AS lo
+  FROM shares s JOIN collected c USING (slot) WHERE c.status = 'ok' AND trade_date = CAST(s.captured_at + INTERVAL 8 HOUR AS DATE))
+SELECT captured_at, trade_date, 'quote' AS kind, CASE WHEN lots >= 50 THEN 'TPEX' ELSE 'TWSE' END AS market, CAST(user_id + 1000 AS VARCHAR) AS code,
+       p4 / 10000.0::DOUBLE AS price, CAST(coalesce(p4 * lots // 10, 0) AS BIGINT) AS turnover FROM current
+UNION ALL
+SELECT DISTINCT captured_at, trade_date, 'index', market, code, CASE WHEN market = 'TWSE' AND parts = 1 THEN hi ELSE lo END / 100.0::DOUBLE, 0::BIGINT
+FROM current CROSS JOIN (VALUES ('TWSE', 't00'), ('TPEX', 'o00')) AS m(market, code)""")
 def stream_intraday_source(spark, sf):
-    source = land(landed.messages(spark, sf), "messages", "json")
-    out = scratch_path(spark, "quotes")
-    quotes = st.quotes_stream(st.read_messages(spark, source, FILES_PER_TRIGGER), d.KEY_CODES)
-    run(quotes.writeStream.foreachBatch(st.by_batch(out)), "source", spark)
-    return spark.read.parquet(out).groupBy("captured_at", "ticker", "market", "trade_date").agg(
-        F.sum("turnover").alias("turnover"), F.count(F.lit(1)).alias("quotes")
-    )
+    """Quotes of complete rounds of the day, and one index value per market and round."""
+    parts = materialize(co.read_kind(spark, collected(spark, sf), "part"), "parts")
+    dates = parts.select("captured_at", "source", "trade_date").distinct()
+    quotes = co.quotes(parts, d.KEY_CODES).select("captured_at", "trade_date", F.lit("quote").alias("kind"), "market", F.col("ticker").alias("code"), "price", "turnover")
+    indices = co.round_indices(parts).join(dates, ["captured_at", "source"]).select(
+        "captured_at", "trade_date", F.lit("index").alias("kind"), "market", F.when(F.col("market") == "TWSE", "t00").otherwise("o00").alias("code"),
+        F.col("value").alias("price"), F.lit(0).cast("bigint").alias("turnover"),
+    )
+    return shape(quotes.unionByName(indices), "captured_at trade_date kind market code price:d turnover")
+
+
+@query("stream_rejects", "WITH" + COLLECTED + """
+SELECT captured_at, part::BIGINT AS part, CASE WHEN expired THEN 'expired' WHEN NOT in_time THEN 'after_round' WHEN status = 'ok' THEN 'ok' ELSE 'round_failed' END AS fate
+FROM timely LEFT JOIN collected USING (slot, captured_at)""")
+def stream_rejects(spark, sf):
+    """Every response exactly once: in a complete round, or among the rejects with the reason."""
+    rows = spark.read.parquet(collected(spark, sf)).where("kind IN ('part', 'reject')")
+    return shape(rows, "captured_at part:l fate=status")
+
+
+@query("stream_round_slots", "WITH" + COLLECTED + """,
+span AS (SELECT min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM events),
+due AS (SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS session_date, last FROM span),
+seen AS (SELECT CAST(captured_at + INTERVAL 8 HOUR AS DATE) AS session_date, (slot * 2 + 480) % 1440 AS slot, status, closed_at FROM collected),
+sessions AS (SELECT session_date FROM due WHERE isodow(session_date) <= 5 OR session_date = last UNION SELECT session_date FROM seen),
+grid AS (SELECT session_date, unnest(range(420, 815, 2)) AS slot FROM sessions)
+SELECT session_date, slot::BIGINT AS slot, status FROM seen
+UNION ALL
+SELECT session_date, slot::BIGINT, 'missing' FROM grid g WHERE NOT EXISTS (
+  SELECT 1 FROM seen s WHERE s.session_date = g.session_date AND s.slot = g.slot AND s.closed_at <= g.session_date + INTERVAL 345 MINUTE)""")
+def stream_round_slots(spark, sf):
+    """Rounds by their slot, broken ones included, and the slots of every session that no round took."""
+    rounds = materialize(co.read_kind(spark, collected(spark, sf), "round"), "rounds")
+    source, out = land_by_time(rounds, "closed_at", "closed"), scratch_path(spark, "slots")
+    slots = co.missing_slots(st.read_files(spark, rounds.schema, source, FILES_PER_TRIGGER))
+    run(slots.writeStream.foreachBatch(st.by_batch(out)), "slots", spark)
+    return shape(spark.read.parquet(out), "session_date slot:l status")
 
 
 @query("stream_rounds", "WITH " + b.INTRADAY + """
@@ -199,3 +267,19 @@ def stream_late_rounds(spark, sf):
     judged = st.gate(st.read_files(spark, st.ROUND_ROW, source, FILES_PER_TRIGGER), lateness_minutes=120)
     run(judged.writeStream.foreachBatch(st.by_batch(out)), "late", spark)
     return spark.read.parquet(out).drop("batch_id")
+
+
+ALL_ARRIVALS = LATE.replace("FROM hours)", "FROM hours WHERE h % 11 <> 4)", 1) + """
+UNION ALL SELECT trade_date, captured_at, turnover_total, quote_count, NULL, false, 'expired' FROM hours WHERE h % 11 = 4"""
+
+
+@query("stream_gate_rejects", ALL_ARRIVALS)
+def stream_gate_rejects(spark, sf):
+    """Every arrival once: judged, or rejected when it comes more than a day after its capture, here two days later."""
+    rounds = shuffled_rounds(spark, sf)
+    old = F.floor(F.unix_seconds(F.col("captured_at").cast("timestamp")) / 3600) % 11 == 4
+    rounds = rounds.withColumn("arrival", F.when(old, F.unix_seconds(F.col("captured_at").cast("timestamp")) + 2 * 86400).otherwise(F.col("arrival")))
+    out = scratch_path(spark, "gate-rejects")
+    judged = co.gate_with_rejects(st.read_files(spark, st.ROUND_ROW, land_in_order(rounds, "two-days"), FILES_PER_TRIGGER), lateness_minutes=120)
+    run(judged.writeStream.foreachBatch(st.by_batch(out)), "gate-rejects", spark)
+    return spark.read.parquet(out).drop("batch_id")

@@ -133,12 +133,31 @@ def newest_version(path: str, spark: SparkSession, keys: tuple[str, ...], order:
     )
 
 
-def _judge(lateness_us: int):
-    """State function of the gate.
+def judge_one(row, accepted: dict[int, int], newest: int | None, lateness_us: int) -> tuple[tuple, int]:
+    """(verdict, newest capture) of a round; ``accepted`` keeps what a late one may still have to be compared with.
 
-    Keeps the accepted rounds that a late one may still have to be compared
-    with: those inside the lateness, and the last one before it.
+    Those are the accepted rounds inside the lateness, and the last one before it.
     """
+    at = int(row.captured_at.value // 1000)
+    total = int(row.turnover_total)
+    too_late = newest is not None and at < newest - lateness_us
+    # What came before a round that is too late may be forgotten already.
+    earlier = [] if too_late else [t for t in accepted if t < at]
+    before = accepted[max(earlier)] if earlier else None
+    falls = before is not None and before > 0 and total * 10 < before * 9
+    reason = "late" if too_late else "fell" if falls else None
+    if reason is None:
+        accepted[at] = total
+    newest = at if newest is None else max(newest, at)
+    seen = -1 if before is None else before
+    old = sorted(t for t in accepted if t < newest - lateness_us)
+    for t in old[:-1]:
+        del accepted[t]
+    return (row.trade_date, row.captured_at, total, int(row.quote_count), seen, reason is None, reason or ""), newest
+
+
+def _judge(lateness_us: int):
+    """State function of the gate."""
 
     def judge(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # The worker joins empty and full frames when it sends results back.
@@ -152,23 +171,8 @@ def _judge(lateness_us: int):
         rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
         out = []
         for row in rows.itertuples(index=False):
-            at = int(row.captured_at.value // 1000)
-            total = int(row.turnover_total)
-            too_late = newest is not None and at < newest - lateness_us
-            # What came before a round that is too late may be forgotten already.
-            earlier = [] if too_late else [t for t in accepted if t < at]
-            before = accepted[max(earlier)] if earlier else None
-            falls = before is not None and before > 0 and total * 10 < before * 9
-            reason = "late" if too_late else "fell" if falls else None
-            if reason is None:
-                accepted[at] = total
-            newest = at if newest is None else max(newest, at)
-            seen = -1 if before is None else before
-            out.append((row.trade_date, row.captured_at, total, int(row.quote_count), seen, reason is None, reason or ""))
-            horizon = newest - lateness_us
-            old = sorted(t for t in accepted if t < horizon)
-            for t in old[:-1]:
-                del accepted[t]
+            verdict, newest = judge_one(row, accepted, newest, lateness_us)
+            out.append(verdict)
         kept = sorted(accepted)
         state.update((newest, kept, [accepted[t] for t in kept]))
         state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + DAY_MS)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from turnbook.operators import calendar as cal, flags as fl, intraday as it, revenue as rv
+from turnbook.operators import flags as fl, intraday as it, revenue as rv
 from turnbook.plans import base_sql as b
 from turnbook.plans.intraday_queries import ROUND_QUOTES
 from turnbook.plans.market_queries import (
@@ -33,22 +33,23 @@ from turnbook.sources import driver_tables as d, exports, snapshots as sn, table
 QUOTES_PER_LINE = 500
 
 
-def snapshot_lines(spark, sf) -> DataFrame:
-    """JSON lines of all dates; weekends are marked as closed, and broken lines are mixed in."""
-    part = F.floor((F.col("ticker").cast("bigint") - 1000) / QUOTES_PER_LINE).alias("part")
+def whole_lines(spark, sf, per_line: int = QUOTES_PER_LINE) -> DataFrame:
+    """The lines of all dates with their part numbers and checksums; weekends are marked as closed."""
+    part = F.floor((F.col("ticker").cast("bigint") - 1000) / per_line).cast("int").alias("part")
     fields = [c for c in ("market ticker name open_price high_price low_price close_price trading_value "
                           "trading_volume transaction_count").split()]
-    # A line takes at most QUOTES_PER_LINE tickers, one row each.
+    # A line takes at most per_line tickers, one row each, and a date has a line for each part.
     quotes = d.daily_quotes(spark, sf).groupBy("trading_date", part).agg(
         F.collect_list(F.struct(*fields)).alias("quotes")
     )
+    quotes = quotes.withColumn("parts", F.count(F.lit(1)).over(W.partitionBy("trading_date")).cast("int"))
     # Two markets: at most two entries.
     indices = d.market_index(spark, sf).groupBy("trading_date").agg(
         F.collect_list(F.struct("market", "value", F.lit(None).cast("decimal(10,4)").alias("change_percent"))).alias(
             "market_indices"
         )
     )
-    lines = quotes.join(indices, "trading_date", "left").select(
+    return quotes.join(indices, "trading_date", "left").select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         "trading_date",
         (F.weekday("trading_date") < 5).alias("is_trading_day"),
@@ -57,7 +58,15 @@ def snapshot_lines(spark, sf) -> DataFrame:
         F.lit(1).alias("market_index_schema_version"),
         "market_indices",
         F.lit(1).alias("daily_bar_schema_version"),
+        "part",
+        "parts",
+        sn.checksum().alias("checksum"),
     )
+
+
+def snapshot_lines(spark, sf) -> DataFrame:
+    """JSON lines of all dates, with broken lines that belong to no date mixed in."""
+    lines = whole_lines(spark, sf)
     good = lines.select(F.to_json(F.struct(*lines.columns)).alias("value"))
     broken = lines.select(F.concat(F.lit('{"trading_date":"'), F.col("trading_date").cast("string"), F.lit('","quotes":[')).alias("value"))
     return good.union(broken)
@@ -80,6 +89,38 @@ def scan_snapshots(spark, sf):
     return shape(grouped, "trading_date schema_version:l quotes trading_value")
 
 
+FAULTY_LINES = """,
+parted AS (
+  SELECT trading_date, (CAST(ticker AS BIGINT) - 1000) // 25 AS part, count(*) AS quotes, CAST(sum(trading_value) AS BIGINT) AS trading_value
+  FROM quotes WHERE isodow(trading_date) <= 5 GROUP BY 1, 2),
+numbered AS (
+  SELECT *, count(*) OVER own AS parts, part = min(part) OVER own AS is_first, part = max(part) OVER own AS is_last, dayofyear(trading_date) % 10 AS k
+  FROM parted WINDOW own AS (PARTITION BY trading_date)),
+kept AS (SELECT *, k = 7 AND is_first AS altered FROM numbered WHERE NOT (k = 3 AND is_first) AND NOT (k = 5 AND is_last))"""
+
+
+@query("scan_complete_snapshots", "WITH " + b.QUOTES + FAULTY_LINES + """
+SELECT trading_date, count(*) = any_value(parts) AND NOT bool_or(altered) AS complete,
+       CAST(CASE WHEN count(*) = any_value(parts) AND NOT bool_or(altered) THEN sum(quotes) END AS BIGINT) AS quotes,
+       CAST(CASE WHEN count(*) = any_value(parts) AND NOT bool_or(altered) THEN sum(trading_value) END AS BIGINT) AS trading_value
+FROM kept GROUP BY trading_date""")
+def scan_complete_snapshots(spark, sf):
+    """On some days a line is cut off, lost or altered: such a date is listed and none of its rows are read."""
+    own, fault = W.partitionBy("trading_date"), F.dayofyear("trading_date") % 10
+    numbered = whole_lines(spark, sf, 25).withColumns({"_first": F.min("part").over(own) == F.col("part"), "_last": F.max("part").over(own) == F.col("part")})
+    sent = numbered.where(~((fault == 5) & F.col("_last")))
+    altered = F.transform("quotes", lambda q: q.withField("trading_value", q["trading_value"] + 1))
+    sent = sent.withColumn("quotes", F.when((fault == 7) & F.col("_first"), altered).otherwise(F.col("quotes")))
+    text = F.to_json(F.struct(*[c for c in numbered.columns if not c.startswith("_")]))
+    path = scratch_path(spark, "faulty")
+    sent.select(F.when((fault == 3) & F.col("_first"), F.substring(text, F.lit(1), F.length(text) - 40)).otherwise(text).alias("value")).write.text(path)
+    rows = sn.scan(spark, path).select("trading_date", F.inline("quotes"))
+    whole = rows.groupBy("trading_date").agg(F.count(F.lit(1)).alias("quotes"), F.sum("trading_value").alias("trading_value"))
+    nothing = F.lit(None).cast("bigint")
+    broken = sn.incomplete_dates(spark, path).select("trading_date", F.lit(False).alias("complete"), nothing.alias("quotes"), nothing.alias("trading_value"))
+    return whole.withColumn("complete", F.lit(True)).unionByName(broken)
+
+
 @query("flatten_snapshots", "WITH " + b.QUOTES + "," + b.INDEX + """,
 open_days AS (SELECT * FROM quotes WHERE isodow(trading_date) <= 5),
 dim AS (SELECT ticker, arg_max(name, trading_date) AS name, arg_max(market, trading_date) AS market FROM open_days GROUP BY 1)
@@ -198,8 +239,10 @@ def upsert_securities(spark, sf):
         d.ticker_of(F.col("s_suppkey")).alias("ticker"), F.col("s_name").alias("name"), "market"
     )
     seen = d.daily_quotes(spark, sf).select("ticker", "name", "market", "trading_date")
-    merged = tb.upsert(stored.withColumn("trading_date", F.lit(None).cast("date")), seen, ("ticker",), ("trading_date",))
-    return merged.select("ticker", "name", "market")
+    path = scratch_path(spark, "securities")
+    tb.write_bucketed(stored.withColumn("trading_date", F.lit(None).cast("date")), path, ("ticker",))
+    tb.upsert_buckets(path, seen, ("ticker",), ("trading_date",))
+    return spark.read.parquet(path).select("ticker", "name", "market")
 
 
 @query("upsert_monthly_revenue", "WITH " + b.REVENUE + """
@@ -207,7 +250,10 @@ SELECT ticker, month, CASE WHEN month < DATE '2000-01-01' THEN revenue + 1 ELSE
 def upsert_monthly_revenue(spark, sf):
     monthly = d.monthly_revenue(spark, sf)
     stored = monthly.where("month < DATE'2001-01-01'").withColumn("revenue", F.col("revenue") + 1)
-    return tb.upsert(stored, monthly.where("month >= DATE'2000-01-01'"), ("ticker", "month"))
+    path, by_year = scratch_path(spark, "revenue"), F.year("month")
+    tb.write_partitioned(stored.withColumn("year", by_year), path, "year")
+    tb.upsert_into(path, monthly.where("month >= DATE'2000-01-01'").withColumn("year", by_year), ("ticker", "month"), "year")
+    return spark.read.parquet(path).select("ticker", "month", "revenue")
 
 
 @query("upsert_runs", "WITH " + b.INTRADAY + "," + b.LISTING + ROUND_QUOTES + """
@@ -223,7 +269,10 @@ def upsert_runs(spark, sf):
     late = F.col("trade_date") >= F.lit(dt.date(2024, 1, 15))
     stored = quotes.withColumn("turnover", F.when(late, F.col("turnover")).otherwise(F.col("turnover") * 2))
     again = quotes.where(late).join(d.securities(spark, sf).select("ticker"), "ticker", "left_semi")
-    return tb.replace_round(stored, again.select(*quotes.columns), ("trade_date", "captured_at"))
+    path = scratch_path(spark, "runs")
+    tb.write_partitioned(stored, path, "trade_date")
+    tb.replace_rounds_into(path, again.select(*quotes.columns), ("trade_date", "captured_at"), "trade_date")
+    return spark.read.parquet(path).select(*quotes.columns)
 
 
 @query("upsert_curve", "WITH " + b.INTRADAY + """
@@ -231,7 +280,10 @@ SELECT trade_date, captured_at, CASE WHEN trade_date < DATE '2024-01-20' THEN 0
 def upsert_curve(spark, sf):
     rounds = it.round_totals(d.intraday_quotes(spark, sf))
     stored = rounds.where("trade_date < DATE'2024-01-25'").withColumn("turnover_total", F.lit(0).cast("bigint"))
-    return tb.upsert(stored, rounds.where("trade_date >= DATE'2024-01-20'"), ("trade_date", "captured_at"))
+    path = scratch_path(spark, "curve")
+    tb.write_partitioned(stored, path, "trade_date")
+    tb.upsert_into(path, rounds.where("trade_date >= DATE'2024-01-20'"), ("trade_date", "captured_at"), "trade_date")
+    return spark.read.parquet(path).select(*rounds.columns)
 
 
 # --- whole-table replacement -------------------------------------------------
@@ -272,8 +324,12 @@ def replace_flags(spark, sf):
 SELECT ticker, trading_date, trading_value FROM bars
 WHERE trading_date IN (SELECT DISTINCT trading_date FROM bars ORDER BY 1 DESC LIMIT 300)""")
 def retain_last_n_dates(spark, sf):
-    kept = cal.retain_newest_dates(d.daily(spark, sf), tb.RETENTION_DATES)
-    return kept.select("ticker", "trading_date", "trading_value")
+    """Stored by month; the range is published, then the months before it are deleted."""
+    table = tb.RetainedTable(spark, scratch_path(spark, "retained"))
+    table.write(d.daily(spark, sf).select("ticker", "trading_date", "trading_value"))
+    table.publish()
+    table.expire()
+    return table.read().select("ticker", "trading_date", "trading_value")
 
 
 @query("sync_incremental", SIDES + "," + b.LISTING + """,

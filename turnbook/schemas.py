@@ -13,13 +13,14 @@ DAILY_QUOTE = (
 MARKET_INDEX = f"market string, value {INDEX_VALUE}, change_percent {PERCENT}"
 
 # One line of a snapshot file.  A trading date may be spread over several lines;
-# every line repeats the date and the three version counters.
+# every line repeats the date and the three version counters, and says how many lines
+# the date has and what its own content adds up to.
 SNAPSHOT = (
     "schema_version int, trading_date date, is_trading_day boolean, downloaded_at timestamp_ntz, "
     f"quotes array<struct<{DAILY_QUOTE.replace(' ', ':').replace(',:', ',')}>>, "
     "market_index_schema_version int, "
     f"market_indices array<struct<{MARKET_INDEX.replace(' ', ':').replace(',:', ',')}>>, "
-    "daily_bar_schema_version int"
+    "daily_bar_schema_version int, part int, parts int, checksum bigint"
 )
 
 # Versions of the three definitions a stored day is checked against (fixed values).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from turnbook.operators.quotes import latest_dimension
@@ -18,8 +18,15 @@ def snapshot_schema() -> StructType:
     return StructType.fromDDL(SNAPSHOT)
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """All readable snapshots of trading days; files that cannot be parsed are left out."""
+def checksum() -> Column:
+    """What the content of a line adds up to, the same before it is written and after it is read."""
+    # In the types that are read back, so that numbers have their digits there already.
+    typed = [F.col(c).cast(snapshot_schema()[c].dataType).alias(c) for c in ("quotes", "market_indices")]
+    return F.crc32(F.to_json(F.struct(*typed)).cast("binary"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines that can be parsed."""
     schema = snapshot_schema().add(CORRUPT, "string")
     rows = (
         spark.read.schema(schema)
@@ -27,7 +34,34 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
     )
-    return rows.where(F.col(CORRUPT).isNull() & F.col("is_trading_day")).drop(CORRUPT)
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def dates(read: DataFrame) -> DataFrame:
+    """trading_date, complete: whether all lines of a date are there, each once and as it was written.
+
+    Lines without a part number are from before lines had one; they count as they are.
+    """
+    intact = F.col("checksum").isNull() | (F.col("checksum") == checksum())
+    seen = read.groupBy("trading_date").agg(
+        F.count("part").alias("_lines"), F.countDistinct("part").alias("_parts"),
+        F.min("parts").alias("_least"), F.max("parts").alias("_most"), F.bool_and(intact).alias("_intact"),
+    )
+    whole = F.col("_most").isNull() | ((F.col("_least") == F.col("_most")) & (F.col("_parts") == F.col("_most")) & (F.col("_lines") == F.col("_parts")))
+    return seen.select("trading_date", (whole & F.col("_intact")).alias("complete"))
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of complete trading days; a date of which a line is lost, broken or altered is left out as a whole."""
+    read = materialize(lines(spark, path), "lines")
+    complete = dates(read).where("complete").select("trading_date")
+    return read.where("is_trading_day").join(complete, "trading_date", "left_semi")
+
+
+def incomplete_dates(spark: SparkSession, path: str) -> DataFrame:
+    """Trading days that ``scan`` leaves out although some of their lines can be read."""
+    read = materialize(lines(spark, path), "lines")
+    return dates(read.where("is_trading_day")).where("NOT complete").select("trading_date")
 
 
 def quotes(snapshots: DataFrame) -> DataFrame:

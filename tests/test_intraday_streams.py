@@ -233,7 +233,7 @@ def test_a_round_sent_again_replaces_itself_in_the_curve(spark):
 def test_replayed_batch_does_not_duplicate(spark, sf_dir):
     path = scratch_path(spark, "replay")
     sink = st.curve_sink(path)
-    batch = it.judge_rounds(it.round_totals(d.intraday_quotes(spark, sf_dir)))
+    batch = it.judge_rounds(d.round_totals(spark, sf_dir))
     sink(batch, 0)
     sink(batch, 0)
     assert spark.read.parquet(path).count() == batch.where("accepted").count()

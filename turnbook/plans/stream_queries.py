@@ -69,7 +69,7 @@ def run(writer, label: str, spark) -> None:
 
 def landed_rounds(spark, sf) -> str:
     """Files of judged-to-be rounds; the arrival number follows the clock."""
-    totals = it.round_totals(d.intraday_quotes(spark, sf))
+    totals = d.round_totals(spark, sf)
     return land_in_order(totals.withColumn("arrival", F.unix_seconds(F.col("captured_at").cast("timestamp"))), "rounds")
 
 
@@ -176,7 +176,7 @@ SELECT trade_date, captured_at, 'collector' AS source, turnover_total + CASE WHE
 FROM rounds""")
 def stream_dedupe(spark, sf):
     """Every round is sent three times: as it was, the same again, and a day later, some with another total; the last counts."""
-    totals = it.round_totals(d.intraday_quotes(spark, sf)).select(
+    totals = d.round_totals(spark, sf).select(
         *it.ROUND, F.lit("collector").alias("source"), "turnover_total", "quote_count"
     )
     first = totals.withColumn("sent_at", F.col("captured_at"))
@@ -232,7 +232,7 @@ def stream_latest_sink(spark, sf):
 
 def shuffled_rounds(spark, sf) -> DataFrame:
     """Rounds in a disturbed order: by the number of the hour some come one or three hours after their time."""
-    totals = it.round_totals(d.intraday_quotes(spark, sf))
+    totals = d.round_totals(spark, sf)
     seconds = F.unix_seconds(F.col("captured_at").cast("timestamp"))
     hour = F.floor(seconds / 3600)
     delay = F.when(hour % 7 == 2, 3 * 3600 + 2).when(hour % 5 == 1, 3600 + 1).otherwise(0)

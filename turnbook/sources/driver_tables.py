@@ -6,9 +6,10 @@ in whole cents (bigint), so sums do not depend on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from turnbook.functions import measures as m
+from turnbook.operators import intraday as it
 
 PRICE = "decimal(10,2)"
 
@@ -215,6 +216,19 @@ def intraday_quotes(spark: SparkSession, sf_dir: str, since: Column | None = Non
     )
 
 
+def round_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the hourly rounds as a feed reports them: what has been traded since the day began.
+
+    Every thirteenth hour the reading is wrong, half of what it should be.
+    """
+    sums = it.round_totals(intraday_quotes(spark, sf_dir))
+    # At most one row per round of a day.
+    running = F.sum("turnover_total").over(W.partitionBy("trade_date").orderBy("captured_at"))
+    wrong = F.floor(F.unix_seconds(F.col("captured_at").cast("timestamp")) / 3600) % 13 == 5
+    totals = sums.withColumn("_running", running).withColumn("turnover_total", F.when(wrong, F.expr("_running div 2")).otherwise(F.col("_running")))
+    return totals.select("trade_date", "captured_at", "turnover_total", "quote_count")
+
+
 def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of the newest round alone, found before anything is aggregated."""
     newest = table(spark, sf_dir, "events").agg(F.date_trunc("hour", F.max("ts")))

@@ -81,3 +81,20 @@ def test_lanes_against_plain_sums(spark):
                 for at in fingerprints.LANES_AT:
                     lane = sum((e[f"h{fingerprints.EQUAL_HASHES + i}"] % 2**64) >> (j + at) & 1 for e in pieces)
                     assert (packed >> at) % 2**fingerprints.LANE_BITS == lane
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    own = rows_of(["abc abc abc"] * 30, lang="a") + rows_of(["xyz xyz xyz"] * 30, first=30, lang="x")
+    signs = ["½ ² ①", "Ⅷ 12", "_-_", "٣", "", None]
+    docs = spark.createDataFrame(own + rows_of([(1000 + i, t) for i, t in enumerate(signs)] + [(2000, "½ ª")]), SCHEMA)
+    judged = {r.doc_id: (r.lang_pred, r.score) for r in languages.identify(docs).where("doc_id >= 1000").collect()}
+    assert {judged[1000 + i] for i in range(len(signs))} == {("und", 0.0)} and judged[2000][0] != "und"
+
+
+def test_without_labels_nothing_is_dropped_and_wanted_languages_stay(spark):
+    plain = spark.createDataFrame(rows_of(["abc", None, "12"]), SCHEMA)
+    assert languages.drop_unknown(plain).count() == 3 and languages.drop_unknown(plain.limit(0)).count() == 0
+    own = rows_of(["abc abc abc"] * 30, lang="a") + rows_of(["xyz xyz xyz"] * 30, first=30, lang="x")
+    docs = spark.createDataFrame(own, SCHEMA)
+    assert languages.drop_unknown(docs).count() == 60
+    assert {r.lang for r in languages.drop_unknown(docs, frozenset({"x"})).select("lang").distinct().collect()} == {"x"}

@@ -7,14 +7,15 @@ every text is then cut into windows from its first to its last byte and the
 windows' mean probabilities decide.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-without labelled rows every text is ``und``; rows without doc_id are judged but
-never learned from; rows that repeat are judged alike; further columns are
-ignored.
+without labelled rows every text is ``und`` and no document is dropped; rows without
+doc_id are judged but never learned from; rows that repeat are judged alike; of
+equally likely languages the first in alphabetical order is named; texts of any
+length are cut into windows whole; an empty table has no rows in the result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,10 @@ EPOCHS = 12
 BATCH = 64
 UNKNOWN = "und"
 
-A_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode letter category; fractions, circled and Roman number signs are not."""
+    return any(map(str.isalpha, text))
 
 
 def cut(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +180,7 @@ def fit(docs: DataFrame) -> ByteNet | None:
 
 def judge_rows(net: ByteNet | None, part: Slice, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each row of a slice."""
-    known = [net is not None and t is not None and A_LETTER.search(t) is not None for t in texts]
+    known = [net is not None and t is not None and has_letter(t) for t in texts]
     if not any(known):
         return [UNKNOWN] * part.rows, np.zeros(part.rows)
     windows, row = cut(part)
@@ -203,16 +207,23 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run_batches, "doc_id bigint, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
-    """``docs`` without texts of no language, ``und``; a named language keeps a text whatever its score."""
+def drop_unknown(docs: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """``docs`` without texts of no language, ``und``, and of languages that are not ``wanted`` (None: all that were learned).
+
+    A wanted language keeps a text whatever its score.  Without labelled text
+    there is nothing to judge by, and all documents stay.
+    """
     net = fit(docs)
+    if net is None:
+        return docs
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for part in slices(column, 1 << 18):
                 names, _ = judge_rows(net, part, column.slice(part.first, part.rows).to_pylist())
-                yield batch.slice(part.first, part.rows).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+                keep = [n != UNKNOWN and (wanted is None or n in wanted) for n in names]
+                yield batch.slice(part.first, part.rows).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run_batches, docs.schema)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 
 from market_builder import day, panel, stocks, values
 from turnbook.operators import calendar as cal, ranking as r
-from turnbook.operators.ranks import with_position
+from turnbook.operators.ranks import with_position, with_positions
 
 BASIC = values("1101", 100, 200, 300, 500) + values("2330", 400, 400, 500, 300) + values("6488", 50, 50, 100, 100)
 TICKERS = ("1101", "2330", "6488")
@@ -211,10 +211,36 @@ def test_positions_in_ranges_equal_one_ordered_window(spark):
     for within in ((), ("g",)):
         window = W.partitionBy(*within).orderBy(F.col("key").desc_nulls_last(), "ticker")
         one = df.withColumn("n", F.row_number().over(window).cast("bigint"))
-        ranged = with_position(df, "key", "m", within)
-        assert dict(ranged.dtypes)["m"] == "bigint"
-        assert one.join(ranged.select("ticker", *within, "m"), ["ticker", *within]).where("n <> m").count() == 0
-        assert ranged.count() == 30_000
+        for rows in (700, 30_000):
+            ranged = with_position(df, "key", "m", within, range_rows=rows)
+            assert dict(ranged.dtypes)["m"] == "bigint"
+            assert one.join(ranged.select("ticker", *within, "m"), ["ticker", *within]).where("n <> m").count() == 0
+            assert ranged.count() == 30_000
+
+
+def test_positions_by_two_keys_in_one_pass(spark):
+    """Groups of very unequal size, a group without a name, keys that are null or not a number."""
+    df = spark.range(6_000).select(
+        F.format_string("%05d", F.col("id")).alias("ticker"),
+        F.when(F.col("id") < 5_000, "big").when(F.col("id") % 2 == 0, "small").alias("g"),
+        F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).when(F.col("id") % 11 > 0, F.pmod(F.hash("id"), F.lit(50)) * 1.0).alias("x"),
+        F.when(F.col("id") % 3 > 0, F.hash(F.col("id") + 1)).alias("y"),
+    )
+    keys = {"by_x": "x", "by_y": "y", "again": "x", "by_name": "ticker"}
+    for within in ((), ("g",)):
+        placed = with_positions(df, keys, within, range_rows=250)
+        assert placed.columns == [*df.columns, *keys]
+        for name, key in keys.items():
+            window = W.partitionBy(*within).orderBy(F.col(key).desc_nulls_last(), "ticker")
+            wrong = placed.withColumn("n", F.row_number().over(window)).where(F.col("n") != F.col(name))
+            assert wrong.count() == 0
+        assert placed.count() == 6_000
+
+
+def test_positions_of_nothing(spark):
+    empty = spark.createDataFrame([], "ticker string, g string, key double")
+    assert with_position(empty, "key", "n").collect() == []
+    assert with_position(empty, "key", "n", ("g",)).collect() == []
 
 
 def test_positions_compare_keys_in_their_own_type(spark):
@@ -224,6 +250,6 @@ def test_positions_compare_keys_in_their_own_type(spark):
         (F.lit(2**53) + F.floor(F.col("id") / 3).cast("bigint")).alias("key"),
     )
     for descending in (True, False):
-        rows = with_position(df, "key", "n", descending=descending).collect()
+        rows = with_position(df, "key", "n", descending=descending, range_rows=900).collect()
         expected = sorted(rows, key=lambda r: (-r.key if descending else r.key, r.ticker))
         assert [r.n for r in expected] == list(range(1, 20_001))

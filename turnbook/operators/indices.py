@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnbook.functions import measures as m
+from turnbook.operators.asof import asof_join
 from turnbook.schemas import MARKETS
 
 
@@ -34,6 +35,30 @@ def year_to_date(index: DataFrame, end: dt.date, live: DataFrame | None = None)
     return values.withColumn("ytd_change_percent", ytd_percent(F.col("ending"), F.col("baseline")))
 
 
+def year_to_date_of(index: DataFrame, dates: DataFrame) -> DataFrame:
+    """Year-to-date change of every market on each of the given dates, traded or not.
+
+    Baseline and ending are looked up in one pass: the newest positive value before
+    the year of the date, and up to the date.
+    """
+    markets = F.explode(F.array(*[F.lit(x) for x in MARKETS])).alias("market")
+    asked = dates.select(F.col("trading_date").alias("base_date"), markets)
+    wanted = F.explode(
+        F.array(
+            F.struct(F.lit("ending").alias("what"), F.col("base_date").alias("trading_date")),
+            F.struct(F.lit("baseline").alias("what"), F.date_sub(F.trunc("base_date", "year"), 1).alias("trading_date")),
+        )
+    )
+    requests = asked.select("base_date", "market", wanted.alias("_w")).select("base_date", "market", "_w.*")
+    found = asof_join(
+        requests, index, ("market",), "trading_date", ("value",), span=F.year("trading_date"), usable=F.col("value") > 0
+    )
+    pairs = found.groupBy("base_date", "market").agg(
+        *[F.max(F.when(F.col("what") == what, F.col("value"))).alias(what) for what in ("baseline", "ending")]
+    )
+    return pairs.withColumn("ytd_change_percent", ytd_percent(F.col("ending"), F.col("baseline")))
+
+
 def with_year_to_date(index: DataFrame) -> DataFrame:
     """Every row with its change since the last value of an earlier year.
 

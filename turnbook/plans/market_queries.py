@@ -502,6 +502,24 @@ def asof_index(spark, sf):
     return shape(ix.year_to_date(d.market_index(spark, sf), END), "market baseline:d ending:d")
 
 
+@query("asof_index_dates", "WITH " + b.INDEX + """,
+asked AS (SELECT base_date, market, CAST(date_trunc('year', base_date) AS DATE) AS year_start
+          FROM (SELECT DISTINCT trading_date + 1 AS base_date FROM idx), (SELECT unnest(['TWSE', 'TPEX']) AS market)),
+positive AS (SELECT * FROM idx WHERE value_c > 0),
+ended AS (SELECT a.*, p.value_c AS end_c FROM asked a ASOF LEFT JOIN positive p ON a.market = p.market AND a.base_date >= p.trading_date)
+SELECT base_date, e.market, p.value_c / 100.0::DOUBLE AS baseline, end_c / 100.0::DOUBLE AS ending,
+       CASE WHEN p.value_c > 0 AND end_c > 0
+            THEN CAST(round(CAST((end_c - p.value_c) * 100 AS DECIMAL(30, 0)) * 100 / p.value_c, 0) AS DOUBLE) / 100 END AS ytd_change_percent
+FROM ended e ASOF LEFT JOIN positive p ON e.market = p.market AND e.year_start > p.trading_date""")
+def asof_index_dates(spark, sf):
+    """The day after every trading date, so that some requests fall on days without trading."""
+    index = d.market_index(spark, sf)
+    dates = index.select(F.date_add("trading_date", 1).alias("trading_date")).distinct()
+    return shape(
+        ix.year_to_date_of(index, dates), "base_date market baseline:d ending:d ytd_change_percent:d"
+    )
+
+
 HALF_EVEN_PERCENT = """CASE WHEN prior_c > 0 THEN round_even((value_c - prior_c)::DOUBLE / prior_c * 100, 2) END"""
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from market_builder import DAILY, day
 from turnbook.operators import indices as ix, kline as kl, quotes as qt, revenue as rv
@@ -141,20 +142,34 @@ def test_streaks_against_a_loop(spark):
     for t in range(6):
         for i in range(60):
             if rng.random() < 0.9:
-                data[(f"T{t}", 24000 + i)] = rng.randint(1, 9)
+                data[(f"T{t}", 24000 + i)] = rng.randint(1, 9) if rng.random() < 0.95 else None
     rows = spark.createDataFrame(
         [(t, dt.date((m - 1) // 12, (m - 1) % 12 + 1, 1), v) for (t, m), v in data.items()],
         "ticker string, month date, revenue bigint",
     )
-    for x in rv.with_high_streak(rows).collect():
+    found = rv.with_high_streak(rows.withColumn("_m2", F.lit("extra"))).drop("_m2").collect()
+    assert len(found) == len(data)
+    for x in found:
         m = x.month.year * 12 + x.month.month
         count, cursor = 1, m - 1
-        while (x.ticker, cursor) in data and data[(x.ticker, cursor)] < x.revenue:
+        # A month without revenue neither stops a count nor is stopped.
+        while (x.ticker, cursor) in data and not (
+            x.revenue is not None and data[(x.ticker, cursor)] is not None and data[(x.ticker, cursor)] >= x.revenue
+        ):
             count, cursor = count + 1, cursor - 1
         record = (x.ticker, cursor) not in data
         assert (x.high_months, x.record_high) == ((count, record) if count >= 2 else (None, False))
 
 
+def test_streak_of_thirty_years_in_one_island(spark):
+    """Every month a new high: the longest stack there can be is one month, the longest list the history."""
+    pairs = [(f"{1990 + i // 12}-{i % 12 + 1:02d}", 100 + i) for i in range(360)]
+    rows = rv.with_high_streak(months(spark, *pairs)).orderBy("month").collect()
+    assert [x.high_months for x in rows] == [None, *range(2, 361)]
+    falling = rv.with_high_streak(months(spark, *[(p, -v) for p, v in pairs])).collect()
+    assert {(x.high_months, x.record_high) for x in falling} == {(None, False)}
+
+
 def test_history_keeps_twenty_months(spark):
     pairs = [(f"{2023 + i // 12}-{i % 12 + 1:02d}", 100 + i) for i in range(33)]
     rows = rv.history(months(spark, *pairs)).orderBy("month").collect()

@@ -45,21 +45,40 @@ def with_high_streak(monthly: DataFrame) -> DataFrame:
     """``high_months`` and ``record_high`` for every month.
 
     Counts back until a month with at least the same revenue.  A missing month
-    or the end of the history stops the count and marks it "at least".
+    or the end of the history stops the count and marks it "at least".  Months
+    without a gap are folded in order over a stack of those that can still stop
+    a later one; a month without revenue is stopped by none and stops none.
     """
     indexed = monthly.withColumn("_m", m.month_index(F.col("month")))
     by_month = W.partitionBy("ticker").orderBy("_m")
-    islands = indexed.withColumn("_island", F.col("_m") - F.row_number().over(by_month))
-    # An island has one row per calendar month, so the list stays short.
-    earlier = W.partitionBy("ticker", "_island").orderBy("_m").rowsBetween(W.unboundedPreceding, -1)
-    listed = islands.withColumn("_past", F.collect_list(F.struct("_m", "revenue")).over(earlier)).withColumn(
-        "_first", F.min("_m").over(W.partitionBy("ticker", "_island"))
+    # An island has one row per calendar month, so its list is bounded by the calendar.
+    islands = (
+        indexed.withColumn("_island", F.col("_m") - F.row_number().over(by_month))
+        .groupBy("ticker", "_island")
+        .agg(F.array_sort(F.collect_list(F.struct("_m", F.struct(*monthly.columns).alias("_row")))).alias("_rows"))
     )
-    blocking = F.array_max(
-        F.transform(F.filter("_past", lambda p: p["revenue"] >= F.col("revenue")), lambda p: p["_m"])
-    )
-    counted = listed.withColumn("_block", blocking).withColumn(
-        "_months", F.col("_m") - F.coalesce(F.col("_block"), F.col("_first") - 1)
+    months = F.transform("_rows", lambda x: F.struct(x["_m"].alias("m"), x["_row"]["revenue"].alias("revenue")))
+    nothing = F.filter(months, lambda _: F.lit(False))
+    start = F.struct(nothing.alias("stack"), F.transform(nothing, lambda x: x["m"]).alias("blocks"))
+
+    def step(state: Column, row: Column) -> Column:
+        higher = F.filter(state["stack"], lambda s: s["revenue"] >= row["revenue"])
+        known = row["revenue"].isNotNull()
+        return F.struct(
+            F.when(known, F.concat(higher, F.array(row))).otherwise(state["stack"]).alias("stack"),
+            # What is left on the stack is in order of months.
+            F.concat(state["blocks"], F.array(F.when(known, F.try_element_at(higher, F.lit(-1))["m"]))).alias("blocks"),
+        )
+
+    first = F.col("_rows")[0]["_m"]
+    counted = (
+        islands.withColumn("_blocks", F.aggregate(months, start, step, lambda s: s["blocks"]))
+        .select(first.alias("_first"), F.inline(F.arrays_zip("_rows", "_blocks")))
+        .select(
+            "_rows._row.*",
+            F.col("_blocks").alias("_block"),
+            (F.col("_rows._m") - F.coalesce("_blocks", F.col("_first") - 1)).alias("_months"),
+        )
     )
     high = F.col("_months") >= 2
     return (

@@ -161,7 +161,26 @@ def test_revenue_pages_are_read_as_bytes(spark, tmp_path):
     (tmp_path / "a.html").write_bytes((other + row.format("4321", "1,234") + row.format("<a href=x>5678</a>", "60") + row.format("0123", "9")).encode("big5"))
     (tmp_path / "b.html").write_bytes(row.format("4321", "5").encode("big5"))
     read = pages.read_pages(spark, str(tmp_path))
-    dated = read.select(F.lit(dt.date(2026, 7, 1)).alias("month"), F.endswith(F.col("path"), F.lit("b.html")).cast("int").alias("file_order"), "html")
+    dated = read.select(F.lit(dt.date(2026, 7, 1)).alias("month"), "file_order", "html")
     assert {tuple(x)[::2] for x in pages.revenue_of_pages(dated).collect()} == {("4321", 5000), ("5678", 60_000)}
-    first = pages.revenue_of_pages(dated.where("file_order = 0"), r"^[0-9]+\z").collect()
+    first = pages.revenue_of_pages(dated.where("endswith(file_order, 'a.html')"), r"^[0-9]+\z").collect()
     assert {x.ticker: x.revenue for x in first} == {"4321": 1_234_000, "5678": 60_000, "0123": 9000}
+
+
+def test_revenue_pages_are_files_in_their_order(spark, tmp_path):
+    row = "<tr><td>{}</td><td>x</td><td>{}</td></tr>"
+    day, other = dt.date(2026, 7, 1), dt.date(2026, 8, 1)
+    rows = [
+        (day, "p1", row.format("4321", "7") + row.format("5678", "8")),
+        (day, "p0", row.format("4321", "1") + row.format("8765", "2")),
+        (day, "p0", row.format("1111", "3")),
+        (other, "p0", row.format("4321", "4")),
+        (other, "p1", "no table at all"),
+    ]
+    pages.write_pages(spark.createDataFrame(rows, "month date, page string, html string"), str(tmp_path / "pages"))
+    read = pages.read_pages(spark, str(tmp_path / "pages"))
+    assert read.count() == len(rows)
+    found = {(x.ticker, x.month): x.revenue for x in pages.revenue_of_pages(read).collect()}
+    assert found == {
+        ("4321", day): 7000, ("5678", day): 8000, ("8765", day): 2000, ("1111", day): 3000, ("4321", other): 4000,
+    }

@@ -8,6 +8,7 @@ from turnbook.plans import base_sql as b, landed
 from turnbook.plans.market_queries import QUOTE_SPEC
 from turnbook.plans.registry import query, shape
 from turnbook.operators import quotes as qt
+from turnbook.session import scratch_path
 from turnbook.sources import driver_tables as d, reports as rp, revenue_pages as pages
 
 QUOTES_OF = "WITH " + b.QUOTES + """
@@ -114,6 +115,7 @@ def ingest_altered(spark, sf):
 @query("ingest_revenue_json", "WITH " + b.REVENUE + """
 SELECT ticker, month, revenue // 1000 * 1000 AS revenue FROM monthly""")
 def ingest_revenue_json(spark, sf):
+    """Documents of a month and up to ROWS_PER_DOCUMENT companies, landed and read back."""
     monthly = d.monthly_revenue(spark, sf)
     month = F.format_string("%03d%02d", landed.roc_year(F.col("month")), F.month("month"))
     good = F.struct(
@@ -124,9 +126,14 @@ def ingest_revenue_json(spark, sf):
     bad = F.struct(
         F.col("ticker").alias(rp.REVENUE_TICKER), F.lit("1x").alias(rp.REVENUE_MONTH), F.lit("--").alias(rp.REVENUE_AMOUNT)
     )
-    bodies = monthly.select(F.to_json(F.array(good, bad)).alias("body"))
+    part = F.floor((F.col("ticker").cast("bigint") - 1000) / landed.ROWS_PER_DOCUMENT)
+    # A ticker has one row per month, so a document has at most twice ROWS_PER_DOCUMENT entries.
+    bodies = monthly.groupBy("month", part.alias("part")).agg(
+        F.to_json(F.flatten(F.collect_list(F.array(good, bad)))).alias("body")
+    )
     layout = f"array<struct<`{rp.REVENUE_TICKER}`:string,`{rp.REVENUE_MONTH}`:string,`{rp.REVENUE_AMOUNT}`:string>>"
-    return rp.revenue_rows(bodies.select(F.inline(F.from_json("body", layout))), d.KEY_CODES)
+    documents = landed.read_back(bodies.select("body"), "revenue")
+    return rp.revenue_rows(documents.select(F.inline(F.from_json("body", layout))), d.KEY_CODES)
 
 
 def amount_in_thousands(revenue):
@@ -136,25 +143,28 @@ def amount_in_thousands(revenue):
 PAGE_ROW = (
     "<tr align=right><td align=center>%s</td> <td align=left>¤¤</td><td nowrap> %s </td><td nowrap>1</td></tr>"
 )
+SUM_ROW = "<TR ALIGN=RIGHT><td align=center>0050</td><td align=left>x</td><td nowrap>1</td></TR>"
 
 
 def revenue_html(monthly):
-    """Two files per ticker and month: a first one with another amount, then the valid one."""
-    def page(order, revenue):
-        body = F.concat(
-            F.lit("<table>"),
-            F.format_string(PAGE_ROW, F.col("ticker"), amount_in_thousands(revenue)),
-            F.lit("<TR ALIGN=RIGHT><td align=center>0050</td><td align=left>x</td><td nowrap>1</td></TR></table>"),
-        )
-        return monthly.select("month", F.lit(order).alias("file_order"), body.alias("html"))
+    """Pages of up to ROWS_PER_DOCUMENT companies; first ones with another amount, then the valid ones."""
+    def listed(page, revenue):
+        cells = F.format_string(PAGE_ROW, F.col("ticker"), amount_in_thousands(revenue))
+        part = F.floor((F.col("ticker").cast("bigint") - 1000) / landed.ROWS_PER_DOCUMENT)
+        # A ticker has one row per month, so a page has at most ROWS_PER_DOCUMENT rows.
+        rows = monthly.groupBy("month", part.alias("part")).agg(F.array_join(F.collect_list(cells), "").alias("rows"))
+        return rows.select("month", F.lit(page).alias("page"), F.concat(F.lit("<table>"), "rows", F.lit(SUM_ROW + "</table>")).alias("html"))
 
-    return page(0, F.col("revenue") * 2).unionByName(page(3, F.col("revenue")))
+    return listed("p0", F.col("revenue") * 2).unionByName(listed("p3", F.col("revenue")))
 
 
 @query("ingest_revenue_html", "WITH " + b.REVENUE + """
 SELECT ticker, month, revenue // 1000 * 1000 AS revenue FROM monthly""")
 def ingest_revenue_html(spark, sf):
-    return pages.revenue_of_pages(landed.read_back(revenue_html(d.monthly_revenue(spark, sf)), "revenue"), d.KEY_CODES)
+    """Page files by month, read as bytes; a later file wins."""
+    path = scratch_path(spark, "revenue")
+    pages.write_pages(revenue_html(d.monthly_revenue(spark, sf)), path)
+    return pages.revenue_of_pages(pages.read_pages(spark, path), d.KEY_CODES)
 
 
 @query("dedupe_last_wins", "WITH " + b.QUOTES + """
@@ -193,7 +203,6 @@ SELECT market, ticker, name, trading_date, open_price, high_price, low_price, cl
 FROM quotes LEFT JOIN x USING (trading_date, ticker)""")
 def regular_quotes(spark, sf):
     """Both daily reports, all seven deduction reports, regular trading left; stored by date and read back."""
-    from turnbook.session import scratch_path
     from turnbook.sources import snapshots
 
     quotes = d.daily_quotes(spark, sf)

@@ -11,8 +11,28 @@ TICKER_CELL, AMOUNT_CELL = 0, 2
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Files as one character per byte: all that is read of them, tags and digits, is plain ASCII."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "ISO-8859-1").alias("html"))
+    """Files as one character per byte: all that is read of them, tags and digits, is plain ASCII.
+
+    Folders like ``month=2026-07-01`` become columns; ``file_order`` is the path of
+    a file, so that pages follow each other by the names of their files.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    folders = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    return files.select(
+        "path",
+        *folders,
+        F.col("_metadata.file_path").alias("file_order"),
+        F.decode("content", "ISO-8859-1").alias("html"),
+    )
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """``pages``: month, page, html.  Every page is a file of its own, below the folders of its month and page.
+
+    ``page`` is text that sorts in the order in which the files are to be read.
+    """
+    lone = pages.select("month", "page", "html")
+    lone.write.partitionBy("month", "page").option("maxRecordsPerFile", 1).text(path)
 
 
 def table_rows(html: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from fixtures import AWKWARD, SPACE, invented, lowered, table, words
 from turnbook.llm import exact, near, repeats
+from turnbook.llm.text import slices, words_of
 
 
 def shingles(text):
@@ -52,6 +54,30 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def thue_morse(n, zero="a", one="b"):
+    return "".join((zero, one)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_word_hashes_tell_patterned_words_apart():
+    """Polynomials modulo 2**64 are equal for these words whatever their base."""
+    for n in (1, 31, 32, 33, 64, 1024, 4096, 100_000):
+        pair = [thue_morse(n), thue_morse(n, "b", "a")]
+        column = pa.array([f"{pair[0]} {pair[1]} {pair[0]}", f"some words before {pair[1]}"])
+        for lower in (False, True):
+            first, second, again, *_, elsewhere = words_of(next(slices(column, 1 << 30)), lower).hashes()
+            assert first == again and first != second == elsewhere
+
+
+def test_patterned_words_make_no_duplicates(spark):
+    one, other = thue_morse(2048), thue_morse(2048, "b", "a")
+    texts = [f"x {one} y", f"x {other} y", f"x {one.upper()} y"]
+    out = {r.doc_id: r.component_id for r in near.near_duplicates(table(spark, texts)).collect()}
+    assert out == {0: 0, 1: 1, 2: 0}
+    passages = [" ".join(f"w{i}" for i in range(10)) + f" {x} " + " ".join(f"v{i}" for i in range(9)) for x in (one, other, one)]
+    out = repeats.remove_repeats(table(spark, passages)).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {0: 0, 1: 0, 2: 20}
+
+
 def test_near_duplicates_link_long_chains(spark):
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join(base[i:] + [f"v{j}" for j in range(i)]) for i in range(0, 60, 4)]

@@ -4,6 +4,8 @@ Words are found and hashed for a whole slice of rows at once: a running sum of
 ``table[byte] * P**position`` gives the hash of any stretch of bytes by one
 subtraction, and the same trick over word hashes gives the hash of any window
 of words.  All sums are modulo 2**64, so nothing here depends on row order.
+Such sums alone are equal for some patterned texts of a thousand bytes, so a
+longer stretch is hashed block by block and the scrambled hashes are added up.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ GAP = r"[\x20\x09-\x0D]"
 #: Text bytes that are held and expanded in numpy at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Bytes that one running sum stands for in the hash of a stretch.
+BLOCK = 32
+
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[list(SPACE)] = False
 LETTER = np.zeros(256, dtype=bool)
@@ -112,9 +117,22 @@ class Words:
 
     def stretch(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each range, its length included."""
+        lengths = ends - starts
         with np.errstate(over="ignore"):
-            h = (self.sums[ends] - self.sums[starts]) * BYTE_POWERS.down[starts]
-            return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+            h = self._block(starts, np.minimum(ends, starts + BLOCK))
+            long = np.flatnonzero(lengths > BLOCK)
+            if len(long):
+                blocks = -(-lengths[long] // BLOCK)
+                firsts = np.cumsum(blocks) - blocks
+                place = np.arange(blocks.sum()) - np.repeat(firsts, blocks)
+                begin = np.repeat(starts[long], blocks) + place * BLOCK
+                end = np.minimum(begin + BLOCK, np.repeat(ends[long], blocks))
+                numbered = (place + 1).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+                h[long] = np.add.reduceat(mix(self._block(begin, end) + numbered), firsts)
+            return mix(h + lengths.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+
+    def _block(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * BYTE_POWERS.down[starts]
 
     def hashes(self) -> np.ndarray:
         return self.stretch(self.starts, self.ends)

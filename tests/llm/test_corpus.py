@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fixtures import AWKWARD, SCHEMA, invented, rows_of, table, third, words
@@ -116,6 +117,21 @@ def test_languages_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_sample_is_the_first_by_hash(spark, monkeypatch):
+    """The same documents whatever the number of groups they are chosen from."""
+    monkeypatch.setattr(languages, "SAMPLE_DOCS", 20)
+    docs = documents(spark, "/root/testdata/sf0.001").withColumn("text", F.col("doc_id").cast("string"))
+    hashed = docs.where("lang is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    expected = set()
+    for lang in {r.lang for r in hashed}:
+        own = sorted((r.h, r.doc_id) for r in hashed if r.lang == lang and third(r.doc_id) != 1)
+        expected |= {(lang, str(i)) for _, i in own[:20]}
+    for groups in (1, 7, 256):
+        monkeypatch.setattr(languages, "SAMPLE_GROUPS", groups)
+        found = [tuple(r) for r in languages.training_sample(docs).collect()]
+        assert len(found) == len(expected) and set(found) == expected
+
+
 def test_languages_of_odd_tables(spark):
     assert languages.identify(table(spark, [])).count() == 0
     unlabelled = languages.identify(table(spark, ["some text", None])).collect()

@@ -32,6 +32,8 @@ EMBEDDING = 8
 FILTERS = 16
 #: Bounds of the training sample: documents per language, windows per document.
 SAMPLE_DOCS = 300
+#: Groups that a language's documents are first chosen from; the choice does not depend on their number.
+SAMPLE_GROUPS = 256
 SAMPLE_WINDOWS = 8
 EPOCHS = 12
 BATCH = 64
@@ -143,8 +145,12 @@ class ByteNet:
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text) of at most SAMPLE_DOCS labelled documents per language, chosen by a hash of their id."""
     named = docs.where("lang is not null and doc_id is not null").where(crc_third(F.col("doc_id")) != 1)
-    w = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.select("lang", "doc_id").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_DOCS)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    # A language may hold any share of the rows: the first of each of its groups, then of those the first.
+    split = named.select("lang", "doc_id", F.pmod(F.hash("doc_id"), F.lit(SAMPLE_GROUPS)).alias("_g"))
+    grouped = split.withColumn("_n", F.row_number().over(W.partitionBy("lang", "_g").orderBy(*order)))
+    few = grouped.where(F.col("_n") <= SAMPLE_DOCS)
+    picked = few.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= SAMPLE_DOCS)
     # Written, so that its size decides how it is joined, whatever the number of languages.
     picked = materialize(picked.select("doc_id").distinct(), "sampled")
     return named.join(picked, "doc_id").select("lang", "text")

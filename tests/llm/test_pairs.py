@@ -180,7 +180,7 @@ def brute_repeats(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("window", [20, 6, 150])
+@pytest.mark.parametrize("window", [20, 6, 150, 40, 80])
 def test_repeats_match_brute_force(spark, window):
     texts = [(500 - 7 * i, t) for i, t in enumerate(AWKWARD + invented(2, n=66, longest=200))]
     for parts in (1, 7):
@@ -188,6 +188,24 @@ def test_repeats_match_brute_force(spark, window):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in out} == brute_repeats(texts, window)
 
 
+@pytest.mark.parametrize("block", [1, 3, 2048])
+def test_only_repeated_windows_are_extended(spark, block, monkeypatch):
+    rng = random.Random(3)
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, passage = fresh(14), fresh(25)
+    texts = [fresh(20) + phrase + fresh(20) for _ in range(12)] + [fresh(4) + passage + fresh(i) for i in range(4)] + [fresh(70)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(repeats, "BLOCK_ROWS", block)
+    docs = table(spark, rows).coalesce(1).select("doc_id", "text")
+    places = repeats._first_level(docs, 10)
+    # A common phrase survives the first level, what surrounds it does not; nor does a text of its own.
+    assert {r.doc_id for r in places.select("doc_id").distinct().collect()} <= set(range(16))
+    assert places.agg({"n": "sum"}).first()[0] < sum(max(0, len(t) - 19) for t in texts) * 2 // 3
+    found = {(r.doc_id, r.at) for r in repeats.repeated_windows(docs).collect()}
+    assert found == {(12 + i, 4 + j) for i in range(1, 4) for j in range(6)}
+    assert repeats.repeated_windows(docs.where("doc_id > 15")).count() == 0
+
+
 def test_repeats_over_many_small_batches(spark):
     texts = invented(4, n=80, longest=120)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")

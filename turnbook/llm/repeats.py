@@ -1,26 +1,29 @@
 """Removal of passages that also start earlier, by level-wise doubling of repeated windows.
 
-Level one takes windows of half the length asked for (ten words for twenty).
-Every full window holds eleven of them; the one of smallest hash (the last
-such) is its anchor, so equal full windows have equal anchors at equal places
-and only every sixth position has to travel.  A row carries an anchor and the
-hashes of the full windows it stands for.  Rows meet by anchor: an anchor that
-occurs once is dropped, and what repeats is extended to the full length, twice
-the first.  There a window is a repeat if an equal one came before in the order
-of (doc_id, start).  Repeats of still longer windows cover no further word, so
-removal needs no further level; ``longest_repeats`` goes on doubling until no
-candidate survives and tells how far each document's repeats reach.
-
-Before the shuffle each block of 2,048 documents settles its own equal rows, so
-a passage of a third of all documents travels once per block, not once per
-document.
-Windows that meet agree in 64 bits of their anchor, in its place and in 48 bits
-of their own hash.
-
-Defined cases: null texts have no words; rows without doc_id are neither
-judged nor earlier than others; rows that share a doc_id are versions of one
-document, none earlier than another at the same start, and a window found
-repeated in one is removed from each; further columns are ignored.
+A level looks at windows of one length.  Those that occur at one place only are
+dropped; what repeats, and nothing else, is extended to twice the length, until
+no candidate survives or the length asked for is reached (longer windows cover
+no further word).  ``longest_repeats`` goes on until no candidate survives.
+
+* Level one (ten words for twenty) is winnowed: of the eleven ten-word windows
+  in a window of twenty words only the one of smallest hash (the last such)
+  counts, its anchor.  Equal windows have equal anchors, so none is lost, and
+  about one position in six travels.
+* A later level hashes, at the places that survived, windows of twice the length.
+* At the last level a window is a repeat if an equal one came before in the
+  order of (doc_id, start).
+
+Before a level's shuffle each block of 2,048 documents settles its own equal
+windows: of those only the first travels under its hash, so a window that a
+third of all documents share, whatever surrounds it, is one row per block.
+Windows that meet at the last level agree in 96 bits of hash.
+
+Defined cases: null and empty texts have no words; texts of any length are read
+whole, a megabyte of words at a time; an empty table gives an empty one; rows
+without doc_id are neither judged nor earlier than others; rows that share a
+doc_id are versions of one document, none earlier than another at the same
+start, and a window found repeated in one is removed from each; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,20 +33,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnbook.llm.stored import materialize
 from turnbook.llm.text import Windows, Words, binaries, mix, signed, slices, words_of
 
 WINDOW = 20
-#: Bytes of a full window's hash that travel beside the anchor's 64 bits.
-HASH_BYTES = 6
-#: Documents whose rows are compared before they travel.
+#: Levels start at the length asked for, halved while it is even and longer than this.
+FIRST = 10
+#: Documents whose windows are compared before they travel.
 BLOCK_ROWS = 2048
-#: Windows that one row stands for at most, as many bits of a long.
-ROW_WINDOWS = 60
 
-ROWS = "anchor bigint, doc_id bigint, at int, place int, windows binary, bits bigint"
+# What a block of documents knows of a window.
+ALONE, FIRST_OF_COPIES, LATER_COPY = 0, 1, 2
+
+ANCHORS = "h bigint, doc_id bigint, at int, n int, fate tinyint"
+WINDOWS = "h bigint, g int, doc_id bigint, at int, n int, fate tinyint"
 
 
 def anchors_of(words: Words, run: Windows, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,138 +70,141 @@ def anchors_of(words: Words, run: Windows, window: int) -> tuple[np.ndarray, np.
     return starts, best[starts]
 
 
-def _later_copies(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """True where an equal key has a smaller (doc, at)."""
-    order = np.lexsort((at, doc, key))
-    k, d, a = key[order], doc[order], at[order]
-    head = np.ones(len(k), dtype=bool)
-    head[1:] = k[1:] != k[:-1]
-    first = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = np.empty(len(k), dtype=bool)
-    later[order] = (d != d[first]) | (a != a[first])
-    return later
+def _settle(hashes: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What a block knows of each of its windows: alone in it, first of equal ones, or after an equal one."""
+    fate = np.zeros(len(doc), dtype=np.int8)
+    order = np.argsort(hashes[0], kind="stable")
+    near = hashes[0][order][1:] == hashes[0][order][:-1]
+    some = np.zeros(len(doc), dtype=bool)
+    some[1:], some[:-1] = near, some[:-1] | near
+    rows = order[some]
+    if not len(rows):
+        return fate
+    rows = rows[np.lexsort((at[rows], doc[rows], *[h[rows] for h in reversed(hashes)]))]
+    head = np.ones(len(rows), dtype=bool)
+    head[1:] = np.any([h[rows][1:] != h[rows][:-1] for h in hashes], axis=0)
+    group = np.cumsum(head) - 1
+    first = rows[np.flatnonzero(head)[group]]
+    shared = np.bincount(group)[group] > 1
+    later = (doc[rows] != doc[first]) | (at[rows] != at[first])
+    fate[rows] = np.where(later, LATER_COPY, np.where(shared, FIRST_OF_COPIES, ALONE))
+    return fate
+
+
+def _spread(key: np.ndarray, doc: np.ndarray, at: np.ndarray, fate: np.ndarray) -> np.ndarray:
+    """The key a window travels under: its hash, or one of its own when its block has settled it."""
+    with np.errstate(over="ignore"):
+        own = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
+    return np.where(fate == LATER_COPY, own, key)
+
+
+def _blocks(of_block):
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (batch.slice(k, BLOCK_ROWS) for batch in batches for k in range(0, batch.num_rows, BLOCK_ROWS))
+        return (out for out in map(of_block, parts) if out is not None)
 
+    return run_batches
 
-def _anchor_rows(window: int):
-    half = window // 2
+
+def _anchor_rows(half: int):
+    """Anchors of the windows of ``2 * half`` words; ``n`` windows from ``at`` on share one."""
 
     def of_block(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = np.asarray(batch.column("doc_id"))
-        parts = []
+        ids, parts = np.asarray(batch.column("doc_id")), []
         for part in slices(batch.column("text")):
             words = words_of(part)
             run = Windows(words.hashes())
-            starts, anchor = anchors_of(words, run, window)
+            starts, anchor = anchors_of(words, run, 2 * half)
             if not len(starts):
                 continue
-            full = run.at(starts, window)
             cut = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
-            if window - half + 1 > ROW_WINDOWS:
-                lengths = np.diff(np.append(cut, len(starts)))
-                cut = np.concatenate([np.arange(c, c + n, ROW_WINDOWS) for c, n in zip(cut, lengths)])
             row = words.row[starts[cut]]
-            at = starts[cut] - words.firsts()[row]
-            place = anchor[cut] - starts[cut]
-            key = run.at(anchor[cut], half)
-            with np.errstate(over="ignore"):
-                content = np.add.reduceat(mix(full + (anchor - starts).astype(np.uint64)), cut)
-            parts.append((key, ids[part.first + row], at, place, np.diff(np.append(cut, len(starts))), mix(key ^ mix(content)), full.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]))
+            parts.append((run.at(anchor[cut], half), ids[part.first + row], starts[cut] - words.firsts()[row], np.diff(np.append(cut, len(starts)))))
         if not parts:
             return None
-        key, doc, at, place, count, content, short = (np.concatenate(x) for x in zip(*parts))
-        settled = _later_copies(content, doc, at)
-        short = short[np.repeat(~settled, count)]
-        with np.errstate(over="ignore"):
-            spread = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
-        return pa.RecordBatch.from_arrays(
-            [
-                signed(np.where(settled, spread, key)),
-                pa.array(doc, pa.int64()),
-                pa.array(at, pa.int32()),
-                pa.array(place, pa.int32()),
-                binaries(short, np.where(settled, 0, count) * HASH_BYTES),
-                pa.array(np.where(settled, (1 << count) - 1, 0), pa.int64()),
-            ],
-            names=["anchor", "doc_id", "at", "place", "windows", "bits"],
-        )
+        key, doc, at, n = (np.concatenate(x) for x in zip(*parts))
+        fate = _settle((key,), doc, at)
+        columns = [signed(_spread(key, doc, at, fate)), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(fate)]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "doc_id", "at", "n", "fate"])
 
-    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (batch.slice(k, BLOCK_ROWS) for batch in batches for k in range(0, batch.num_rows, BLOCK_ROWS))
-        return (out for out in map(of_block, parts) if out is not None)
+    return _blocks(of_block)
+
+
+def _window_rows(length: int):
+    """Windows of ``length`` words at the places in ``runs``; one that would leave its document is none."""
+
+    def of_block(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, runs, parts = np.asarray(batch.column("doc_id")), batch.column("runs"), []
+        for part in slices(batch.column("text")):
+            words = words_of(part)
+            first, hashes = words.firsts(), words.hashes()
+            own = runs.slice(part.first, part.rows)
+            flat = own.flatten()
+            at, n = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
+            row = np.repeat(np.arange(part.rows), np.asarray(own.value_lengths()))
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            starts = np.repeat(first[row] + at, n) + step
+            # Versions of a document name places for each other.
+            starts = np.unique(starts[starts + length <= first[np.repeat(row, n) + 1]])
+            if not len(starts):
+                continue
+            row = words.row[starts]
+            h, g = (Windows(x).at(starts, length) for x in (hashes, mix(hashes)))
+            parts.append((h, g.astype(np.uint32), ids[part.first + row], starts - first[row]))
+        if not parts:
+            return None
+        h, g, doc, at = (np.concatenate(x) for x in zip(*parts))
+        fate = _settle((h, g), doc, at)
+        columns = [
+            signed(_spread(h, doc, at, fate)), pa.array(g.view(np.int32)), pa.array(doc, pa.int64()), pa.array(at, pa.int32()),
+            pa.array(np.ones(len(at), dtype=np.int32)), pa.array(fate),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["h", "g", "doc_id", "at", "n", "fate"])
+
+    return _blocks(of_block)
 
-    return run_batches
 
+def _survivors(rows: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, at, n) of the windows that occur at more than one place."""
+    counted = rows.withColumn("_places", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return materialize(counted.where((F.col("_places") > 1) | (F.col("fate") != ALONE)).select("doc_id", "at", "n"), "survivors")
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (anchor, doc_id, at); only the open anchor's distinct windows are remembered."""
-    open_anchor = None
-    known = tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.int64, np.int64))  # window, doc_id and start of its first, sorted by window
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        anchor, doc, at, place, bits = (np.asarray(batch.column(c)) for c in ("anchor", "doc_id", "at", "place", "bits"))
-        column = batch.column("windows")
-        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + n + 1]
-        count = np.diff(offsets) // HASH_BYTES
-        group = np.concatenate(([0], np.cumsum(anchor[1:] != anchor[:-1])))
-        size = np.bincount(group)
-        goes_on = anchor[0] == open_anchor
-        watched = size[group] > 1
-        watched |= group == group[-1]
-        if goes_on:
-            watched |= group == 0
-        watched &= count > 0
-        bits = bits.copy()
-        held = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-        if not goes_on:
-            known = tuple(x[:0] for x in known)
-        if watched.any():
-            rows = np.flatnonzero(watched)
-            per = count[rows]
-            of = np.repeat(rows, per)
-            j = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-            lead = offsets[of] + j * HASH_BYTES
-            window = np.zeros(len(of), dtype=np.uint64)
-            for b in range(HASH_BYTES):
-                window |= held[lead + b].astype(np.uint64) << np.uint64(8 * b)
-            window = (window << np.uint64(16)) | (place[of] - j).astype(np.uint64)
-            g, d, start = group[of], doc[of], at[of].astype(np.int64) + j
-            order = np.lexsort((start, d, window, g))
-            gs, ws, ds, ss = g[order], window[order], d[order], start[order]
-            head = np.ones(len(gs), dtype=bool)
-            head[1:] = (gs[1:] != gs[:-1]) | (ws[1:] != ws[:-1])
-            first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            first_doc, first_start = ds[first], ss[first]
-            if len(known[0]):
-                spot = np.minimum(np.searchsorted(known[0], ws), len(known[0]) - 1)
-                old = (gs == 0) & (known[0][spot] == ws)
-                first_doc = np.where(old, known[1][spot], first_doc)
-                first_start = np.where(old, known[2][spot], first_start)
-            later = (ds != first_doc) | (ss != first_start)
-            np.bitwise_or.at(bits, of[order][later], np.int64(1) << j[order][later])
-            last = head & (gs == group[-1])
-            fresh = (ws[last], first_doc[last], first_start[last])
-            if group[-1] == 0 and len(known[0]):
-                merged = tuple(np.concatenate(x) for x in zip(known, fresh))
-                _, keep = np.unique(merged[0], return_index=True)
-                known = tuple(x[keep] for x in merged)
-            else:
-                known = fresh
-        elif group[-1] > 0:
-            known = tuple(x[:0] for x in known)
-        open_anchor = anchor[-1]
-        hit = bits != 0
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(at[hit], pa.int32()), pa.array(bits[hit])], names=["doc_id", "at", "bits"])
+
+def _first_level(texts: DataFrame, half: int) -> DataFrame:
+    """Places of the windows of ``2 * half`` words whose anchor of ``half`` words repeats."""
+    return _survivors(texts.mapInArrow(_anchor_rows(half), ANCHORS), "h")
+
+
+def _extended(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """Windows of ``length`` words at the places."""
+    runs = places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    return texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_window_rows(length), WINDOWS)
+
+
+def _both_halves(alive: DataFrame, length: int) -> DataFrame:
+    """Places of windows of twice the length of which both halves survived."""
+    places = alive.select("doc_id", "at").distinct()
+    second = places.select("doc_id", (F.col("at") - length).alias("at"))
+    return places.join(second, ["doc_id", "at"]).withColumn("n", F.lit(1))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, at, bits): bit j of a row is set if the window of words from at + j on also starts earlier."""
+    """(doc_id, at): the windows of words from ``at`` on that also start earlier."""
     if window < 2 or window % 2:
         raise ValueError("window must be an even number of words")
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchor_rows(window), ROWS)
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at").mapInArrow(_repeats, "doc_id bigint, at int, bits bigint")
+    half = window // 2
+    while half % 2 == 0 and half > FIRST:
+        half //= 2
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    places, length = _first_level(texts, half), 2 * half
+    while not places.isEmpty():
+        rows = _extended(texts, places, length)
+        if length == window:
+            before = F.rank().over(W.partitionBy("h", "g").orderBy("doc_id", "at"))
+            later: Column = (before > 1) | (F.col("fate") == LATER_COPY)
+            return rows.withColumn("_later", later).where("_later").select("doc_id", "at")
+        places, length = _both_halves(_survivors(rows, "h", "g"), length), 2 * length
+    return places.select("doc_id", "at")
 
 
 def _kept_words(window: int):
@@ -211,14 +219,11 @@ def _kept_words(window: int):
                 covered = np.zeros(len(words.starts) + 1, dtype=np.int32)
                 if len(flat):
                     row = np.repeat(np.arange(part.rows), np.asarray(own.value_lengths()))
-                    at, bits = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-                    for j in range(int(bits.max()).bit_length()):
-                        some = (bits >> j) & 1 == 1
-                        begin = first[row[some]] + at[some] + j
-                        # Versions of a document may be shorter than the one in which the repeat was seen.
-                        begin = begin[begin + window <= first[row[some] + 1]]
-                        np.add.at(covered, begin, 1)
-                        np.add.at(covered, begin + window, -1)
+                    begin = first[row] + np.asarray(flat)
+                    # Versions of a document may be shorter than the one in which the repeat was seen.
+                    begin = begin[begin + window <= first[row + 1]]
+                    np.add.at(covered, begin, 1)
+                    np.add.at(covered, begin + window, -1)
                 keep = np.cumsum(covered[:-1]) == 0
                 starts, ends, row = words.starts[keep], words.ends[keep], words.row[keep]
                 kept = np.bincount(row, minlength=part.rows)
@@ -246,44 +251,11 @@ def _kept_words(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the words left, joined by one space)."""
     marks = materialize(repeated_windows(docs, window), "repeats")
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
+    marks = marks.groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
     both = docs.select("doc_id", "text").join(marks, "doc_id", "left")
     return both.mapInArrow(_kept_words(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
-def _window_rows(length: int):
-    """Rows of (doc_id, at, two hashes) for the windows at the starts in ``starts``, or for all where it is null."""
-
-    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, chosen = batch.column("doc_id"), batch.column("starts")
-            for part in slices(batch.column("text")):
-                words = words_of(part)
-                first = words.firsts()
-                hashes = words.hashes()
-                runs = Windows(hashes), Windows(mix(hashes))
-                own = chosen.slice(part.first, part.rows)
-                known = np.asarray(own.is_valid())
-                counts = np.asarray(own.fill_null([]).value_lengths())
-                picked = first[np.repeat(np.arange(part.rows), counts)] + np.asarray(own.fill_null([]).flatten(), dtype=np.int64)
-                spots = np.arange(runs[0].n)
-                starts = np.concatenate((picked, spots[~known[words.row]]))
-                # A window never leaves its document.
-                row = np.searchsorted(first, starts, side="right") - 1
-                inside = starts + length <= first[row + 1]
-                starts, row = starts[inside], row[inside]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(part.first, part.rows).take(pa.array(row)),
-                        pa.array(starts - first[row], pa.int32()),
-                        *[signed(run.at(starts, length)) for run in runs],
-                    ],
-                    names=["doc_id", "at", "h", "g"],
-                )
-
-    return run_batches
-
-
 def longest_repeats(docs: DataFrame, start: int = WINDOW) -> DataFrame:
     """(doc_id, longest): the largest of start, 2 * start, 4 * start, ... words that the document shares with another place.
 
@@ -292,18 +264,13 @@ def longest_repeats(docs: DataFrame, start: int = WINDOW) -> DataFrame:
     repeat, and rows without doc_id, are left out; rows that share a doc_id
     count as separate places.
     """
+    if start < 2 or start % 2:
+        raise ValueError("start must be an even number of words")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = texts.withColumn("starts", F.lit(None).cast("array<int>"))
-    reached, length = None, start
-    while True:
-        windows = rows.mapInArrow(_window_rows(length), "doc_id bigint, at int, h bigint, g bigint")
-        windows = materialize(windows, "windows")
-        twice = materialize(windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
-        alive = materialize(windows.join(twice, ["h", "g"], "left_semi").select("doc_id", "at").distinct(), "alive")
-        level = alive.select("doc_id").distinct().withColumn("longest", F.lit(length))
-        reached = level if reached is None else reached.unionByName(level)
-        if alive.isEmpty():
-            return reached.groupBy("doc_id").agg(F.max("longest").alias("longest"))
-        halves = alive.join(alive.select("doc_id", (F.col("at") - length).alias("at")), ["doc_id", "at"])
-        rows = texts.join(halves.groupBy("doc_id").agg(F.collect_list("at").alias("starts")), "doc_id")
-        length *= 2
+    places, length = _first_level(texts, start // 2), start
+    reached = places.select("doc_id", F.lit(0).alias("longest")).limit(0)
+    while not places.isEmpty():
+        alive = _survivors(_extended(texts, places, length), "h", "g")
+        reached = reached.unionByName(alive.select("doc_id").distinct().withColumn("longest", F.lit(length)))
+        places, length = _both_halves(alive, length), 2 * length
+    return reached.groupBy("doc_id").agg(F.max("longest").alias("longest"))

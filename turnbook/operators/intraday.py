@@ -32,6 +32,10 @@ def _mid(a: Column, b: Column) -> Column:
     return m.half_even((a + b) / 2, 4).cast(p.NUMBER)
 
 
+#: What ``resolve_price`` may name, best first.
+PRICE_SOURCES = ("last_trade", "previous_trade", "bid_ask_mid", "high_low_mid", "open", "previous_close", "none")
+
+
 def resolve_price(z, pz, ask, bid, high, low, open_, previous) -> tuple[Column, Column]:
     """Price and the name of the field it came from, best source first."""
     last, before = p.number(z), p.number(pz)

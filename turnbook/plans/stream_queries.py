@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from turnbook.operators import intraday as it
 from turnbook.plans import base_sql as b, landed
-from turnbook.plans.intraday_queries import FEED_PRICE, GATE, GATE_COLUMNS
+from turnbook.plans.intraday_queries import FEED, FEED_PRICE, GATE, GATE_COLUMNS
 from turnbook.plans.registry import query, shape
 from turnbook.session import materialize, scratch_path
 from turnbook.sources import driver_tables as d
-from turnbook.streaming import collection as co, rounds as st
+from turnbook.streaming import collection as co, health as hl, rounds as st
 
 FILES_PER_TRIGGER = 8
 
@@ -283,3 +283,48 @@ def stream_gate_rejects(spark, sf):
     judged = co.gate_with_rejects(st.read_files(spark, st.ROUND_ROW, land_in_order(rounds, "two-days"), FILES_PER_TRIGGER), lateness_minutes=120)
     run(judged.writeStream.foreachBatch(st.by_batch(out)), "gate-rejects", spark)
     return spark.read.parquet(out).drop("batch_id")
+
+
+@query("stream_price_profile", FEED + """
+SELECT price_source, count(*) AS quotes, count(*) FILTER (WHERE p4 IS NULL AND lots > 0) AS priceless_with_volume
+FROM feed GROUP BY 1""")
+def stream_price_profile(spark, sf):
+    """The feed's price sources, counted by the stream itself while its quotes are written."""
+    messages = landed.messages(spark, sf)
+    source, out, counted = land(messages, "messages"), scratch_path(spark, "quotes"), scratch_path(spark, "counted")
+    stream = st.read_files(spark, messages.schema, source, FILES_PER_TRIGGER)
+    quotes = hl.profiled(it.quotes_of_items(it.message_items(stream), d.KEY_CODES))
+    hl.run_counted(spark, quotes.writeStream.foreachBatch(st.by_batch(out)), "profile", scratch_path(spark, "profile-checkpoint"), counted)
+    return hl.price_source_totals(hl.read_counters(spark, counted))
+
+
+@query("stream_health", "WITH " + b.INTRADAY + """,
+old AS (
+  SELECT * FROM rounds WHERE CAST(epoch(captured_at) AS BIGINT) // 3600 % 5 = 2
+                         AND captured_at < (SELECT max(captured_at) FROM rounds) - INTERVAL 10 DAY)
+SELECT 'engine' AS label, 'input_rows' AS field, (SELECT count(*) FROM rounds) + (SELECT count(*) FROM old) AS value
+UNION ALL SELECT 'engine', 'dropped_by_watermark', count(*) FROM old
+UNION ALL SELECT 'rounds', 'given', count(*) FROM rounds
+UNION ALL SELECT 'rounds', 'empty', count(*) FROM rounds WHERE turnover_total = 0
+UNION ALL SELECT 'rounds', 'turnover', CAST(sum(turnover_total) AS BIGINT) FROM rounds""")
+def stream_health(spark, sf):
+    """Rounds as they come, then, after a restart, every fifth hour's rounds once more, ten days too late: the engine drops those, visibly."""
+    totals = materialize(d.round_totals(spark, sf).withColumn("source", F.lit("collector")), "health-rounds")
+    source, out, counted = land_by_time(totals, "captured_at", "health"), scratch_path(spark, "health-out"), scratch_path(spark, "counted")
+    checkpoint = scratch_path(spark, "health-checkpoint")
+
+    def go():
+        stream = st.read_files(spark, totals.schema, source, FILES_PER_TRIGGER)
+        unique = st.dedupe(stream, ("trade_date", "captured_at", "source"), delay="2 days")
+        counted_rows = hl.observed(
+            unique, "rounds", given=F.count(F.lit(1)), empty=F.count_if(F.col("turnover_total") == 0), turnover=F.sum("turnover_total")
+        )
+        hl.run_counted(spark, counted_rows.writeStream.foreachBatch(st.by_batch(out)), "health", checkpoint, counted)
+
+    go()
+    newest = totals.agg(F.max("captured_at").alias("newest"))
+    hour = F.floor(F.unix_seconds(F.col("captured_at").cast("timestamp")) / 3600)
+    old = totals.join(F.broadcast(newest)).where((hour % 5 == 2) & (F.col("captured_at") < F.col("newest") - F.expr("INTERVAL 10 DAYS")))
+    old.select(*totals.columns).write.mode("append").parquet(source)
+    go()
+    return hl.totals(hl.read_counters(spark, counted))

@@ -148,3 +148,15 @@ def test_words_with_regular_letters_have_their_own_ids():
         word += word.translate(str.maketrans("ab", "ba"))
     part = next(slices(pa.array([word + " " + word.translate(str.maketrans("ab", "ba")) + " "])))
     assert len(set(c.units_of(part).ids.tolist())) == 3
+
+
+def test_weights_and_map_are_learned_from_every_unit(spark, monkeypatch):
+    """Every bit of every training document is in the map once, however few units the weights start from."""
+    monkeypatch.setattr(c, "START_UNITS", 40)
+    docs = table(spark, invented(n=50))
+    check(docs)
+    model = c.fit(c.chunks(docs, c.F.coalesce(c.fold(c.F.col("doc_id")) != 2, c.F.lit(False))))
+    bits_learned = sum(8 * len((r.text or "").encode() + b"\xff") for r in docs.collect() if learned(r.doc_id))
+    prior = c.Mixer(np.zeros((1, 2), dtype=np.uint8)).map
+    assert (model.mixer.map - prior).sum() == pytest.approx(bits_learned)
+    assert model.mixer.seen.sum() == pytest.approx(bits_learned)

@@ -9,10 +9,11 @@ byte and the longest context that was seen), and an adaptive map refines the
 result.  Weights and map are learned online, one block of bytes after another.
 
 What is gathered grows with the corpus: every distinct unit of the training
-documents with its count.  The context counts are sums over all of these; only
-the few hundred weights and the map are learned from a bounded sample of units
-(``SAMPLE_UNITS``, chosen by hash).  The slots are a table of fixed size, so
-they may go to every task; the units are not, so each chunk of documents gets
+documents with its count.  Context counts, weights and map come from all of
+these.  Weights start from a first look at about ``START_UNITS`` units; then
+every task goes online over all of its units from there, the tasks' weights are
+averaged by what each has seen, and their maps are added up.  The slots are a
+table of fixed size, so they may go to every task; the units are not, so each chunk of documents gets
 exactly the costs of the units that it asks for, by a join.  All occurrences of a
 unit cost the same, which is why distinct units are coded and not texts.
 
@@ -25,6 +26,7 @@ rows in the result; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +50,8 @@ ORDERS = (1, 2, 3, 4, 6)
 SLOT_BITS = 21
 TABLE_OF = (0, 0, 0, 1, 2)
 SLOTS = 3 << SLOT_BITS
-#: Units from which weights and map are learned (about so many, whatever the corpus).
-SAMPLE_UNITS = 1 << 16
+#: Units of the first look, from which the weights start; up to so many are learned from in one place.
+START_UNITS = 1 << 16
 EPOCHS = 3
 BLOCK = 512
 RATE = 0.05
@@ -242,14 +244,16 @@ def symbols(ids: np.ndarray, unit: pa.Array) -> Symbols:
 
 #: Units that are coded together, so that their common symbols are coded once.
 TOGETHER = 1 << 18
+#: Symbols whose bits are held at a time.
+COSTED = 1 << 15
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about TOGETHER rows."""
+def gathered(batches: Iterator[pa.RecordBatch], together: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``together`` rows."""
     held, rows = [], 0
     for batch in batches:
         held, rows = [*held, batch], rows + batch.num_rows
-        if rows >= TOGETHER:
+        if rows >= together:
             yield pa.concat_batches(held)
             held, rows = [], 0
     if rows:
@@ -279,74 +283,100 @@ def bit_of(byte: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 NUMBERS = np.exp2(np.arange(256) / STEPS) - 1
+PAIRS = 1 << 16
+
+
+def _of_pairs() -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds, and whether anything was seen, of each pair of packed counts: as it is, without a 0, without a 1."""
+    zeros, ones = NUMBERS[np.arange(PAIRS) & 255], NUMBERS[np.arange(PAIRS) >> 8]
+    kinds = [(zeros, ones), (np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))]
+    return (
+        np.concatenate([np.log((n1 + PRIOR) / (n0 + PRIOR)) for n0, n1 in kinds]),
+        np.concatenate([n0 + n1 > 0.5 for n0, n1 in kinds]),
+    )
+
+
+ODDS, SEEN = _of_pairs()
+
+
+def level_of(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The level of the map at or below some log-odds, and the share of the one above."""
+    place = (np.clip(logit, -REACH, REACH) + REACH) * ((LEVELS - 1) / (2 * REACH))
+    low = np.minimum(place.astype(np.int64), LEVELS - 2)
+    return low, place - low
 
 
 class Mixer:
     """Counts in slots, gated weights, and the map that refines."""
 
     def __init__(self, counts: np.ndarray):
-        #: (slots, 2) bytes: how often the bit was 0 and 1.
-        self.counts = counts
+        #: Two bytes per slot, how often the bit was 0 and, above, how often 1.
+        self.pairs = counts[:, 0].astype(np.uint16) | (counts[:, 1].astype(np.uint16) << 8)
         self.weights = np.full((8, len(ORDERS) + 1, len(ORDERS) + 1), 0.3)
         self.weights[:, :, -1] = 0.0
         spread = 1 / (1 + np.exp(-np.linspace(-REACH, REACH, LEVELS)))
         self.map = np.stack([np.tile(APM_PRIOR * (1 - spread), (256, 1)), np.tile(APM_PRIOR * spread, (256, 1))], axis=2)
+        #: Of each bit and gate: squares of the steps so far, and the occurrences learned from.
+        self.squares = np.full_like(self.weights, 1e-4)
+        self.seen = np.zeros(self.weights.shape[:2])
 
     def inputs(self, at: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log-odds of each predictor and 1, longest context seen); without the own observation of bit ``own``."""
-        n = NUMBERS[self.counts[at]]
+        pair = self.pairs[at].astype(np.int64)
         if own is not None:
-            rows = np.arange(len(at))
-            n[rows, :, own] = np.maximum(n[rows, :, own] - 1, 0)
-        odds = np.log((n[:, :, 1] + PRIOR) / (n[:, :, 0] + PRIOR))
-        seen = n.sum(axis=2) > 0.5
+            pair += (PAIRS * (own + 1))[:, None]
+        odds, seen = ODDS[pair], SEEN[pair]
         longest = np.where(seen.any(axis=1), len(ORDERS) - np.argmax(seen[:, ::-1], axis=1), 0)
         return np.concatenate([odds, np.ones((len(at), 1))], axis=1), longest
 
-    def refined(self, node: np.ndarray, logit: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Probability of 1, and where the map was read."""
+    def refined(self, node: np.ndarray, logit: np.ndarray) -> np.ndarray:
+        """Probability of 1."""
         p = 1 / (1 + np.exp(-logit))
-        place = (np.clip(logit, -REACH, REACH) + REACH) * ((LEVELS - 1) / (2 * REACH))
-        low = np.minimum(place.astype(np.int64), LEVELS - 2)
-        high_share = place - low
+        low, high_share = level_of(logit)
         near = [self.map[node, low + k] for k in (0, 1)]
         mapped = [x[:, 1] / x.sum(axis=1) for x in near]
         q = mapped[0] * (1 - high_share) + mapped[1] * high_share
         p = (1 - APM_SHARE) * p + APM_SHARE * q
-        return np.clip(p, 1e-6, 1 - 1e-6), (low, high_share)
+        return np.clip(p, 1e-6, 1 - 1e-6)
 
-    def learn(self, s: Symbols, n: np.ndarray, seed: int = 5) -> None:
-        """Weights and map, online over blocks of bytes; ``n`` counts the occurrences of each."""
+    def learn(self, s: Symbols, n: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
+        """Weights and, in the last epoch, the map, online over blocks of bytes; ``n`` counts the occurrences of each."""
         rng = np.random.default_rng(seed)
-        squares = np.full_like(self.weights, 1e-4)
-        for epoch in range(EPOCHS):
+        columns = np.arange(len(ORDERS) + 1)
+        flat = self.map.reshape(-1)
+        for epoch in range(epochs):
             order = rng.permutation(len(s.byte))
             for k in range(0, len(order), BLOCK):
                 rows = order[k : k + BLOCK]
                 hashed, weight = context_hashes(s.context[rows]), n[rows].astype(np.float64)
+                share = weight / weight.sum()
                 for i in range(8):
                     node, bit = bit_of(s.byte[rows], i)
                     x, gate = self.inputs(slots(hashed, node), own=bit)
                     logit = (self.weights[i, gate] * x).sum(axis=1)
-                    error = (bit - 1 / (1 + np.exp(-logit))) * weight / weight.sum()
-                    step = np.zeros_like(self.weights[i])
-                    np.add.at(step, gate, error[:, None] * x)
-                    squares[i] += step**2
-                    self.weights[i] += RATE * step / np.sqrt(squares[i])
-                    if epoch == EPOCHS - 1:
-                        low, high_share = self.refined(node, logit)[1]
-                        np.add.at(self.map, (node, low, bit), weight * (1 - high_share))
-                        np.add.at(self.map, (node, low + 1, bit), weight * high_share)
+                    error = (bit - 1 / (1 + np.exp(-logit))) * share
+                    at = gate[:, None] * len(columns) + columns
+                    step = np.bincount(at.ravel(), weights=(error[:, None] * x).ravel(), minlength=len(columns) ** 2).reshape(-1, len(columns))
+                    self.squares[i] += step**2
+                    self.weights[i] += RATE * step / np.sqrt(self.squares[i])
+                    if epoch == epochs - 1:
+                        self.seen[i] += np.bincount(gate, weights=weight, minlength=len(columns))
+                        low, high_share = level_of(logit)
+                        at = (node * LEVELS + low) * 2 + bit
+                        np.add.at(flat, at, weight * (1 - high_share))
+                        np.add.at(flat, at + 2, weight * high_share)
 
     def cost(self, s: Symbols) -> np.ndarray:
         """Bits of each byte."""
         total = np.zeros(len(s.byte))
-        hashed = context_hashes(s.context)
-        for i in range(8):
-            node, bit = bit_of(s.byte, i)
-            x, gate = self.inputs(slots(hashed, node))
-            p, _ = self.refined(node, (self.weights[i, gate] * x).sum(axis=1))
-            total -= np.log2(np.where(bit == 1, p, 1 - p))
+        for k in range(0, len(total), COSTED):
+            own = slice(k, k + COSTED)
+            hashed = context_hashes(s.context[own])
+            for i in range(8):
+                node, bit = bit_of(s.byte[own], i)
+                x, gate = self.inputs(slots(hashed, node))
+                p = self.refined(node, (self.weights[i, gate] * x).sum(axis=1))
+                total[own] -= np.log2(np.where(bit == 1, p, 1 - p))
         return total
 
 
@@ -391,6 +421,38 @@ def _unit_costs(mixer: Mixer):
     return run
 
 
+def _learn_all(mixer: Mixer):
+    """Sums of a task: weights times occurrences, occurrences, and what it adds to the map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy.deepcopy(mixer)
+        own.seen[:], own.map[:] = 0, 0
+        for batch in gathered(batches, START_UNITS):
+            s = symbols(batch.column("id").to_numpy(), batch.column("unit"))
+            own.learn(s, s.per_symbol(batch.column("n").to_numpy()), epochs=1)
+        values = np.concatenate([(own.weights * own.seen[:, :, None]).ravel(), own.seen.ravel(), own.map.ravel()])
+        some = np.flatnonzero(values)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(values[some])], names=["at", "value"])
+
+    return run
+
+
+def learned_by_all(start: Mixer, learned: DataFrame) -> Mixer:
+    """Weights and map of all units: each task goes over its own once; what comes back has the size of weights and map."""
+    sums = learned.mapInArrow(_learn_all(start), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    out = copy.deepcopy(start)
+    prior = Mixer(np.zeros((1, 2), dtype=np.uint8)).map
+    values = np.zeros(out.weights.size + out.seen.size + prior.size)
+    values[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
+    weights, seen, added = np.split(values, [out.weights.size, out.weights.size + out.seen.size])
+    out.seen = seen.reshape(out.seen.shape)
+    n = out.seen[:, :, None]
+    # What no task has met keeps its start.
+    out.weights = np.where(n > 0, weights.reshape(out.weights.shape) / np.maximum(n, 1), out.weights)
+    out.map = prior + added.reshape(prior.shape)
+    return out
+
+
 def fit(chunked: DataFrame) -> Model:
     """A model of the training documents among ``chunked`` that knows the cost of every unit of all documents."""
     known = vocabulary(chunked)
@@ -402,11 +464,13 @@ def fit(chunked: DataFrame) -> Model:
     counts[table.column("at").to_numpy()] = table.column("n").to_numpy()
     mixer = Mixer(counts.reshape(-1, 2))
 
-    share = max(1, -(-learned.count() // SAMPLE_UNITS))
-    sample = learned.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).orderBy("id").toArrow()
-    if sample.num_rows:
-        s = symbols(sample.column("id").to_numpy(), sample.column("unit").combine_chunks())
-        mixer.learn(s, s.per_symbol(sample.column("n").to_numpy()))
+    share = max(1, -(-learned.count() // START_UNITS))
+    start = learned.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).orderBy("id").toArrow()
+    if start.num_rows:
+        s = symbols(start.column("id").to_numpy(), start.column("unit").combine_chunks())
+        mixer.learn(s, s.per_symbol(start.column("n").to_numpy()))
+    if share > 1:
+        mixer = learned_by_all(mixer, learned)
 
     word = F.when(is_word(F.col("id")), lowered(F.expr("substring(unit, 1, octet_length(unit) - 1)").cast("string")))
     words = learned.select(word.alias("lower"), "n").where("lower <> ''").groupBy("lower").agg(F.sum("n").alias("word_count"))

@@ -184,3 +184,11 @@ def test_revenue_pages_are_files_in_their_order(spark, tmp_path):
     assert found == {
         ("4321", day): 7000, ("5678", day): 8000, ("8765", day): 2000, ("1111", day): 3000, ("4321", other): 4000,
     }
+
+
+def test_disposition_periods_are_read_once_per_notice(spark):
+    rows = [("1234", "1150812~1150230", "x", 1), ("1234 ", "115/08/12～1150831", "約每二十五分鐘", 2), ("1234", None, None, 3), ("1234", "1150812", "x", 4)]
+    got = rp.dispositions(spark.createDataFrame(rows, "ticker string, period string, content string, source_order bigint"))
+    assert [(r.ticker, str(r.start), str(r.end), r.matching_minutes) for r in got.collect()] == [("1234", "2026-08-12", "2026-08-31", 25)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract(") == 1

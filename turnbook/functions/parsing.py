@@ -80,8 +80,9 @@ def _piece(text: Column, pattern: str, group: int) -> Column:
 def roc_date_compact(text: Column) -> Column:
     """``1150812`` or ``115/08/12`` (year counted from 1911)."""
     digits = F.replace(F.trim(text), F.lit("/"), F.lit(""))
-    pattern = r"^([0-9]{3})([0-9]{2})([0-9]{2})\z"
-    return _date(_piece(digits, pattern, 1) + 1911, _piece(digits, pattern, 2), _piece(digits, pattern, 3))
+    year = (F.substring(digits, 1, 3).try_cast("int") + 1911).cast("string")
+    dashed = F.concat_ws("-", year, F.substring(digits, 4, 2), F.substring(digits, 6, 2))
+    return F.when(digits.rlike(r"^[0-9]{7}\z"), dashed.try_cast("date"))
 
 
 def roc_date_parts(text: Column) -> Column:
@@ -134,6 +135,10 @@ def chinese_number(text: Column) -> Column:
 
 def matching_minutes(content: Column) -> Column:
     """Matching interval named in the free text of a disposition notice."""
-    found = F.regexp_extract(content, MATCHING_INTERVAL_PATTERN, 1)
-    arabic = F.translate(found, FULL_WIDTH_DIGITS, ASCII_DIGITS).try_cast("int")
-    return F.when(F.length(found) > 0, F.coalesce(arabic, chinese_number(found)))
+
+    def minutes(found: Column) -> Column:
+        arabic = F.translate(found, FULL_WIDTH_DIGITS, ASCII_DIGITS).try_cast("int")
+        return F.when(F.length(found) > 0, F.coalesce(arabic, chinese_number(found)))
+
+    # As the variable of a lambda the text is searched once, however often it is used.
+    return F.get(F.transform(F.array(F.regexp_extract(content, MATCHING_INTERVAL_PATTERN, 1)), minutes), F.lit(0))

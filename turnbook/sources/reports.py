@@ -281,18 +281,21 @@ def month_ranges(start: dt.date, end: dt.date) -> list[tuple[dt.date, dt.date]]:
 
 def dispositions(notices: DataFrame, codes: str = p.COMMON_STOCK_PATTERN) -> DataFrame:
     """``notices``: ticker, period, content, source_order.  Unreadable periods are dropped."""
-    ends = F.split("period", "[～~]")
+    ends = F.transform(F.split("period", "[～~]"), lambda end: p.roc_date_compact(end))
+    start, end = F.get("_ends", F.lit(0)), F.get("_ends", F.lit(1))
     return (
         notices.withColumn("ticker", F.trim("ticker"))
-        .where(p.is_code(F.col("ticker"), codes) & (F.size(ends) == 2))
+        .where(p.is_code(F.col("ticker"), codes))
+        # A generated column is read once; conditions on a plain one would each read the period again.
+        .select("ticker", F.explode(F.array(ends)).alias("_ends"), "content", "source_order")
+        .where((F.size("_ends") == 2) & start.isNotNull() & end.isNotNull())
         .select(
             "ticker",
-            p.roc_date_compact(F.get(ends, F.lit(0))).alias("start"),
-            p.roc_date_compact(F.get(ends, F.lit(1))).alias("end"),
+            start.alias("start"),
+            end.alias("end"),
             p.matching_minutes(F.col("content")).alias("matching_minutes"),
             "source_order",
         )
-        .where(F.col("start").isNotNull() & F.col("end").isNotNull())
     )
 
 

@@ -74,3 +74,15 @@ def test_a_store_that_sets_times_itself(spark, monkeypatch):
     files = sorted(glob.glob(f"{path}/part-*.parquet"), key=lambda f: os.stat(f).st_mtime_ns)
     held_in = [[r["at"] for r in spark.read.parquet(f).collect()] for f in files]
     assert len(files) > 1 and sum(held_in, []) == list(range(1000))
+
+
+def test_rolling_grid_is_spread_over_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    """The rows per ticker and age arise in many tasks, not in the one that reads the securities."""
+    from turnbook.operators import ranking as r
+    from turnbook.sources import driver_tables as d
+
+    stocks, daily = d.securities(spark, sf_dir), d.daily(spark, sf_dir)
+    whole = sorted(map(repr, r.rolling_periods(daily, stocks, periods=(1, 3), dates=12).collect()))
+    monkeypatch.setattr(r, "GRID_ROWS", 20)
+    assert r._grid_tasks(stocks, 20) == stocks.count()
+    assert sorted(map(repr, r.rolling_periods(daily, stocks, periods=(1, 3), dates=12).collect())) == whole and whole

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -246,6 +247,15 @@ def ranking_summary(
 # --- many base dates at once -------------------------------------------------
 
 
+#: Rows of tickers and date ages that a task holds.
+GRID_ROWS = 1 << 19
+
+
+def _grid_tasks(stocks: DataFrame, horizon: int) -> int:
+    least = int(stocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(stocks.count() * horizon / GRID_ROWS))
+
+
 def rolling_periods(
     daily: DataFrame,
     stocks: DataFrame,
@@ -258,7 +268,9 @@ def rolling_periods(
     One shuffle by ticker.  Each ticker gets one row per date age, missing rows
     are zeros, and everything older than the oldest window shrinks to one row
     that only carries the last close.  Running sums and lags then give every
-    period; their cost does not depend on its length.
+    period; their cost does not depend on its length.  Tickers are spread over so
+    many tasks that none holds more than about ``GRID_ROWS`` rows, before they get
+    a row per age: the securities alone are a small table, which is read by one task.
     """
     horizon = dates + 3 * max(periods) - 1
     base = cal.distinct_dates(daily if days is None else days)
@@ -274,8 +286,16 @@ def rolling_periods(
         "close_price",
         F.when(F.col("close_price").isNotNull(), F.col("trading_date")).alias("close_date"),
     )
+    # What is older shrinks here, so the rows that travel by ticker are no more than the grid's.
+    facts = facts.groupBy("ticker", "age").agg(
+        F.sum("trading_value").alias("trading_value"),
+        F.sum("active").alias("active"),
+        F.max_by("close_price", "close_date").alias("close_price"),
+        F.max("close_date").alias("close_date"),
+    )
+    tasks = _grid_tasks(stocks, horizon)
     grid = (
-        with_scalars(stocks.select("ticker"), n_dates)
+        with_scalars(stocks.select("ticker").repartition(tasks, "ticker"), n_dates)
         .select(
             "ticker",
             F.explode(F.sequence(F.lit(0), F.least("n_dates", F.lit(horizon)) - 1)).alias("age"),
@@ -284,7 +304,7 @@ def rolling_periods(
             "ticker",
             "age",
             F.lit(0).cast("bigint").alias("trading_value"),
-            F.lit(0).alias("active"),
+            F.lit(0).cast("bigint").alias("active"),
             F.lit(None).cast("decimal(10,2)").alias("close_price"),
             F.lit(None).cast("date").alias("close_date"),
         )
@@ -292,6 +312,7 @@ def rolling_periods(
     # (ticker, date) is unique in a daily panel, so no ticker has more rows than the calendar.
     dense = (
         facts.unionByName(grid)
+        .repartition(tasks, "ticker")
         .groupBy("ticker", "age")
         .agg(
             F.sum("trading_value").alias("value"),

@@ -357,7 +357,9 @@ SELECT base_date, n::BIGINT AS period_days, ticker, CAST(total AS BIGINT) AS tot
 FROM rows_""")
 def rolling_period_all_dates(spark, sf):
     stocks = d.securities(spark, sf)
-    rows = r.rolling_periods(d.daily(spark, sf), stocks).join(stocks.select("ticker"), "ticker", "left_semi")
+    daily = d.daily(spark, sf)
+    # Unlisted shares count for the calendar alone.
+    rows = r.rolling_periods(daily.join(stocks.select("ticker"), "ticker", "left_semi"), stocks, days=daily)
     return shape(
         rows,
         "base_date period_days:l ticker total previous_total prior_total active_days:l end_close:d baseline_close:d "

@@ -104,3 +104,16 @@ def test_a_date_counts_only_as_a_whole(spark):
 
 def test_no_lines(spark):
     assert scanned(spark, ["", "{"]) == ([], [])
+
+
+def test_snapshot_lines_are_compressed_files_of_bounded_lines(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from turnbook.sources import snapshots as sn
+
+    monkeypatch.setattr(sn, "LINES_PER_FILE", 10)
+    values = spark.range(35).selectExpr("concat('line ', id) AS value").coalesce(1)
+    sn.write_lines(values, str(tmp_path / "lines"))
+    files = [gzip.open(f, "rt").read().splitlines() for f in (tmp_path / "lines").glob("*.gz")]
+    assert sorted(map(len, files)) == [5, 10, 10, 10]
+    assert sorted(line for f in files for line in f) == sorted(f"line {i}" for i in range(35))

@@ -74,7 +74,7 @@ def snapshot_lines(spark, sf) -> DataFrame:
 
 def _snapshots(spark, sf):
     path = scratch_path(spark, "snapshots")
-    snapshot_lines(spark, sf).write.text(path)
+    sn.write_lines(snapshot_lines(spark, sf), path)
     return sn.scan(spark, path)
 
 
@@ -113,11 +113,13 @@ def scan_complete_snapshots(spark, sf):
     sent = sent.withColumn("quotes", F.when((fault == 7) & F.col("_first"), altered).otherwise(F.col("quotes")))
     text = F.to_json(F.struct(*[c for c in numbered.columns if not c.startswith("_")]))
     path = scratch_path(spark, "faulty")
-    sent.select(F.when((fault == 3) & F.col("_first"), F.substring(text, F.lit(1), F.length(text) - 40)).otherwise(text).alias("value")).write.text(path)
-    rows = sn.scan(spark, path).select("trading_date", F.inline("quotes"))
+    cut = F.when((fault == 3) & F.col("_first"), F.substring(text, F.lit(1), F.length(text) - 40)).otherwise(text)
+    sn.write_lines(sent.select(cut.alias("value")), path)
+    read = sn.read_lines(spark, path)
+    rows = sn.scan(spark, path, read).select("trading_date", F.inline("quotes"))
     whole = rows.groupBy("trading_date").agg(F.count(F.lit(1)).alias("quotes"), F.sum("trading_value").alias("trading_value"))
     nothing = F.lit(None).cast("bigint")
-    broken = sn.incomplete_dates(spark, path).select("trading_date", F.lit(False).alias("complete"), nothing.alias("quotes"), nothing.alias("trading_value"))
+    broken = sn.incomplete_dates(spark, path, read).select("trading_date", F.lit(False).alias("complete"), nothing.alias("quotes"), nothing.alias("trading_value"))
     return whole.withColumn("complete", F.lit(True)).unionByName(broken)
 
 

@@ -8,7 +8,7 @@ from turnbook.plans import base_sql as b, landed
 from turnbook.plans.market_queries import QUOTE_SPEC
 from turnbook.plans.registry import query, shape
 from turnbook.operators import quotes as qt
-from turnbook.session import scratch_path
+from turnbook.session import materialize, scratch_path
 from turnbook.sources import driver_tables as d, reports as rp, revenue_pages as pages
 
 QUOTES_OF = "WITH " + b.QUOTES + """
@@ -205,7 +205,8 @@ def regular_quotes(spark, sf):
     """Both daily reports, all seven deduction reports, regular trading left; stored by date and read back."""
     from turnbook.sources import snapshots
 
-    quotes = d.daily_quotes(spark, sf)
+    # Both reports are landed from the same rows.
+    quotes = materialize(d.daily_quotes(spark, sf), "quotes")
     both = rp.daily_twse(landed.read_back(landed.twse_daily(quotes), "twse"), d.KEY_CODES).unionByName(
         rp.daily_tpex(landed.read_back(landed.tpex_daily(quotes), "tpex"), d.KEY_CODES)
     )
